@@ -1,7 +1,7 @@
 """The registered queries and their SQL oracles."""
 
-from . import vectors
+from . import analytics, vectors
 
-MODULES = [vectors]
+MODULES = [vectors, analytics]
 ALL_QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ALL_ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
