@@ -1,7 +1,7 @@
 """The registered queries and their SQL oracles."""
 
-from . import analytics, vectors
+from . import analytics, graphs, traces, vectors
 
-MODULES = [vectors, analytics]
+MODULES = [vectors, analytics, traces, graphs]
 ALL_QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ALL_ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
