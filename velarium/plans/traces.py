@@ -93,26 +93,26 @@ def lru_hit_rate(spark, sf_dir):
     return h.select(F.col("k").alias("rank"), "accesses", "hits", F.round(F.col("hits") / F.col("accesses"), 6).alias("hit_rate"))
 
 
-@query("SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS epoch_ms, count(DISTINCT user_id % 32) AS active FROM events GROUP BY 1")
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS epoch_us, count(DISTINCT user_id % 32) AS active FROM events GROUP BY 1")
 def tumbling_active(spark, sf_dir):
     """Distinct active ranks in each hour."""
     e = trace(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.countDistinct("rank").alias("active"))
-    return e.select(F.unix_millis(F.col("w.start").cast("timestamp")).alias("epoch_ms"), "active")
+    return e.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("epoch_us"), "active")
 
 
-@query("SELECT epoch_ms(s) AS epoch_ms, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1, 2")
+@query("SELECT epoch_us(s) AS epoch_us, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1, 2")
 def sliding_counts(spark, sf_dir):
     """Two-hour windows that start every hour."""
     e = trace(spark, sf_dir).groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return e.select(F.unix_millis(F.col("w.start").cast("timestamp")).alias("epoch_ms"), "event_type", "n")
+    return e.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("epoch_us"), "event_type", "n")
 
 
-@query("SELECT epoch_ms, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY epoch_ms ORDER BY n DESC, user_id) AS k FROM (SELECT epoch_ms(time_bucket(INTERVAL 1 DAY, ts)) AS epoch_ms, user_id, count(*) AS n FROM events GROUP BY 1, 2)) WHERE k <= 3")
+@query("SELECT epoch_us, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY epoch_us ORDER BY n DESC, user_id) AS k FROM (SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS epoch_us, user_id, count(*) AS n FROM events GROUP BY 1, 2)) WHERE k <= 3")
 def heavy_hitters_window(spark, sf_dir):
     """The three most frequent users of each day; counters start anew every day."""
     n = trace(spark, sf_dir).groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(F.count("*").alias("n"))
     k = F.row_number().over(Window.partitionBy("w").orderBy(F.col("n").desc(), "user_id"))
-    return n.withColumn("k", k).where("k <= 3").select(F.unix_millis(F.col("w.start").cast("timestamp")).alias("epoch_ms"), "user_id", "n")
+    return n.withColumn("k", k).where("k <= 3").select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("epoch_us"), "user_id", "n")
 
 
 @query("SELECT user_id, event_id, k AS running FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k % 8 = 0")
@@ -122,11 +122,11 @@ def threshold_trigger(spark, sf_dir):
     return trace(spark, sf_dir).withColumn("running", k.cast("long")).where("running % 8 = 0").select("user_id", "event_id", "running")
 
 
-@query("SELECT user_id, epoch_ms(min(ts)) AS start_ms, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+@query("SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
 def session_events(spark, sf_dir):
     """Sessions that end after six hours without an event."""
     s = trace(spark, sf_dir).groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
-    return s.select("user_id", F.unix_millis(F.col("w.start").cast("timestamp")).alias("start_ms"), "n")
+    return s.select("user_id", F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), "n")
 
 
 @query("SELECT conv_id, role, count(*) AS run FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS island FROM conversations) GROUP BY conv_id, role, island")
