@@ -41,6 +41,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches bounded in rows and bytes: a task that hands texts to Python holds few of them at once."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

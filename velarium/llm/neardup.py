@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 32, 4, 4
 LENIENT = 0.59
-GROUP = 1024
+GROUP = 512
 #: Buckets are counted on a part of the classes, to find those that need cells.
 SAMPLE = 16
 #: Bytes of text hashed at once.
@@ -174,12 +174,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
 
 
 def forest(n: int, linked) -> list[tuple[int, int]]:
-    """Tree edges (root, member) of a graph on n nodes; ``linked(i, rest)`` masks the neighbours of i in ``rest``."""
+    """Tree edges (root, member) of a graph on n nodes; ``linked(i, rest)`` masks the neighbours of i in ``rest``.
+
+    A root is its component's first node: with nodes in id order, buckets that
+    hold the same classes give the same edges, which count once.
+    """
     edges, rest = [], np.arange(n)
     while len(rest) > 1:
         root, rest = int(rest[0]), rest[1:]
@@ -313,7 +317,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     hot = seen.where(F.col("count") * SAMPLE > GROUP).select("key", (F.ceil(F.col("count") * SAMPLE / GROUP) + 1).cast("int").alias("parts"))
     # Counted in few rows: read back, its size is known, and Spark broadcasts it only if that is small.
     dealt = celled(banded, cut(hot), "key")
-    edges = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.xxhash64("doc_id", "key")).mapInArrow(_buckets, "a long, b long")
+    edges = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id").mapInArrow(_buckets, "a long, b long")
     coarse = components(cut(edges.distinct()))
     sizes = coarse.groupBy("root").count().where(F.col("count") > GROUP).select("root", (F.ceil(F.col("count") / GROUP) + 1).cast("int").alias("parts"))
     member = celled(coarse.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), cut(sizes.withColumnRenamed("root", "cluster")), "cluster")
