@@ -217,6 +217,16 @@ def rtl_square_sweep(spark, sf_dir):
     return bits.select("bits", numeric.rtl_square(F.col("bits")).cast("long").alias("square_bits"))
 
 
+_T = [x for r in numeric.product_table() for x in r]
+
+
+@query(f"SELECT a, b, (((a ^ b) >> 15) & 1) << 15 | (((((a & 32767) + (b & 32767)) & 65535) + (50176 | {_T}[((a >> 6) & 15) * 16 + ((b >> 6) & 15) + 1])) & 32767) AS product_bits FROM (SELECT range AS a, (range * 31337 + 4099) % 65536 AS b FROM range(0, 65536))".replace("a ^ b", "xor(a, b)").replace("(xor(a, b)) >>", "xor(a, b) >>"))
+def rtl_product_sweep(spark, sf_dir):
+    """The circuit's product of every encoding with another one."""
+    p = spark.range(65536).select(F.col("id").alias("a"), F.pmod(F.col("id") * 31337 + 4099, F.lit(65536)).alias("b"))
+    return p.select("a", "b", numeric.rtl_product(F.col("a"), F.col("b")).cast("long").alias("product_bits"))
+
+
 # Samples
 
 
