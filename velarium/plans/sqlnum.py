@@ -105,4 +105,4 @@ SELECT qid, vec_id, {finish.format(s='sum(v)')} AS d FROM (
 
 
 def topk(select: str, k: int = 10) -> str:
-    return f"SELECT qid, rank::INTEGER AS rank, vec_id, round(d, 6) + 0.0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM ({select})) WHERE rank <= {k}"
+    return f"SELECT qid, rank::INTEGER AS rank, vec_id, round(d + 1e-12, 6) + 0.0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM ({select})) WHERE rank <= {k}"

@@ -64,7 +64,7 @@ def ibin_roundtrip(spark, sf_dir):
 def stream_topk(spark, sf_dir):
     base, at = vectors(spark, sf_dir), folder(spark)
     hits = jobs.topk(jobs.replay(base, at, 3), asked(base), 10, at)
-    return hits.select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", (F.round("d", 6) + 0.0).alias("d"))
+    return hits.select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", (F.round(F.col("d") + 1e-12, 6) + 0.0).alias("d"))
 
 
 @query("SELECT level, count(*) AS n FROM (SELECT floor(-ln((('0x' || substr(md5(vec_id || ':100'), 1, 12))::BIGINT + 1) / 281474976710656.0::DOUBLE) / ln(8))::INTEGER AS level FROM embeddings) GROUP BY level")

@@ -39,7 +39,8 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def out(hits: DataFrame) -> DataFrame:
-    return rounded(hits.select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", "d"), "d")
+    """Hits with rounded distances; exact halves of the last digit, which engines round differently, are nudged up."""
+    return rounded(hits.select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", (F.col("d") + 1e-12).alias("d")), "d")
 
 
 def scaled(base: DataFrame, by: float) -> DataFrame:
