@@ -3,13 +3,14 @@
 The rows are range-partitioned by id.  Each task encodes its documents and
 writes three files:
 
-    part-NNNNN.ids      unsigned 32-bit ids, one document after another
+    part-NNNNN.ids      unsigned ids, one document after another: 16 bits wide
+                        if the vocabulary has no more ids than that, else 32
     part-NNNNN.offsets  n+1 unsigned 64-bit offsets into it, in ids
     part-NNNNN.docs     n signed 64-bit document ids (and null as the least value)
 
 all little-endian.  A file appears under its name only when it is complete, so
 a task that runs twice leaves one result.  A manifest holds each part's
-counts; prefix sums over the parts (one row a part) give the bases at which
+counts and width; prefix sums over the parts (one row a part) give the bases at which
 they begin in the whole.  Readers memory-map local files and read other stores
 through Arrow's filesystem of the path's scheme.
 
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import size_groups
+from .common import size_groups, small_batches
 from .wordbpe import TEXTS, encoder
 
 NULL_ID = -(2**63)
@@ -53,7 +54,9 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         files, base = _store(folder)
         temporary = {kind: f"{base}/.{attempt}.{kind}" for kind in KINDS}
-        tail, codec = np.array([end_id], "<u4").tobytes(), encoder(tokenizer)
+        codec = encoder(tokenizer)
+        width = 2 if max(codec.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        tail = np.array([end_id], f"<u{width}").tobytes()
         streams, n_docs, n_tokens = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
@@ -68,8 +71,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 encoded = codec.encode(texts[a:b])
                 lengths = np.fromiter((len(x) // 4 + 1 for x in encoded), np.int64, b - a)
                 for x in encoded:
-                    streams["ids"].write(x)
-                    streams["ids"].write(tail)
+                    streams["ids"].write((np.frombuffer(x, "<u4").astype("<u2").tobytes() if width == 2 else x) + tail)
                 streams["offsets"].write((n_tokens + np.cumsum(lengths)).astype("<u8").tobytes())
                 n_tokens += int(lengths.sum())
             streams["docs"].write(ids.tobytes())
@@ -79,29 +81,29 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         for kind, stream in streams.items():
             stream.close()
             files.move(temporary[kind], f"{base}/part-{part:05d}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], ["part", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64()), pa.array([width], pa.int32())], ["part", "n_docs", "n_tokens", "width"])
 
     return run
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Encode and write every row; gives the manifest (part, n_docs, n_tokens, first_doc, base), also stored below the folder."""
-    rows = df.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """Encode and write every row; gives the manifest (part, n_docs, n_tokens, width, first_doc, base), also stored below the folder."""
+    rows = small_batches(df).select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = max(8, -(-df.select(row_id).count() // DOCS_PER_PART))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    made = ordered.mapInArrow(_writer(folder, tokenizer, end_id), "part int, n_docs long, n_tokens long")
+    made = ordered.mapInArrow(_writer(folder, tokenizer, end_id), "part int, n_docs long, n_tokens long, width int")
     made.write.parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts_ = df.sparkSession.read.parquet(f"{folder}/parts")  # one row a part
-    bases = parts_.select("part", "n_docs", "n_tokens", F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("first_doc"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    bases = parts_.select("part", "n_docs", "n_tokens", "width", F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("first_doc"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     bases.write.parquet(f"{folder}/manifest")
     return df.sparkSession.read.parquet(f"{folder}/manifest")
 
 
-def mapped(folder: str, part: int, kind: str) -> np.ndarray:
-    """A part's file as an array: memory-mapped where the store is local."""
+def mapped(folder: str, part: int, kind: str, width: int = 4) -> np.ndarray:
+    """A part's file as an array (ids of ``width`` bytes): memory-mapped where the store is local."""
     files, base = _store(folder)
-    path, dtype = f"{base}/part-{part:05d}.{kind}", {"ids": "<u4", "offsets": "<u8", "docs": "<i8"}[kind]
+    path, dtype = f"{base}/part-{part:05d}.{kind}", {"ids": f"<u{width}", "offsets": "<u8", "docs": "<i8"}[kind]
     if files.type_name == "local":
         return np.memmap(path, dtype, "r")
     with files.open_input_file(path) as f:
@@ -111,12 +113,12 @@ def mapped(folder: str, part: int, kind: str) -> np.ndarray:
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                ids, offsets, docs = (mapped(folder, part, kind) for kind in KINDS)
+            for part, base, width in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "width")), strict=True):
+                ids, offsets, docs = (mapped(folder, part, kind, width) for kind in KINDS)
                 at = offsets.astype(np.int64)
                 for a in range(0, len(docs), 4096):
                     b = min(a + 4096, len(docs))
-                    crc = [zlib.crc32(ids[at[i] : at[i + 1]]) for i in range(a, b)]
+                    crc = [zlib.crc32(ids[at[i] : at[i + 1]].astype("<u4")) for i in range(a, b)]
                     chunk = np.asarray(docs[a:b])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(chunk.astype(np.int64), mask=chunk == NULL_ID), pa.array(base + at[a:b]), pa.array(np.diff(at[a : b + 1])), pa.array(crc, pa.int64())],
@@ -130,4 +132,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and the checksum of its ids, of each document in the files."""
     manifest = spark.read.parquet(f"{folder}/manifest")
     parts = max(1, manifest.count())
-    return manifest.select("part", "base").repartition(parts, "part").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("part", "base", "width").repartition(parts, "part").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
