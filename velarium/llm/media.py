@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 UNIT, FILL = 576, b"\xff"
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 16
 WINDOW, HOP, FFT, MELS, FRAMES = 240, 120, 256, 24, 32
@@ -181,5 +183,5 @@ def audio_features(df: DataFrame, text: str = "text", keep: bool = True) -> Data
             yield pa.array([described(t.as_py(), keep) for t in batch], kind)
 
     names = kind.names if hasattr(kind, "names") else [kind.field(i).name for i in range(kind.num_fields)]
-    out = df.drop(*names).withColumn("_m", features(F.col(text)))
+    out = small_batches(df).drop(*names).withColumn("_m", features(F.col(text)))
     return out.select("*", *[F.col("_m").getField(c).alias(c) for c in names if keep or c not in ("media", "tensors")]).drop("_m")

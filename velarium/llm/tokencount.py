@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK, SPACE = "▁", 32
 #: In characters, bytes and bytes.
 HUGE, CHUNK, OVERLAP = 40_000, 20_000, 400
@@ -187,6 +189,6 @@ def count_tokens(df: DataFrame, model: str, limit: int = 4096, text: str = "text
                 out += c.counts([t or "" for t in batch.slice(k, 1024).to_pylist()])
             yield pa.array(out, pa.int64())
 
-    kept = df.drop("n_bytes", "n_tokens", "over_limit")
+    kept = small_batches(df).drop("n_bytes", "n_tokens", "over_limit")
     out = kept.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")).withColumn("n_tokens", tokens(F.coalesce(F.col(text), F.lit(""))))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

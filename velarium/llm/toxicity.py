@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Runs of letters and digits.
 TOKEN = re.compile(r"[^\W_]+")
@@ -126,7 +126,7 @@ def _chosen(buckets: np.ndarray):
 
 def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     """``labelled``: text string, toxic int; at most ``params.sample`` rows, as :func:`training_rows` gives them."""
-    rows = cut(labelled.select("text", F.col("toxic").cast("int")).mapInArrow(_featurise(params.bits), "toxic int, terms array<int>"))
+    rows = cut(small_batches(labelled).select("text", F.col("toxic").cast("int")).mapInArrow(_featurise(params.bits), "toxic int, terms array<int>"))
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
@@ -212,5 +212,5 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 margins[k] = model.margin(sorted(on))
             yield pa.array(1 / (1 + np.exp(-np.clip(margins, -700, 700))))
 
-    out = df.drop("score", "predicted").withColumn("score", scored(F.col(text)))
+    out = small_batches(df).drop("score", "predicted").withColumn("score", scored(F.col(text)))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -19,10 +19,10 @@ import os
 from array import array
 
 #: Entries of a worker's memo; longer words than LONGEST are not kept.
-MEMO, LONGEST = 1_000_000, 48
+MEMO, LONGEST = 600_000, 48
 SIGNS = (",", ".")
 #: Characters encoded at once.
-TEXTS = 4 << 20
+TEXTS = 2 << 20
 _loaded: dict[str, WordEncoder] = {}
 
 
