@@ -60,6 +60,8 @@ DISTANCES: dict[str, Distance] = {
     "fp8_fpma_e2m5": Distance(_scaled(n.fp8_e2m5, 3), n.square_fp8, _over(3)),
     "fp8_fpma_e3m4": Distance(_scaled(n.fp8_e3m4, 15), n.square_fp8, _over(15)),
     "fp8_fpma_quantized": Distance(same, lambda d: n.fixed_point(n.square_fp8(d), n.Q3_13), same),
+    "fp8_fpma_quantized_e2m5": Distance(same, lambda d: n.fixed_point(n.square_fp8(d), n.Q3_13), same),
+    "fp8_fpma_quantized_e3m4": Distance(same, lambda d: n.fixed_point(n.square_fp8(d), n.Q3_13), same),
     "int16_diff_fpma": Distance(F.rint, n.square_int16, same),
     "int16": Distance(lambda x: n.quantise_int(x, 32767), square, _over(32767)),
     "int8": Distance(lambda x: n.quantise_int(x, 127), square, _over(127)),
@@ -72,6 +74,8 @@ ROUND_DIFFERENCE: dict[str, Scalar] = {
     "fp16_fpma_16": n.fp16,
     "fp16_fpma_quantized": n.fp16,
     "fp8_fpma_quantized": lambda d: n.fp8_e4m3(_float(d)),
+    "fp8_fpma_quantized_e2m5": lambda d: n.fp8_e2m5(_float(d)),
+    "fp8_fpma_quantized_e3m4": lambda d: n.fp8_e3m4(_float(d)),
 }
 
 

@@ -80,6 +80,29 @@ def fp8_e3m4(x: Column) -> Column:
     return fp8(x, 4, 0.125, 30.0)
 
 
+#: Exponent and significand bits and exponent bias of the 8-bit formats.
+FP8_FIELDS = {"e4m3": (4, 3, 7), "e2m5": (2, 5, 1), "e3m4": (3, 4, 3)}
+
+
+def fp8_encode(x: Column, kind: str) -> Column:
+    """A number's 8-bit encoding: ties to even; below the normals zero, from the highest exponent on the largest code."""
+    wide, bits, bias = FP8_FIELDS[kind]
+    a, top, one = F.abs(x), (1 << wide) - 1, float(1 << bits)
+    e = exponent(a)
+    mant = F.rint((a / pow2(e) - 1) * one)
+    field = e + bias + F.when(mant >= one, 1.0).otherwise(0.0)
+    code = F.when((a < 2.0 ** (1 - bias)) | (a == 0), lit(0)).when((a == lit(float("inf"))) | F.isnan(a) | (field >= top), lit(127)).otherwise(field * one + F.when(mant >= one, 0.0).otherwise(mant))
+    return (code + F.when(x < 0, 128).otherwise(0)).cast("int")
+
+
+def fp8_decode(code: Column, kind: str) -> Column:
+    """The number of an 8-bit encoding; exponent 0 is zero."""
+    wide, bits, bias = FP8_FIELDS[kind]
+    field = F.shiftright(code, bits).bitwiseAND((1 << wide) - 1)
+    size = pow2(field.cast("double") - bias) * (1 + code.bitwiseAND((1 << bits) - 1) / float(1 << bits))
+    return F.when(field == 0, lit(0)).when(code >= 128, -size).otherwise(size)
+
+
 def approximate_square(x: Column, bits: int, table: Sequence[int], step: int, low: int, high: int) -> Column:
     """A square without a multiplication.
 

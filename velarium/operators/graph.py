@@ -64,32 +64,75 @@ def build(base: DataFrame, m: int = 8, ef: int = 24) -> tuple[DataFrame, DataFra
     return nodes, edges
 
 
-def beam(vectors: np.ndarray, links: list[np.ndarray], q: np.ndarray, entry: int, ef: int, k: int) -> tuple[list[tuple[float, int]], int]:
-    """Best-first search: stops when the nearest open node is farther than the worst of ef kept ones.  Also counts distances."""
+def coarse_bounds(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What lower bounds need of the base: squared lengths, and each component's sign and power of two."""
+    half = vectors.astype(np.float16).astype(np.float64)
+    _, e = np.frexp(np.abs(half))
+    power = np.where(np.abs(half) < 2.0**-14, 0.0, np.ldexp(1.0, e - 1))
+    return (vectors**2).sum(axis=1), np.where(half < 0, -power, power)
+
+
+def lower_bounds(base: tuple[np.ndarray, np.ndarray], rows: list[int], q: np.ndarray) -> np.ndarray:
+    """max(0, |q|^2 + |v|^2 + 2 * terms) from signs and exponents."""
+    product = q * base[1][rows]
+    terms = np.where(product < 0, -product, -2 * product).sum(axis=1)
+    return np.maximum(0, (q * q).sum() + base[0][rows] + 2 * terms)
+
+
+def beam(
+    vectors: np.ndarray, links: list[np.ndarray], q: np.ndarray, entry: int, ef: int, k: int, radius: float | None = None, bounds: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[list[tuple[float, int]], dict[str, int]]:
+    """Best-first search over a graph; gives (distance, node) and counters.
+
+    It stops when the nearest open node is farther than the worst of ``ef``
+    kept ones, or than ``radius`` if one is given.  With ``ef < k`` the result
+    keeps its own k nearest of all visited nodes.  With ``bounds``
+    (:func:`coarse_bounds`) a second queue holds the k least lower bounds of
+    accepted nodes: once k are kept, a candidate whose bound exceeds all of
+    them is dropped before its distance is computed.
+    """
     d0 = float(((vectors[entry] - q) ** 2).sum())
-    open_, kept, seen, count = [(d0, entry)], [(-d0, -entry)], {entry}, 1
+    open_, kept, seen, counts = [(d0, entry)], [(-d0, -entry)], {entry}, {"distances": 1, "pruned": 0, "hops": 0}
+    result = [(-d0, -entry)]
+    low: list[float] = []
     while open_:
         d, i = heapq.heappop(open_)
-        if d > -kept[0][0] and len(kept) >= ef:
+        if (d > -kept[0][0] and len(kept) >= ef) or (radius is not None and d > radius and len(kept) >= k):
             break
+        counts["hops"] += 1
         new = [j for j in links[i].tolist() if j not in seen]
         seen.update(new)
-        count += len(new)
-        for j, dj in zip(new, ((vectors[new] - q) ** 2).sum(axis=1).tolist() if new else [], strict=True):
+        lows = lower_bounds(bounds, new, q).tolist() if bounds is not None and new else [0.0] * len(new)
+        if bounds is not None and len(kept) >= k and len(low) >= k:
+            stays = [n for n, b in enumerate(lows) if b <= -low[0]]
+            counts["pruned"] += len(new) - len(stays)
+            new, lows = [new[n] for n in stays], [lows[n] for n in stays]
+        counts["distances"] += len(new)
+        for j, dj, b in zip(new, ((vectors[new] - q) ** 2).sum(axis=1).tolist() if new else [], lows, strict=True):
             if len(kept) < ef or dj < -kept[0][0]:
                 heapq.heappush(open_, (dj, j))
                 heapq.heappush(kept, (-dj, -j))
                 if len(kept) > ef:
                     heapq.heappop(kept)
-    return sorted((-d, -i) for d, i in kept)[:k], count
-
-
-def search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int = 64, parts: int = 4, deleted: DataFrame | None = None) -> DataFrame:
+                if bounds is not None:
+                    heapq.heappush(low, -b)
+                    if len(low) > k:
+                        heapq.heappop(low)
+            if ef < k:
+                heapq.heappush(result, (-dj, -j))
+                if len(result) > k:
+                    heapq.heappop(result)
+    best = result if ef < k else kept
+    return sorted((-d, -i) for d, i in best)[:k], counts
+
+
+def search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int = 64, parts: int = 4, deleted: DataFrame | None = None, radius: float | None = None, dual_queue: bool = False) -> DataFrame:
     """qid, rank, vec_id, d by a beam over each part's level-0 subgraph.
 
     Ids are dealt into parts; links across parts are dropped and nodes that
     this leaves unreachable are entered by themselves, so with ``ef`` at least
     the part's rows the result is exact.  Deleted ids are not searched.
+    ``radius`` and ``dual_queue`` end or prune the search early (:func:`beam`).
     """
     if deleted is not None:
         base = base.join(deleted, "vec_id", "left_anti")
@@ -105,10 +148,10 @@ def search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: in
             at = {int(i): n for n, i in enumerate(ids)}
             v = np.stack(b["embedding"].to_numpy()).astype(np.float64)
             links = [np.array([at[j] for j in (x if x is not None else []) if j in at], int) for x in b["links"]]
-            entries = _entries(links)
+            entries, low = _entries(links), coarse_bounds(v) if dual_queue else None
             for qid, x in zip(q["qid"], q["query"], strict=True):
                 x = np.asarray(x, np.float64)
-                found = {i: d for s in entries for d, i in beam(v, links, x, s, ef, k)[0]}
+                found = {i: d for s in entries for d, i in beam(v, links, x, s, ef, k, radius, low)[0]}
                 best = sorted((d, int(ids[i])) for i, d in found.items())[:k]
                 out += [(qid, i, d) for d, i in best]
         return pd.DataFrame(out, columns=["qid", "vec_id", "d"])

@@ -45,6 +45,13 @@ def graph_search(spark, sf_dir):
     return out(graph.search(base, graph.build(base, M)[1], asked(base), 10))
 
 
+@query()
+def graph_search_et(spark, sf_dir):
+    """The search with dual-queue early termination."""
+    base = vectors(spark, sf_dir)
+    return out(graph.search(base, graph.build(base, M)[1], asked(base), 10, dual_queue=True))
+
+
 @query("SELECT level, count(*) AS n FROM (SELECT floor(-ln((('0x' || substr(md5(vec_id || ':100'), 1, 12))::BIGINT + 1) / 281474976710656.0::DOUBLE) / ln(8))::INTEGER AS level FROM embeddings) GROUP BY level")
 def graph_level_census(spark, sf_dir):
     return graph.levels(vectors(spark, sf_dir), M).groupBy("level").agg(F.count("*").alias("n"))

@@ -76,6 +76,8 @@ RECIPES: dict[str, tuple[Steps, str, Steps, str, str]] = {
     "fp8_fpma_e2m5": (_scaled8(3, E2M5), "p", SQ8, "t", "{s} / 3.0 / 3.0"),
     "fp8_fpma_e3m4": (_scaled8(15, E3M4), "p", SQ8, "t", "{s} / 15.0 / 15.0"),
     "fp8_fpma_quantized": ([], "x", [("g", "(a - b)::FLOAT::DOUBLE"), *fp8("d", "g", *E4M3), *square("t", "d", 23, T8F, 8, -126, 128), *_fixed(13, 16)], "z", "{s}"),
+    "fp8_fpma_quantized_e2m5": ([], "x", [("g", "(a - b)::FLOAT::DOUBLE"), *fp8("d", "g", *E2M5), *square("t", "d", 23, T8F, 8, -126, 128), *_fixed(13, 16)], "z", "{s}"),
+    "fp8_fpma_quantized_e3m4": ([], "x", [("g", "(a - b)::FLOAT::DOUBLE"), *fp8("d", "g", *E3M4), *square("t", "d", 23, T8F, 8, -126, 128), *_fixed(13, 16)], "z", "{s}"),
     "int16_diff_fpma": ([("p", "round_even(x, 0)")], "p", [("d", "greatest(least(a - b, 32767), -32768)"), *sq16()], "t", "{s}"),
     "int16": ([("p", "greatest(least(sign(x) * floor(abs(x) * 32767.0 + 0.5), 32767), -32767)")], "p", PLAIN, "t", "{s} / 32767.0 / 32767.0"),
     "int8": ([("p", "greatest(least(sign(x) * floor(abs(x) * 127.0 + 0.5), 127), -127)")], "p", PLAIN, "t", "{s} / 127.0 / 127.0"),

@@ -218,6 +218,23 @@ def rtl_square_sweep(spark, sf_dir):
     return bits.select("bits", numeric.rtl_square(F.col("bits")).cast("long").alias("square_bits"))
 
 
+def _codec_sql(kind: str) -> str:
+    wide, bits, bias = numeric.FP8_FIELDS[kind]
+    one = float(1 << bits)
+    steps = [("a", "abs(x)"), *s.exponent("e", "a"), ("m", f"round_even((a / pow(2.0, e) - 1) * {one}, 0)"), ("f", f"e + {bias} + (m >= {one})::INT")]
+    columns = "".join(f", {x} AS {n}" for n, x in steps)
+    code = f"CASE WHEN a < pow(2.0, {1 - bias}) THEN 0 WHEN f >= {(1 << wide) - 1} THEN 127 ELSE f * {one} + CASE WHEN m >= {one} THEN 0 ELSE m END END + CASE WHEN x < 0 THEN 128 ELSE 0 END"
+    return f"SELECT '{kind}' AS kind, vec_id, i, ({code})::INTEGER AS code FROM (SELECT *{columns} FROM (SELECT vec_id, i, x * 20 AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings) WHERE i < 8))"
+
+
+@query(" UNION ALL ".join(_codec_sql(k) for k in numeric.FP8_FIELDS))
+def fp8_codes(spark, sf_dir):
+    """8-bit encodings of scaled components, in the three formats."""
+    v = vectors(spark, sf_dir).select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "x")).withColumn("x", F.col("x").cast("double") * 20)
+    kinds = [v.select(F.lit(k).alias("kind"), "vec_id", "i", numeric.fp8_encode(F.col("x"), k).alias("code")) for k in numeric.FP8_FIELDS]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
 _T = [x for r in numeric.product_table() for x in r]
 
 
