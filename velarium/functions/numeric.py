@@ -8,7 +8,7 @@ give scalar Columns, keep NaN, and are used inside ``transform``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,25 +32,27 @@ def pow2(e: Column) -> Column:
     return F.pow(lit(2), e)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: a Column that is used twice would be evaluated twice inside a lambda."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
+
+
 def exponent(a: Column) -> Column:
     """floor(log2(a)) of a positive, finite number."""
-    e = F.floor(F.log2(a)).cast("double")
-    return F.when(pow2(e) > a, e - 1).when(pow2(e + 1) <= a, e + 1).otherwise(e)
+    return let(F.floor(F.log2(a)).cast("double"), lambda e: F.when(pow2(e) > a, e - 1).when(pow2(e + 1) <= a, e + 1).otherwise(e))
 
 
 def _finite_part(x: Column, f) -> Column:
     """f(|x|) with x's sign; zero, NaN and infinities stay."""
-    a = F.abs(x)
-    return F.when((a > 0) & (a < lit(float("inf"))), F.signum(x) * f(a)).otherwise(x)
+    return let(F.abs(x), lambda a: F.when((a > 0) & (a < lit(float("inf"))), F.signum(x) * f(a)).otherwise(x))
 
 
 def fp16(x: Column) -> Column:
     """IEEE half precision, ties to even; beyond 65,504 an infinity."""
 
     def f(a: Column) -> Column:
-        unit = pow2(F.greatest(exponent(a), lit(-14)) - 10)
-        r = F.rint(a / unit) * unit
-        return F.when(r >= 65520, lit(float("inf"))).otherwise(r)
+        rounded = let(pow2(F.greatest(exponent(a), lit(-14)) - 10), lambda unit: F.rint(a / unit) * unit)
+        return let(rounded, lambda r: F.when(r >= 65520, lit(float("inf"))).otherwise(r))
 
     return _finite_part(x, f)
 
@@ -62,8 +64,8 @@ def fp8(x: Column, bits: int, low: float, high: float) -> Column:
     """
 
     def f(a: Column) -> Column:
-        unit = pow2(exponent(a) - bits)
-        return F.when(a < low, lit(0)).when(a > high, lit(high)).otherwise(F.least(F.floor(a / unit + 0.5) * unit, lit(high)))
+        rounded = let(pow2(exponent(a) - bits), lambda unit: F.floor(a / unit + 0.5) * unit)
+        return F.when(a < low, lit(0)).when(a > high, lit(high)).otherwise(F.least(rounded, lit(high)))
 
     return F.when(F.abs(x) == lit(float("inf")), F.signum(x) * high).otherwise(_finite_part(x, f))
 
@@ -115,20 +117,18 @@ def approximate_square(x: Column, bits: int, table: Sequence[int], step: int, lo
     entries = F.array(*[lit(t * step) for t in table])
 
     def f(a: Column) -> Column:
-        e = exponent(a)
-        mant = F.floor((a / pow2(e) - 1) * one).cast("double")
-        twice = F.when(mant * 2 >= one, F.struct((2 * e + 1).alias("e"), (mant * 2 - one).alias("m"), mant.alias("i"))).otherwise(F.struct((2 * e).alias("e"), (mant * 2).alias("m"), mant.alias("i")))
-        return F.transform(F.array(twice), lambda s: _assemble(s, entries, one, len(table), low, high))[0]
+        fields = let(exponent(a), lambda e: F.struct(e.alias("e"), F.floor((a / pow2(e) - 1) * one).cast("double").alias("i")))
+        carry = lambda s: (s["i"] * 2 >= one).cast("double")
+        twice = let(fields, lambda s: F.struct((2 * s["e"] + carry(s)).alias("e"), (2 * s["i"] - carry(s) * one).alias("m"), s["i"].alias("i")))
+        summed = let(twice, lambda s: F.struct(s["e"], (s["m"] + F.get(entries, F.floor(s["i"] / (one / len(table))).cast("int"))).alias("m")))
+        return let(summed, lambda s: _assemble(s["e"], s["m"], one, low, high))
 
-    a = F.abs(x)
-    return F.when((a >= 2.0**low) & (a < lit(float("inf"))), f(a)).when(a < 2.0**low, lit(0)).otherwise(F.abs(x))
+    return let(F.abs(x), lambda a: F.when((a >= 2.0**low) & (a < lit(float("inf"))), f(a)).when(a < 2.0**low, lit(0)).otherwise(a))
 
 
-def _assemble(s: Column, entries: Column, one: float, n: int, low: int, high: int) -> Column:
-    m = s["m"] + F.get(entries, F.floor(s["i"] / (one / n)).cast("int"))
-    e = s["e"] + F.when(m >= one, 1.0).otherwise(0.0)
-    left = F.when(m >= one, m - one).otherwise(m)
-    return F.when(e < low, lit(0)).when(e >= high, lit(float("inf"))).otherwise(pow2(e) * (1 + left / one))
+def _assemble(e: Column, m: Column, one: float, low: int, high: int) -> Column:
+    carry = (m >= one).cast("double")
+    return F.when(e + carry < low, lit(0)).when(e + carry >= high, lit(float("inf"))).otherwise(pow2(e + carry) * (1 + (m - carry * one) / one))
 
 
 def square_fp16(x: Column, table: Sequence[int] = SQUARE_8) -> Column:
