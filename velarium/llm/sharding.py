@@ -5,7 +5,7 @@ equal texts are neighbours and stay in one shard unless they alone outweigh
 the tolerance.  The splitters come from counting, not sampling: each round
 sums the exact bytes below candidate key boundaries over all partitions and
 narrows every splitter's interval by a factor of 64, until each shard boundary
-lies within ``tolerance`` of its share (or a single key is left).  A round
+lies within ``tolerance`` of its share (or a single row or key is left).  A round
 reads a narrow table of keys and sizes and gives a few rows per splitter.
 
 A shard is cut into ranges of about ``RANGE`` bytes, so that neither a shard
@@ -64,14 +64,15 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001) -> tuple[l
     """Keys at which ranges begin (without the first), and the ranges of a shard.  ``rows``: _hi, _lo, size."""
     spark = rows.sparkSession
 
-    def counted(source: DataFrame, bits: int) -> list[tuple[tuple[int, int], int]]:
+    def counted(source: DataFrame, bits: int) -> list[tuple[tuple[int, int], int, int]]:
+        """Prefix, bytes and rows of each interval that has any."""
         hi, lo = _prefix(bits)
-        sums = source.groupBy(hi.alias("h"), lo.alias("l")).agg(F.sum("size").alias("n"))
-        return sorted(((r["h"], r["l"]), r["n"]) for r in sums.collect())
+        sums = source.groupBy(hi.alias("h"), lo.alias("l")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        return sorted(((r["h"], r["l"]), r["n"], r["rows"]) for r in sums.collect())
 
     bits = FIRST_BITS
     sums = counted(rows, bits)  # at most 2**FIRST_BITS rows
-    total = sum(n for _, n in sums)
+    total = sum(n for _, n, _ in sums)
     per_shard = min(MOST_RANGES, max(1, -(-total // (shards * RANGE))))
     parts = shards * per_shard
     done: dict[int, tuple[int, int]] = {}
@@ -82,15 +83,15 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001) -> tuple[l
         for j in list(open_):
             want, below = total * j / parts, open_[j]
             slack = tolerance * total / shards if j % per_shard == 0 else 0.05 * total / parts
-            for prefix, n in groups[inside[j]]:
+            for prefix, n, rows_inside in groups[inside[j]]:
                 if below + n > want or prefix == groups[inside[j]][-1][0]:
                     break
                 below += n
-            if want - below <= slack or (bits == 128 and want - below <= below + n - want):
+            last = bits == 128 or rows_inside == 1  # nothing left to divide
+            if want - below <= slack or (last and want - below <= below + n - want):
                 done[j] = _edge(prefix, bits)
-            elif below + n - want <= slack or bits == 128:
-                at = (_edge(prefix, bits)[0], _edge(prefix, bits)[1])
-                done[j] = _after(at, bits)
+            elif below + n - want <= slack or last:
+                done[j] = _after(_edge(prefix, bits), bits)
             else:
                 open_[j], inside[j] = below, prefix
                 continue
@@ -103,8 +104,8 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001) -> tuple[l
         names = spark.createDataFrame(held, "h long, l long")  # one row for each open splitter at most
         part = rows.withColumn("_h", h).withColumn("_l", lo).join(F.broadcast(names), (F.col("_h") == F.col("h")) & (F.col("_l") == F.col("l"))).select("_hi", "_lo", "size")
         groups = {}
-        for prefix, n in counted(part, bits):
-            groups.setdefault(_outer(prefix, bits, old), []).append((prefix, n))
+        for prefix, n, count in counted(part, bits):
+            groups.setdefault(_outer(prefix, bits, old), []).append((prefix, n, count))
     edges, least = [], (LOW, LOW)
     for j in range(1, parts):
         least = max(least, done.get(j, least))
