@@ -1,9 +1,11 @@
 """Each operator against a plain version, and its defined cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -358,6 +360,46 @@ def test_bin_completion_beats_best_fit_and_finds_optima():
     assert len(packing.complete(hard, 20)) == 3
 
 
+def test_fillings_come_fullest_first_and_whole():
+    draw = random.Random(8)
+    for _ in range(150):
+        sizes = sorted((draw.randint(1, 30) for _ in range(draw.randint(0, 10))), reverse=True)
+        found = list(packing.fillings(sizes, 50, [1 << 60]))
+        fill = [sum(sizes[j] for j in f) for f in found]
+        assert fill == sorted(fill, reverse=True) and len(set(found)) == len(found)
+        every = {tuple(sizes[j] for j in c) for n in range(len(sizes) + 1) for c in itertools.combinations(range(len(sizes)), n) if sum(sizes[j] for j in c) <= 50}
+        assert fill[0] == max(map(sum, every))
+        # Every fullest filling is there; one that is missing can be improved by one piece.
+        got = {tuple(sizes[j] for j in f) for f in found}
+        for f in every - got:
+            unused = Counter(sizes) - Counter(f)
+            assert any(u > t and sum(f) + u - t <= 50 for u in unused for t in (0, *f))
+
+
+def test_blocks_of_many_sequences_reach_the_bound():
+    draw, missed = random.Random(9), 0
+    for _ in range(4):
+        sizes = [min(4096, int(draw.lognormvariate(6.7, 0.8)) + 1) for _ in range(2000)]
+        bins = packing.complete(sizes, 4096)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 4096 for b in bins)
+        assert len(bins) == packing.least_bins(sizes, 4096)
+        missed += len(packing.best_fit(sizes, 4096)) > len(bins)
+        loose = [b for b in packing.tightened(bins, sizes, 4096) if sum(sizes[i] for i in b) < 4096]
+        assert len(loose) <= 8
+    assert missed
+
+
+def test_packing_rounds_lose_no_sequence(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 200)
+    draw = random.Random(5)
+    sizes = [draw.choice([4096, draw.randint(1, 2500), draw.randint(1, 300)]) for _ in range(3000)]
+    parts = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(sizes)], "doc_id long, piece long, start long, length long, ids_crc32 long")
+    rows = packing.pack(parts, len(sizes)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(3000))
+    check_places(rows)
+    assert len({r["sequence_id"] for r in rows}) == -(-sum(sizes) // 4096)
+
+
 def test_token_counts(docs, none):
     c = tokencount.Counter(tokenizer_path(PIECE_BPE))
     assert c.stable

@@ -2,13 +2,16 @@
 
 Documents are encoded, ended with an end id and, only where longer than a
 sequence, cut into sequence-long pieces.  Full pieces are sequences of their
-own.  The others meet in blocks of about ``BLOCK`` pieces by a hash of their
-id; a block is packed by best-fit decreasing, and where that needs more
-sequences than the bound on its tokens allows, by bin completion: around the
-largest piece left, the undominated fillings are enumerated, fullest first;
-a branch ends when its wasted room exceeds what an improvement could afford,
-and the best-fit solution of what remains serves as incumbent.  The search is
-bounded by ``NODES`` fillings a block; the incumbent stands when it ends.
+own and take no part in the search.  The others meet in blocks of about
+``BLOCK`` pieces by a hash of their id; a block is packed by best-fit
+decreasing, and where that needs more sequences than the bound on its tokens
+allows, by bin completion: first what best fit left in sequences with room is
+packed anew, each time the largest piece with its fullest filling; if the bound
+is still missed, a search goes through the undominated fillings around the
+largest piece left, fullest first, and leaves a branch when its wasted room
+exceeds what an improvement could afford.  Finding the fewest sequences is
+NP-hard: the search ends after ``EFFORT`` steps, some ten times what a first
+complete packing of a block takes, and the best packing so far stands.
 
 Each block leaves a few sequences with room; their pieces are gathered into
 blocks again and packed anew, round by round, until one block holds them all.
@@ -20,7 +23,7 @@ rows are pieces of their own; an empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,8 @@ from .common import cut, size_groups, small_batches
 from .wordbpe import TEXTS, encoder
 
 LENGTH = 4096
-#: Pieces of a block, and fillings tried in it beyond the best-fit solution.
-BLOCK, NODES = 4096, 200
+#: Pieces of a block, and steps of the search in it (a step takes or passes over a piece).
+BLOCK, EFFORT = 4096, 200_000
 #: Rounds in which rest sequences are packed anew at most: each divides the blocks by at least 8.
 MERGE = 8
 
@@ -72,85 +75,139 @@ def least_bins(lengths: list[int], room: int) -> int:
     return best
 
 
-def fillings(sizes: list[int], room: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` from the sorted (descending) distinct-position sizes, fullest first.
+def fillings(sizes: list[int], room: int, effort: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` from the descending sizes, as positions: lazily, fullest first.
 
-    A filling that another one dominates (same or larger pieces in its place)
-    leaves room that some unused piece could have taken or replaced.
+    Suffix sums say which totals the sizes from a position on can make, so no
+    path ends without a filling.  A filling leaves out no piece that would fit
+    and none that could take a smaller one's place.  Among equal sizes the
+    first are taken.  Each step lowers ``effort[0]``; at 0 the fillings end.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    n = len(sizes)
-
-    def grow(at: int, left: int, taken: tuple[int, ...], skipped: int) -> None:
-        """skipped: the largest size passed over so far that would still have fitted."""
-        if len(found) >= limit:
-            return
-        i = bisect_left(sizes, -left, lo=at, key=lambda s: -s)  # first that fits
-        if i == n:
-            used = set(taken)
-            # Dominated if one piece could be swapped for a larger unused one within the room that is left.
-            for t in taken:
-                j = t - 1
-                while j >= 0 and j in used:
-                    j -= 1
-                if j >= 0 and sizes[j] - sizes[t] <= left and sizes[j] > sizes[t]:
-                    return
-            found.append((left, taken))
-            return
-        grow(i + 1, left - sizes[i], (*taken, i), skipped)
-        j = i + 1
-        while j < n and sizes[j] == sizes[i]:
-            j += 1
-        if j < n and sizes[j] * 1 <= left:
-            grow(j, left, taken, max(skipped, sizes[i]))
-        elif taken or j == n:
-            pass
-
-    grow(0, room, (), 0)
-    return [t for _, t in sorted(found)] or [()]
-
-
-def complete(lengths: list[int], room: int, nodes: int = NODES) -> list[list[int]]:
+    n, down = len(sizes), lambda x: -x
+    mask = (1 << (room + 1)) - 1
+    sums, top = [1], n  # sums[i - top]: totals of sizes[i:]; above top all totals can be made
+    while top and sizes[top - 1] <= room and sums[-1] != mask:
+        now = (sums[-1] | sums[-1] << sizes[top - 1]) & mask
+        if now == sums[-1]:  # more of this size add nothing either
+            at = bisect_left(sizes, -sizes[top - 1], key=down)
+            sums += sums[-1:] * (top - at)
+            top = at
+        else:
+            sums.append(now)
+            top -= 1
+    sums.reverse()
+    full = sums[0] == mask
+    lowest = bisect_left(sizes, -room, key=down)  # the first that fits at all
+
+    def makes(at: int, total: int) -> bool:
+        return full if at < top else bool(sums[at - top] >> total & 1)
+
+    totals = mask if lowest < top else sums[lowest - top]
+    while totals:
+        total = totals.bit_length() - 1
+        totals ^= 1 << total
+        left, open_, taken = room - total, [], []
+        i, s = lowest, total
+        while True:
+            effort[0] -= 1
+            if effort[0] <= 0:
+                return
+            if s:
+                i = bisect_left(sizes, -s, lo=i, key=down)
+                if i < n and makes(i, s):
+                    j = bisect_right(sizes, -sizes[i], lo=i, key=down)
+                    if makes(i + 1, s - sizes[i]):
+                        if makes(j, s):
+                            open_.append((j, s, len(taken)))
+                        taken.append(i)
+                        s -= sizes[i]
+                        i += 1
+                    else:
+                        i = j
+                    continue
+            elif not _dominated(sizes, taken, left):
+                yield tuple(taken)
+            if not open_:
+                break
+            i, s, k = open_.pop()
+            del taken[k:]
+
+
+def _dominated(sizes: list[int], taken: list[int], left: int) -> bool:
+    """Whether an unused piece fits in what is left, alone or in the place of a smaller one."""
+    if not left:
+        return False
+    used = set(taken)
+    for size in (0, *(sizes[t] for t in taken)):
+        # The smallest unused piece that is larger than this one.
+        j = bisect_left(sizes, -size, key=lambda x: -x) - 1
+        while j >= 0 and j in used:
+            j -= 1
+        if j >= 0 and sizes[j] - size <= left:
+            return True
+    return False
+
+
+def tightened(bins: list[list[int]], lengths: list[int], room: int) -> list[list[int]]:
+    """The pieces of bins with room packed anew, each time the largest with its fullest filling; never more bins."""
+    full = [b for b in bins if sum(lengths[i] for i in b) == room]
+    loose = sorted((i for b in bins if sum(lengths[i] for i in b) < room for i in b), key=lambda i: -lengths[i])
+    sizes, anew = [lengths[i] for i in loose], []
+    while loose:
+        first, left = loose.pop(0), room - sizes.pop(0)
+        # The fullest filling is never dominated, so the first one found is taken: no effort limits it.
+        pick = next(fillings(sizes, left, [1 << 62]))
+        anew.append([first, *(loose[j] for j in pick)])
+        for j in reversed(pick):
+            del loose[j], sizes[j]
+    return full + anew if len(full) + len(anew) <= len(bins) else bins
+
+
+def complete(lengths: list[int], room: int, effort: int = EFFORT) -> list[list[int]]:
     """As few bins as the search finds; never more than best fit gives."""
+    if room in lengths:  # full pieces are bins of their own and take no part
+        parts = [i for i, n in enumerate(lengths) if n < room]
+        return [[i] for i, n in enumerate(lengths) if n == room] + [[parts[i] for i in b] for b in complete([lengths[i] for i in parts], room, effort)]
     incumbent = best_fit(lengths, room)
     bound = least_bins(lengths, room)
+    if len(incumbent) > bound:
+        incumbent = tightened(incumbent, lengths, room)
     if len(incumbent) <= bound:
         return incumbent
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    budget = [nodes]
-
-    def search(left: list[int], done: list[list[int]], waste: int) -> None:
-        nonlocal incumbent
-        if budget[0] <= 0 or len(incumbent) <= bound:
-            return
-        if not left:
-            if len(done) < len(incumbent):
-                incumbent = done
-            return
-        rest = sum(lengths[i] for i in left)
-        if len(done) + -(-rest // room) >= len(incumbent):
-            return
-        if len(done) + len(trial := best_fit([lengths[i] for i in left], room)) < len(incumbent):
-            incumbent = done + [[left[i] for i in b] for b in trial]
-            if len(incumbent) <= bound:
-                return
-        # Room that may be wasted in all, if one bin fewer than the incumbent is to do.
-        spare = (len(incumbent) - 1) * room - sum(lengths)
-        first, others = left[0], left[1:]
-        for pick in fillings([lengths[i] for i in others], room - lengths[first], 8):
-            budget[0] -= 1
-            chosen = [others[j] for j in pick]
-            lost = room - lengths[first] - sum(lengths[i] for i in chosen)
-            if waste + lost > spare or budget[0] <= 0:
-                return  # fillings come fullest first
-            gone = set(chosen)
-            search([i for i in others if i not in gone], [*done, [first, *chosen]], waste + lost)
-
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(lengths) + 1000))
-    if len(lengths) <= 4 * BLOCK:
-        search(order, [], 0)
+    left = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    sizes = [lengths[i] for i in left]
+    total, budget = sum(sizes), [effort]
+    # One entry a bin: its fillings, its pieces in order of position, and the room wasted up to it.
+    done: list[list] = []
+    wasted = 0
+
+    def opened() -> None:
+        """Start a bin around the largest piece left."""
+        first, size = left.pop(0), sizes.pop(0)
+        done.append([first, size, fillings(sizes, room - size, budget), (), [], wasted])
+
+    opened()
+    while done and budget[0] > 0 and len(incumbent) > bound:
+        first, size, more, pick, pieces, before = done[-1]
+        for j, i in zip(pick, pieces):  # ascending, so each returns to its place
+            left.insert(j, i)
+            sizes.insert(j, lengths[i])
+        pick = next(more, None)
+        # Room that may be wasted in all, if one bin fewer than the incumbent is to do; fillings come fullest first.
+        lost = room - size - sum(sizes[j] for j in pick) if pick is not None else 0
+        if pick is None or before + lost > (len(incumbent) - 1) * room - total:
+            left.insert(0, first)
+            sizes.insert(0, size)
+            done.pop()
+            continue
+        done[-1][3:5] = pick, [left[j] for j in pick]
+        for j in reversed(pick):
+            del left[j], sizes[j]
+        wasted = before + lost
+        if left:
+            opened()
+        elif len(done) < len(incumbent):
+            incumbent = [[d[0], *d[4]] for d in done]
     return incumbent
 
 
@@ -183,10 +240,18 @@ def _packer(length: int, rest: bool):
 
     def packed(block: int, rows: list[tuple]) -> pa.RecordBatch:
         rows = sorted(rows, key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[4]))
-        bins = complete([r[3] for r in rows], length)
+        sizes = [r[3] for r in rows]
+        bins = complete(sizes, length)
+        if rest:  # gather the room that is left in few sequences
+            bins = tightened(bins, sizes, length)
         fill = [sum(rows[i][3] for i in b) for b in bins]
-        # Those that leave more than a sixteenth of a sequence, and at least the emptiest one.
-        open_ = {n for n, f in enumerate(fill) if f < length * 15 // 16} | ({min(range(len(fill)), key=fill.__getitem__)} if fill else set())
+        # Those that leave more than a sixteenth of a sequence, the emptiest one, and further ones with room up to a MERGE-th of the pieces.
+        open_, taken = set(), 0
+        for n in sorted(range(len(fill)), key=fill.__getitem__):
+            taken += len(bins[n])
+            if open_ and fill[n] >= length * 15 // 16 and taken * MERGE > len(rows):
+                break
+            open_.add(n)
         out = []
         for n, b in enumerate(bins):
             at = 0
