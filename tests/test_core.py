@@ -146,6 +146,20 @@ def test_pruning_keeps_the_exact_answers(cloud):
     assert few.count() == 10 * 6
 
 
+def test_blocked_search_keeps_the_least_ids_of_equal_vectors(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(2000, 16)).astype(np.float32)
+    v[::20] = v[0]
+    v[1::50] = v[1]
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], VECTORS).repartition(3)
+    q = search.as_queries(base.where("vec_id in (0, 1, 7, 40)"))
+    found = answers(search.knn_blocked(base, q, 10, rows=700))
+    assert found == answers(search.knn(base, q, 10))
+    assert [found[0, r] for r in range(1, 11)] == list(range(0, 200, 20))
+    few = search.knn_blocked(base.where("vec_id < 6"), q, 10)
+    assert answers(few) == answers(search.knn(base.where("vec_id < 6"), q, 10))
+
+
 def test_graph_search(spark, cloud):
     nodes, edges = graph.build(cloud, 6)
     edges = edges.checkpoint()

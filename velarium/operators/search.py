@@ -115,6 +115,9 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 # The blocked kernel: the same joins as a matrix product a block.
 
+#: Pairs whose fast form is held at once, and pairs summed exactly at once.
+PAIRS, CHUNK = 1 << 22, 1 << 16
+
 
 def _block_kernel(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -125,16 +128,21 @@ def _block_kernel(k: int):
             order = np.argsort(base)
             base, v = base[order], v[order]
             n2, take = (v * v).sum(axis=1), min(k, len(base))
+            step = max(1, min(512, PAIRS // len(base)))
             parts = []
-            for a in range(0, len(q), 512):
-                part = q[a : a + 512]
-                approx = n2 - 2 * (part @ v.T) + (part * part).sum(axis=1)[:, None]
-                # A few more than k by the fast form, then exact sums and the (distance, id) order.
-                near = np.argpartition(approx, min(take + 8, len(base)) - 1, axis=1)[:, : take + 8]
-                exact = ((part[:, None, :] - v[near]) ** 2).sum(axis=2)
-                best = np.lexsort((base[near], exact), axis=1)[:, :take]
-                rows = np.arange(len(part))[:, None]
-                parts.append((np.repeat(ids[a : a + 512], take), base[near][rows, best].ravel(), exact[rows, best].ravel()))
+            for a in range(0, len(q), step):
+                part = q[a : a + step]
+                size = n2 + (part * part).sum(axis=1)[:, None]
+                approx = size - 2 * (part @ v.T)
+                # All that rounding of the fast form lets be among the k nearest, then exact sums and the (distance, id) order.
+                size *= 8 * (v.shape[1] + 4) * np.finfo(np.float64).eps
+                reach = np.partition(approx + size, take - 1, axis=1)[:, take - 1 : take]
+                row, near = np.nonzero(~(approx - size > reach))
+                exact = np.concatenate([((part[row[c : c + CHUNK]] - v[near[c : c + CHUNK]]) ** 2).sum(axis=1) for c in range(0, len(row), CHUNK)])
+                best = np.lexsort((near, exact, row))  # base is in id order
+                row = row[best]
+                best = best[np.arange(len(row)) - np.searchsorted(row, row) < take]
+                parts.append((np.repeat(ids[a : a + step], take), base[near[best]], exact[best]))
             out = {n: pa.array(np.concatenate([p[i] for p in parts])) for i, n in enumerate(("qid", "vec_id", "d"))}
         return pa.table(out)
 
