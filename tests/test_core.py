@@ -160,6 +160,26 @@ def test_blocked_search_keeps_the_least_ids_of_equal_vectors(spark):
     assert answers(few) == answers(search.knn(base.where("vec_id < 6"), q, 10))
 
 
+def test_bfs_goes_all_the_way_and_starts_again(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    links = [(i, i + 1) for i in range(70)] + [(i, 0) for i in (3, 5)] + [(200, 201), (201, 200), (201, 70), (90, 200)]
+    edges = spark.createDataFrame(links, "src long, dst long").coalesce(1).cache()
+    nodes = spark.createDataFrame([(i,) for i in [*range(71), 90, 200, 201, 300]], "id long").coalesce(1).cache()
+    want, turn = {}, 0
+    while left := {r["id"] for r in nodes.collect()} - set(want):
+        front, hop = {min(left)}, 0
+        while front:
+            want |= {i: (turn, hop) for i in front}
+            front, hop = {b for a, b in links if a in front} - set(want), hop + 1
+        turn += 1
+    degree = {a: sum(x == a for x, _ in links) for a, _ in links}
+    all_ = graph.bfs_order(graph.bfs(edges, 0, nodes), edges).collect()
+    assert {r["id"]: (r["turn"], r["hop"]) for r in all_} == want and len(all_) == len(want) == 75
+    assert all(r["degree"] == degree.get(r["id"], 0) for r in all_)
+    reached = graph.bfs_order(graph.bfs(edges, 0), edges)
+    assert {r["id"]: r["hop"] for r in reached.collect()} == {i: i for i in range(71)} and reached.columns == ["id", "hop", "degree"]
+
+
 def test_graph_search(spark, cloud):
     nodes, edges = graph.build(cloud, 6)
     edges = edges.checkpoint()

@@ -191,24 +191,34 @@ def degree_stats(edges: DataFrame) -> DataFrame:
     return n.groupBy("level").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
 
 
-def bfs(edges: DataFrame, start: int, most: int = 64) -> DataFrame:
-    """id and hop of the nodes reachable from ``start``; a join a hop, against a shrinking frontier."""
+def bfs(edges: DataFrame, start: int, nodes: DataFrame | None = None) -> DataFrame:
+    """id and hop of the nodes reachable from ``start``; a join a hop, against a shrinking frontier, until it is empty.
+
+    With ``nodes`` (id) the traversal then starts again at the smallest node not
+    visited yet, until all are; ``turn`` counts the starts, and hops count from
+    the turn's own start.
+    """
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(start, 0)], "id long, hop int")
-    front = seen
-    for hop in range(1, most + 1):
-        new = edges.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop"))
-        new = new.checkpoint()
-        if new.isEmpty():
-            break
-        seen, front = seen.unionByName(new).checkpoint(), new
-    return seen
+    seen, turn = None, 0
+    while start is not None:
+        front = spark.createDataFrame([(start, 0, turn)], "id long, hop int, turn int")
+        seen, hop = front if seen is None else seen.unionByName(front).checkpoint(), 0
+        while True:
+            hop += 1
+            new = edges.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop"), F.lit(turn).alias("turn"))
+            new = new.checkpoint()
+            if new.isEmpty():
+                break
+            seen, front = seen.unionByName(new).checkpoint(), new
+        start = nodes.join(seen, "id", "left_anti").agg(F.min("id")).first()[0] if nodes is not None else None
+        turn += 1
+    return seen if nodes is not None else seen.drop("turn")
 
 
 def bfs_order(seen: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes by hop, then degree, then id; nodes that were not reached come last."""
+    """Visited nodes with what orders them: turn if there is one, hop, degree, id."""
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    return seen.join(degree, "id", "left").select("id", "hop", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return seen.join(degree, "id", "left").select(*seen.columns, F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def upsert(base: DataFrame, changed: DataFrame) -> DataFrame:

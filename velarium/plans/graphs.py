@@ -79,8 +79,9 @@ def graph_degree_stats(spark, sf_dir):
     "SELECT id, min(hop)::INTEGER AS hop, (SELECT count(*) FROM e WHERE src = id) AS degree FROM r GROUP BY id"
 )
 def graph_bfs_order(spark, sf_dir):
+    """What node 0 reaches, however far."""
     edges = knn_edges(spark, sf_dir).checkpoint()
-    return graph.bfs_order(graph.bfs(edges, 0, 12), edges)
+    return graph.bfs_order(graph.bfs(edges, 0), edges)
 
 
 @query("SELECT 'hnsw' AS format, count(*) AS rows, max(len(embedding))::INTEGER AS dim, 8 AS m, min(vec_id) AS least_id, max(vec_id) AS most_id FROM embeddings")
