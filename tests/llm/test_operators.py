@@ -273,6 +273,14 @@ def test_word_memo_equals_the_library():
     assert got == [e.ids for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_are_matched_as_they_are_written():
+    codec = WordEncoder(tokenizer_path(WORD_BPE))
+    special = ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "B", "É", " ", "\n", ",", "漢"]
+    texts = ["a <|ENDOFTEXT|> b", "X<|StartOfText|>Y", *prose(800, 12, special)]
+    for t, ids in zip(texts, codec.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == codec.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_files(spark, docs, none):
     folder = shared_dir(spark)
     tokenfiles.write(docs, folder, tokenizer_path(WORD_BPE), 2)

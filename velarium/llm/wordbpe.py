@@ -78,7 +78,12 @@ class WordEncoder:
 
 
 def _folded(text: str) -> str:
-    """Lower case ahead of the library's own, where that is known to be the same: in Latin-1."""
+    """Lower case ahead of the library's own, where that is known to be the same: in Latin-1 without added tokens.
+
+    The library looks for those, ``<|endoftext|>`` and its like, before it lower-cases.
+    """
+    if "<|" in text:
+        return text
     if not text.isascii():
         try:
             text.encode("latin-1")
