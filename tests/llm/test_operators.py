@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -273,6 +274,14 @@ def test_word_memo_equals_the_library():
     assert got == [e.ids for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_estimate_loses_less_than_the_bands():
+    fields, chance = neardup.BANDS * neardup.ROWS, 2.0**-neardup.BITS
+    equal = 0.75 * (1 - chance) + chance
+    least = next(n for n in range(fields + 1) if (n / fields - chance) / (1 - chance) >= neardup.LENIENT)
+    lost = sum(math.comb(fields, n) * equal**n * (1 - equal) ** (fields - n) for n in range(least))
+    assert lost < (1 - 0.75**neardup.ROWS) ** neardup.BANDS
+
+
 def test_added_tokens_are_matched_as_they_are_written():
     codec = WordEncoder(tokenizer_path(WORD_BPE))
     special = ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "B", "É", " ", "\n", ",", "漢"]
