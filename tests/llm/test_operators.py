@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from velarium.llm import media, mixing, neardup, packing, sharding, tokencount, tokenfiles, topk, toxicity, urlfilter
+from velarium.llm import media, mixing, neardup, packing, sharding, tokencount, tokenfiles, topk, toxicity, urlfilter, wordbpe
 from velarium.llm.common import shared_dir
 from velarium.llm.queries import PIECE_BPE, WORD_BPE, tokenizer_path
 from velarium.llm.wordbpe import WordEncoder
@@ -282,12 +283,41 @@ def test_estimate_loses_less_than_the_bands():
     assert lost < (1 - 0.75**neardup.ROWS) ** neardup.BANDS
 
 
+def ids_of(codec, texts):
+    ids, ends = codec.encode(pa.array(texts, pa.string()))
+    return [part.tolist() for part in np.split(ids, ends[:-1])]
+
+
 def test_added_tokens_are_matched_as_they_are_written():
     codec = WordEncoder(tokenizer_path(WORD_BPE))
     special = ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "B", "É", " ", "\n", ",", "漢"]
     texts = ["a <|ENDOFTEXT|> b", "X<|StartOfText|>Y", *prose(800, 12, special)]
-    for t, ids in zip(texts, codec.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == codec.tokenizer.encode(t, add_special_tokens=False).ids, t
+    for t, ids in zip(texts, ids_of(codec, texts), strict=True):
+        assert ids == codec.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_signs_and_the_memo(monkeypatch):
+    monkeypatch.setattr(wordbpe, "MEMO", 300)
+    codec = WordEncoder(tokenizer_path(WORD_BPE))
+    assert codec.separable
+    alphabet = ["Ab", "tion", "é", "É", "×", "÷", "ÿ", "µ", "***", "$", ",", "..", "'", "'S", "-", "7", " ", " ", "\n", "\u0301", "J", "\u030c", "İ", "\x85", "<|", "_"]
+    for seed in range(12):
+        texts = [None, "", *prose(120, seed, alphabet)]
+        for t, ids in zip(texts, ids_of(codec, texts), strict=True):
+            assert ids == codec.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+        assert len(codec.memo[0]) <= 300
+
+
+def test_a_file_that_proves_nothing_is_left_to_the_library(tmp_path):
+    with open(tokenizer_path(WORD_BPE), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+\s\S+|\S+"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    codec = WordEncoder(str(other))
+    assert not codec.separable
+    texts = ["a b c, d", "", "é  x", *prose(50, 2)]
+    assert ids_of(codec, texts) == [codec.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files(spark, docs, none):
@@ -301,13 +331,17 @@ def test_token_files(spark, docs, none):
         start += len(ids)
     got = [tuple(r) for r in tokenfiles.read(spark, folder).collect()]
     assert sorted(got, key=lambda r: r[1]) == want
+    least = spark.createDataFrame([(-(2**63), "a"), (None, "b"), (2**63 - 1, None)], "doc_id long, text string").withColumn("part", F.lit("x"))
+    ends = shared_dir(spark)
+    tokenfiles.write(least, ends, tokenizer_path(WORD_BPE), 2)
+    assert [r["doc_id"] for r in tokenfiles.read(spark, ends).orderBy("start").collect()] == [None, -(2**63), 2**63 - 1]
     empty = shared_dir(spark)
     tokenfiles.write(none, empty, tokenizer_path(WORD_BPE), 2)
     assert tokenfiles.read(spark, empty).count() == 0
 
 
 def test_packing(docs, none):
-    rows = packing.pack(packing.pieces(docs, tokenizer_path(WORD_BPE), 1), docs.count()).collect()
+    rows = packing.pack(packing.pieces(docs, tokenizer_path(WORD_BPE), 1)).collect()
     codec = WordEncoder(tokenizer_path(WORD_BPE)).tokenizer
     want = []
     for doc_id, text in ((r[0], r[1] or "") for r in odd_rows()):
@@ -318,7 +352,7 @@ def test_packing(docs, none):
     check_places(rows)
     total = sum(w[3] for w in want)
     assert len({r["sequence_id"] for r in rows}) <= -(-total // 4096) + 1
-    assert packing.pack(packing.pieces(none, tokenizer_path(WORD_BPE), 1), 0).count() == 0
+    assert packing.pack(packing.pieces(none, tokenizer_path(WORD_BPE), 1)).count() == 0
 
 
 def check_places(rows):
@@ -338,7 +372,7 @@ def test_packing_rounds(spark, monkeypatch):
     draw = random.Random(4)
     sizes = [draw.choice([4096, draw.randint(1, 4095), draw.randint(1, 300)]) for _ in range(3000)]
     parts = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(sizes)], "doc_id long, piece long, start long, length long, ids_crc32 long")
-    rows = packing.pack(parts, len(sizes)).collect()
+    rows = packing.pack(parts).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(3000))
     check_places(rows)
     assert len({r["sequence_id"] for r in rows}) <= -(-sum(sizes) // 4096) * 1.02 + 1
@@ -406,12 +440,25 @@ def test_blocks_of_many_sequences_reach_the_bound():
     assert missed
 
 
+def test_pieces_that_never_share_a_sequence_stay_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 500)
+    parts = spark.range(6000).selectExpr("cast(if(id % 3 = 0, null, 7) as long) as doc_id", "0L as piece", "0L as start", "2100L as length", "1L as ids_crc32")
+    rounds = []
+    monkeypatch.setattr(packing, "_packer", lambda length, make=packing._packer: rounds.append(length) or make(length))
+    out = packing.pack(parts)
+    assert out.select("sequence_id").distinct().count() == out.count() == 6000
+    assert len(rounds) == 2  # the second one gains nothing
+    # Equal rows and rows without an id are spread: a block number is the upper part of a sequence's.
+    sizes = [r["count"] for r in out.groupBy(F.shiftright("sequence_id", 24)).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 700
+
+
 def test_packing_rounds_lose_no_sequence(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 200)
     draw = random.Random(5)
     sizes = [draw.choice([4096, draw.randint(1, 2500), draw.randint(1, 300)]) for _ in range(3000)]
     parts = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(sizes)], "doc_id long, piece long, start long, length long, ids_crc32 long")
-    rows = packing.pack(parts, len(sizes)).collect()
+    rows = packing.pack(parts).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(3000))
     check_places(rows)
     assert len({r["sequence_id"] for r in rows}) == -(-sum(sizes) // 4096)

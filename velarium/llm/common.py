@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,20 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
+    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``, with its scheme.
 
-    Only where that setting is absent (tests, notebooks) a temporary folder
-    takes its place.  Folders are deleted when the session's driver ends.
+    Only a session inside one machine (tests, notebooks) may leave that unset:
+    it gets a temporary folder.  Folders are deleted when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="velarium-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/velarium-{uuid.uuid4().hex}"
+    path = qualified(spark, f"{base.rstrip('/')}/velarium-{uuid.uuid4().hex}")
     atexit.register(_delete, spark, path)
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and place that Spark gives it, for readers and writers beside Spark."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -41,14 +50,6 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches bounded in rows and bytes: a task that hands texts to Python holds few of them at once."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    return df
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -62,15 +63,3 @@ def cut(df: DataFrame) -> DataFrame:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def size_groups(lengths, limit: int):
-    """Consecutive index ranges whose summed lengths stay near ``limit``; a longer item stands alone."""
-    start = total = 0
-    for i, n in enumerate(lengths):
-        if i > start and total + n > limit:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(lengths):
-        yield start, len(lengths)

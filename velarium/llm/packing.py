@@ -3,7 +3,7 @@
 Documents are encoded, ended with an end id and, only where longer than a
 sequence, cut into sequence-long pieces.  Full pieces are sequences of their
 own and take no part in the search.  The others meet in blocks of about
-``BLOCK`` pieces by a hash of their id; a block is packed by best-fit
+``BLOCK`` pieces by a hash of their place; a block is packed by best-fit
 decreasing, and where that needs more sequences than the bound on its tokens
 allows, by bin completion: first what best fit left in sequences with room is
 packed anew, each time the largest piece with its fullest filling; if the bound
@@ -13,11 +13,15 @@ exceeds what an improvement could afford.  Finding the fewest sequences is
 NP-hard: the search ends after ``EFFORT`` steps, some ten times what a first
 complete packing of a block takes, and the best packing so far stands.
 
-Each block leaves a few sequences with room; their pieces are gathered into
-blocks again and packed anew, round by round, until one block holds them all.
+Each block gathers the room it leaves in few sequences.  The pieces of all
+sequences with room are dealt into blocks again, as many as they need, and
+packed anew, round by round, until one block holds them all or a round does
+with no fewer sequences.
 
 Defined cases: null and empty texts give a piece of the end id alone; repeated
-rows are pieces of their own; an empty table gives no pieces.
+rows, also without an id, are pieces of their own and spread over the blocks;
+further columns, whatever their names, are not read; an empty table gives no
+pieces.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, size_groups, small_batches
-from .wordbpe import TEXTS, encoder
+from .common import cut
+from .wordbpe import encoder, runs
 
 LENGTH = 4096
 #: Pieces of a block, and steps of the search in it (a step takes or passes over a piece).
 BLOCK, EFFORT = 4096, 200_000
-#: Rounds in which rest sequences are packed anew at most: each divides the blocks by at least 8.
-MERGE = 8
+#: Partitions at most: beyond, a task packs several blocks, one after another.
+MOST_TASKS = 20_000
 
 
 def best_fit(lengths: list[int], room: int) -> list[list[int]]:
@@ -60,19 +64,15 @@ def best_fit(lengths: list[int], room: int) -> list[list[int]]:
 
 
 def least_bins(lengths: list[int], room: int) -> int:
-    """A lower bound: the tokens, and the pieces longer than half a sequence with what cannot join them."""
-    total = sum(lengths)
-    best = -(-total // room)
-    ranked = sorted(lengths)
-    for k in {n for n in ranked if n <= room // 2}:
-        big = sum(n > room - k for n in lengths)
-        mid = [n for n in lengths if room // 2 < n <= room - k]
-        small = sum(n for n in lengths if k <= n <= room // 2)
-        spare = len(mid) * room - sum(mid)
-        best = max(best, big + len(mid) + max(0, -(-(small - spare) // room)))
-        if len(ranked) > 512:
-            break  # on many pieces the first such bound is as good as the tokens' own
-    return best
+    """A lower bound: the tokens, and, for every k, the pieces longer than half a sequence with what of at least k cannot join them."""
+    ranked = np.sort(np.array(lengths, np.int64))
+    upto = np.concatenate([[0], np.cumsum(ranked)])
+    k = np.unique(ranked[ranked <= room // 2])
+    half, fits, least = np.searchsorted(ranked, room // 2, "right"), np.searchsorted(ranked, room - k, "right"), np.searchsorted(ranked, k)
+    mid = fits - half
+    short = upto[half] - upto[least] - (mid * room - (upto[fits] - upto[half]))
+    bounds = len(ranked) - half + np.maximum(0, -(-short // room))
+    return max(int(-(-upto[-1] // room)), int(bounds.max(initial=len(ranked) - half)))
 
 
 def fillings(sizes: list[int], room: int, effort: list[int]) -> Iterator[tuple[int, ...]]:
@@ -212,51 +212,55 @@ def complete(lengths: list[int], room: int, effort: int = EFFORT) -> list[list[i
 
 
 def _piece_udf(tokenizer: str, end_id: int, length: int):
-    kind = pa.list_(pa.struct([("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-
     @F.arrow_udf("array<struct<piece:long,start:long,length:long,ids_crc32:long>>")
     def pieces(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec, end, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * length
+        codec = encoder(tokenizer)
         for batch in texts:
-            whole = [t or "" for t in batch.to_pylist()]
-            rows = []
-            for a, b in size_groups([len(t) for t in whole], TEXTS):
-                for ids in codec.encode(whole[a:b]):
-                    ids += end
-                    rows.append([{"piece": k, "start": k * length, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for k, p in enumerate(ids[i : i + step] for i in range(0, len(ids), step))])
-            yield pa.array(rows, kind)
+            made = [_cut_up(*codec.encode(batch.slice(a, b - a)), end_id, length) for a, b in runs(batch)]
+            yield pa.concat_arrays(made) if made else pa.array([], KIND)
 
     return pieces
 
 
+FIELDS = ("piece", "start", "length", "ids_crc32")
+KIND = pa.list_(pa.struct([(c, pa.int64()) for c in FIELDS]))
+
+
+def _cut_up(ids: np.ndarray, ends: np.ndarray, end_id: int, length: int) -> pa.Array:
+    """The pieces of each document, whose ids end there and get the end id behind them."""
+    flat = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())
+    ends = ends + np.arange(1, len(ends) + 1)
+    size = np.diff(ends, prepend=0)
+    n = -(-size // length)
+    upto = np.cumsum(n)
+    piece = np.arange(n.sum()) - np.repeat(upto - n, n)
+    start = piece * length
+    taken = np.minimum(np.repeat(size, n) - start, length)
+    at = 4 * (np.repeat(ends - size, n) + start)
+    crc = [zlib.crc32(flat[a:b]) for a, b in zip(at.tolist(), (at + 4 * taken).tolist(), strict=True)]
+    rows = pa.StructArray.from_arrays([pa.array(piece), pa.array(start), pa.array(taken), pa.array(crc, pa.int64())], list(FIELDS))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), rows).cast(KIND)
+
+
 def pieces(df: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document."""
-    rows = small_batches(df).select(F.col(row_id).alias("doc_id"), F.explode(_piece_udf(tokenizer, end_id, length)(F.coalesce(F.col(text), F.lit("")))).alias("p"))
+    rows = df.select(F.col(row_id).alias("doc_id"), F.explode(_piece_udf(tokenizer, end_id, length)(F.coalesce(F.col(text), F.lit("")))).alias("p"))
     return rows.select("doc_id", "p.*")
 
 
-def _packer(length: int, rest: bool):
-    """Pack each block of a partition; rows come sorted by block.  rest: mark the sequences that are worth packing anew."""
+def _packer(length: int):
+    """Pack each block of a partition; rows come sorted by block.  Sequences with room are open."""
 
     def packed(block: int, rows: list[tuple]) -> pa.RecordBatch:
         rows = sorted(rows, key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[4]))
         sizes = [r[3] for r in rows]
-        bins = complete(sizes, length)
-        if rest:  # gather the room that is left in few sequences
-            bins = tightened(bins, sizes, length)
-        fill = [sum(rows[i][3] for i in b) for b in bins]
-        # Those that leave more than a sixteenth of a sequence, the emptiest one, and further ones with room up to a MERGE-th of the pieces.
-        open_, taken = set(), 0
-        for n in sorted(range(len(fill)), key=fill.__getitem__):
-            taken += len(bins[n])
-            if open_ and fill[n] >= length * 15 // 16 and taken * MERGE > len(rows):
-                break
-            open_.add(n)
+        bins = tightened(complete(sizes, length), sizes, length)  # the room that is left, in few sequences
         out = []
         for n, b in enumerate(bins):
             at = 0
+            room = length - sum(sizes[i] for i in b)
             for i in b:
-                out.append((*rows[i], (block << 24) + n, at, rest and n in open_ and fill[n] < length))
+                out.append((*rows[i], (block << 24) + n, at, room > 0))
                 at += rows[i][3]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open"]
         kinds = [pa.int64()] * 7 + [pa.bool_()]
@@ -281,23 +285,26 @@ def _packer(length: int, rest: bool):
 RESULT = "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(parts: DataFrame, n_docs: int, length: int = LENGTH) -> DataFrame:
-    """Give every piece its sequence_id and offset.  ``n_docs``: how many documents there are, for the number of blocks."""
-    parts = parts.select("doc_id", "piece", "start", "length", "ids_crc32")
-    blocks, shift, done = max(1, -(-n_docs // BLOCK)), 0, []
-    left = parts
+def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Give every piece its sequence_id and offset."""
+    left = loose = cut(parts.select("doc_id", "piece", "start", "length", "ids_crc32"))
+    done, first, before = [], 0, None
     while True:
-        last = blocks == 1
-        # Round numbers keep the sequence ids of different rounds apart.
-        block = (F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)) + shift).alias("block")
-        dealt = left.select(block, "*").repartition(blocks, "block").sortWithinPartitions("block")
-        out = cut(dealt.mapInArrow(_packer(length, not last), RESULT + ", open boolean"))
-        done.append(out.where(~F.col("open")).drop("open"))
-        if last:
+        blocks = max(1, -(-left.count() // BLOCK))
+        # Blocks are numbered on from round to round, which keeps the sequence ids of different rounds apart.
+        block = (F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(first)), F.lit(blocks)) + first).alias("block")
+        dealt = left.select(block, "*").repartition(min(blocks, MOST_TASKS), "block").sortWithinPartitions("block")
+        out = cut(dealt.mapInArrow(_packer(length), RESULT + ", open boolean"))
+        sequences, opened = out.agg(F.count_if(F.col("offset") == 0), F.count_if(F.col("open") & (F.col("offset") == 0))).first()
+        if before is not None and sequences > before:  # the round before did better
+            done.append(loose)
+            break
+        last = blocks == 1 or sequences == before
+        done.append(out.drop("open") if last else out.where(~F.col("open")).drop("open"))
+        if last or not opened:
             break
-        left = out.where("open").drop("open", "sequence_id", "offset")
-        shift += blocks
-        blocks = max(1, blocks // MERGE)
+        loose = out.where("open").drop("open")
+        left, before, first = loose.drop("sequence_id", "offset"), opened, first + blocks
     whole = done[0]
     for d in done[1:]:
         whole = whole.unionByName(d)

@@ -59,8 +59,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return packing.pack(packing.pieces(documents, tokenizer_path(WORD_BPE), end_id=1), documents.count())
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), end_id=1))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
