@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in the sequences."""
-    return packing.pack(packing.pieces(docs, tokenizer_path(WORD_BPE), end_id=1), docs.count())
+    return packing.pack(packing.pieces(docs, tokenizer_path(WORD_BPE), end_id=1))
 
 
 STAGES = [
