@@ -4,16 +4,16 @@ from __future__ import annotations
 
 OP2 = """
 WITH u AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
-         list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-  FROM u q JOIN u c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
-SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+  SELECT q.n AS own, q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+  FROM u q JOIN u c ON q.vec_id % 50 = 0 AND q.n <> c.n AND len(q.v) = len(c.v)
+), r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
 OP3 = """
