@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from velarium.llm import media, mixing, neardup, packing, sharding, tokencount, tokenfiles, topk, toxicity, urlfilter, wordbpe
+from velarium.llm import media, neardup, packing, tokencount, tokenfiles, toxicity, urlfilter, wordbpe
 from velarium.llm.common import shared_dir
 from velarium.llm.queries import PIECE_BPE, WORD_BPE, tokenizer_path
 from velarium.llm.wordbpe import WordEncoder
@@ -85,44 +85,6 @@ def test_toxicity_odd_cases(spark, docs, none):
     assert toxicity.score(none, toxicity.fit(toxicity.training_rows(none, labels.limit(0)))).count() == 0
 
 
-# 2
-
-
-def brute_topk(rows, k):
-    ok = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    out = {}
-    for q, a in ok.items():
-        if q % 50 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok.items() if i != q and len(b) == len(a))[:k]
-            out[q] = [(n, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(scored, 1)]
-    return {q: v for q, v in out.items() if v}
-
-
-def test_topk_equals_brute_force(spark):
-    rng = np.random.default_rng(5)
-    vectors = rng.normal(size=(400, 20)).astype(np.float32)
-    vectors[7] = vectors[3]
-    vectors[200:260] = np.round(vectors[200:260])
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
-    rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 20), (None, [1.0] * 20), (1050, [1.0, 2.0]), (1051, [2.0, 2.0]), (1100, []), rows[3]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
-    base = topk.prepared(df)
-    got = {}
-    for r in topk.search(base, base.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert got == brute_topk(rows, 5)
-
-
-def test_topk_huge_components_and_empty(spark):
-    rows = [(0, [1e30, 1.0]), (1, [1e30, -5.0]), (2, [3.0, 4.0]), (50, [-1e12, 7.0])]
-    base = topk.prepared(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(base, base.where("vec_id % 50 = 0"), 5).collect()}
-    for q, hits in brute_topk(rows, 5).items():
-        for n, i, s in hits:
-            assert got[q, n] == (i, s)
-    assert topk.search(base.limit(0), base.limit(0), 5).count() == 0
-
-
 # 3
 
 
@@ -156,46 +118,6 @@ def test_bloom_has_no_false_negatives(spark):
     assert out.where("verdict = 'block'").count() == 3000
 
 
-# 4
-
-
-def test_mixing(spark, docs, none):
-    out = mixing.mix(docs)
-    rows = out.collect()
-    assert len(rows) == len(odd_rows())
-    size = {}
-    for r in rows:
-        assert r["size"] == len(WORD.findall(r["text"] or "")) and r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2
-        size[r["source"]] = size.get(r["source"], 0) + r["size"]
-    order = sorted(size, key=lambda s: (s is None, s))
-    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
-    left, target, open_ = 1.5 * sum(size.values()), {}, set(order)
-    while True:
-        level = left / sum(weight[s] for s in open_) if open_ else 0
-        full = {s for s in open_ if level * weight[s] > 2 * size[s]}
-        if not full:
-            break
-        for s in full:
-            target[s] = 2.0 * size[s]
-            left -= target[s]
-        open_ -= full
-    target |= {s: level * weight[s] for s in open_}
-    for r in rows:
-        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
-    again = {(r["doc_id"], r["text"]): r["taken"] for r in mixing.mix(docs.repartition(5)).collect()}
-    assert again == {(r["doc_id"], r["text"]): r["taken"] for r in rows}
-    assert mixing.expanded(out, ["doc_id"]).count() == sum(r["copies"] for r in rows)
-    assert mixing.mix(none).count() == 0
-
-
-def test_mixing_meets_targets(spark):
-    draw = random.Random(1)
-    rows = [(i, "w " * draw.randint(1, 400), "en", "big" if i % 3 else f"s{i % 5}", 0) for i in range(3000)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
-    for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("w")).collect():
-        assert abs(r["t"] - r["w"]) <= 20
-
-
 # 5
 
 
@@ -241,30 +163,6 @@ def test_hysteresis():
     assert len(media.spans(active)) == 2
 
 
-# 6
-
-
-def test_shards(docs, none):
-    rows = sharding.shard(docs).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in rows) == sorted((r[0] is None, r[0] or 0, r[1] or "") for r in odd_rows())
-    for n in {r["shard"] for r in rows}:
-        slots = sorted(r["slot"] for r in rows if r["shard"] == n)
-        assert 0 <= n < 16 and slots == list(range(len(slots)))
-    assert sharding.shard(none).count() == 0
-
-
-def test_shards_are_near_equal_and_a_hot_text_is_split(spark, monkeypatch):
-    draw = random.Random(2)
-    rows = [(i, "hot text" if i % 3 == 0 else f"{i} " * draw.randint(1, 60)) for i in range(12_000)]
-    for ranges in (64 << 20, 20_000):
-        monkeypatch.setattr(sharding, "RANGE", ranges)
-        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-        load = [sum(r["size"] for r in got if r["shard"] == n) for n in range(16)]
-        assert sum(load) == sum(len(t) + 1 for _, t in rows) and max(load) - min(load) < 0.02 * sum(load) / 16 + 500
-        for n in range(16):
-            assert sorted(r["slot"] for r in got if r["shard"] == n) == list(range(sum(r["shard"] == n for r in got)))
-
-
 # 7, 8, 9
 
 

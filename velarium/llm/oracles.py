@@ -34,34 +34,45 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM n LEFT JO
 
 OP4 = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':11'), 1, 13))::BIGINT AS u
-  FROM documents
+  SELECT row_number() OVER () AS n, source, size, doc_id, name, (('0x' || substr(name, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM (
+    SELECT source, doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+      md5(coalesce(doc_id::VARCHAR, 'null') || ':11:' || coalesce(text, '')) AS name
+    FROM documents)
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w
   FROM d GROUP BY source
 ), c AS (
-  SELECT *, 2.0 * source_size AS cap,
-    sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS capped,
-    sum(w) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
-    1.5 * sum(source_size) OVER () AS total
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+    sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS capped,
+    sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+    1.5::DOUBLE * sum(source_size) OVER () AS total
   FROM s
 ), l AS (SELECT arg_min((total - coalesce(capped, 0)) / open, (cap / w, source IS NULL, source)) FILTER ((total - coalesce(capped, 0)) / open * w < cap) AS level FROM c),
 t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap))::DOUBLE AS target FROM c, l),
 a AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies, target - copies * source_size AS need FROM t
-), o AS (
-  SELECT d.doc_id, d.source, d.size, d.u, a.source_size, a.target, a.copies, a.need,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size) AS upto
-  FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source
+), h AS (  -- the rate that the rest needs, if all larger sizes are certain
+  SELECT a.source, size, need,
+    coalesce(sum((size * k)::DOUBLE) OVER larger, 0) AS above, coalesce(sum((size * size * k)::DOUBLE) OVER larger, 0) AS above2,
+    sum((size * size * k)::DOUBLE) OVER (PARTITION BY a.source) AS all2
+  FROM (SELECT source, size, count(*) AS k FROM d WHERE size > 0 GROUP BY source, size) z JOIN a ON z.source IS NOT DISTINCT FROM a.source
+  WINDOW larger AS (PARTITION BY a.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), r AS (SELECT source, max_by((need - above) / (all2 - above2), size) AS rate FROM h WHERE (need - above) / (all2 - above2) * size <= 1 GROUP BY source),
+p AS (
+  SELECT d.*, a.source_size, a.target, a.copies, a.need, coalesce(r.rate, 0) * size AS pi
+  FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source LEFT JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), k AS (SELECT *, CASE WHEN pi >= 1 THEN 0 WHEN pi > 0 THEN u / (1 - u) * ((1 - pi) / pi) END AS key FROM p),
+o AS (
+  SELECT *, CASE WHEN key IS NOT NULL THEN sum(size) OVER (PARTITION BY source ORDER BY key NULLS LAST, name, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM k
 ), g AS (SELECT source, coalesce(max(upto) FILTER (upto <= need), 0) AS got FROM o GROUP BY source),
 f AS (
-  SELECT o.source, arg_min((o.u, o.doc_id, o.size), (abs(o.need - g.got - o.size), o.u, o.doc_id, o.size)) AS filler
+  SELECT o.source, arg_min(o.n, (abs(o.need - g.got - o.size), o.key, o.name, o.n)) AS filler
   FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source
-  WHERE o.upto > o.need AND o.size > 0 AND o.size < 2 * (o.need - g.got) GROUP BY o.source
+  WHERE o.upto > o.need AND o.size < 2 * (o.need - g.got) GROUP BY o.source
 )
 SELECT o.doc_id, o.size, o.source_size, o.target,
-  ((o.copies + CASE WHEN o.copies < 2 AND (o.upto <= o.need OR (o.u, o.doc_id, o.size) IS NOT DISTINCT FROM f.filler) THEN 1 ELSE 0 END) * o.size)::BIGINT AS taken
+  ((o.copies + CASE WHEN o.copies < 2 AND (coalesce(o.upto <= o.need, false) OR coalesce(o.n = f.filler, false)) THEN 1 ELSE 0 END) * o.size)::BIGINT AS taken
 FROM o LEFT JOIN f ON o.source IS NOT DISTINCT FROM f.source
 """
 
