@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 #: Words of letters in a worker's memo, and their bytes, at most.
 MEMO, MEMO_BYTES = 1_500_000, 32 << 20
 #: Bytes of text encoded at once, and words that the library gets in a row.
-TEXTS, ROW = 8 << 20, 2048
+TEXTS, ROW = 4 << 20, 2048
 #: Normalisers that never join the two sides of a space, with the settings that this holds for.
 STEPS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
 #: Alternatives of a pre-tokenizer's pattern that match no white space; runs of letters and of signs are one match each.
@@ -183,7 +183,10 @@ class WordEncoder:
         ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
         ids, upto = gathered(*self._table(coded.dictionary), coded.indices.to_numpy())
-        return ids, np.concatenate([[0], upto])[ends]
+        ends = np.concatenate([[0], upto])[ends]
+        del words, coded, upto
+        pa.default_memory_pool().release_unused()
+        return ids, ends
 
     def _folded(self, texts: pa.Array) -> pa.Array:
         """A-Z lowered ahead of the library's own step, for fewer distinct words, where that changes no id.
@@ -208,8 +211,8 @@ def gathered(flat: np.ndarray, length: np.ndarray, pick: np.ndarray) -> tuple[np
     """The items ``pick`` of a table of ids, one after another, and where each ends; the table's items have these lengths."""
     begin, of = np.cumsum(length) - length, length[pick]
     upto = np.cumsum(of)
-    place = np.repeat(begin[pick] - upto + of, of)
-    place += np.arange(len(place))
+    place = np.repeat((begin[pick] - upto + of).astype(np.int32), of)  # there are fewer ids than bytes, and Arrow holds less than 2**31 of these
+    place += np.arange(len(place), dtype=np.int32)
     return flat[place], upto
 
 
