@@ -4,155 +4,202 @@ Rows are ordered by a 128-bit key, a hash of the text and then one of the id:
 equal texts are neighbours and stay in one shard unless they alone outweigh
 the tolerance.  The splitters come from counting, not sampling: each round
 sums the exact bytes below candidate key boundaries over all partitions and
-narrows every splitter's interval by a factor of 64, until each shard boundary
-lies within ``tolerance`` of its share (or a single row or key is left).  A round
-reads a narrow table of keys and sizes and gives a few rows per splitter.
+narrows the interval of every splitter that is not settled by a factor of 64,
+until each shard boundary lies within ``tolerance`` of its share (or a single
+row is left).  A round reads a narrow table of keys and sizes.
 
 A shard is cut into ranges of about ``RANGE`` bytes, so that neither a shard
 nor its numbering needs one task: the rows are exchanged once, straight to
 their range, and a row's slot is the rows of its shard's earlier ranges plus
-its place in its own.
+its place in its own.  The driver holds a few numbers for each range; nearly
+all ranges are settled by the first round's histogram.
 
-Defined cases: null texts are as good as empty and weigh one byte; repeated
-rows share a key and stay together; an empty table gives no rows; columns
-named like the results are replaced.
+Rows that agree in text and id (or have no id) share their key.  Only where a
+splitter has to fall between such rows, the rows are written once with a
+number of their own, which becomes the key's third part.
+
+Defined cases: null texts are as good as empty and weigh one byte; equal rows
+and rows without an id are split like any others; an empty table gives no
+rows; columns named like the results, or ``_hi``, ``_lo``, ``_at``, ``_row``,
+``_to``, are replaced.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 SHARDS = 16
-#: Bytes of a range, and the most ranges of a shard; beyond that ranges grow.
-RANGE, MOST_RANGES = 64 << 20, 4096
-FIRST_BITS, MORE_BITS = 12, 6
-LOW = -(2**63)
+#: Bytes of a range; bits of the first histogram at least, its intervals for each range, and bits of a later round.
+RANGE, FIRST_BITS, FINENESS, MORE_BITS = 128 << 20, 12, 4, 6
+LOW, HIGH = -(2**63), 2**63 - 1
+KEY = ("_hi", "_lo", "_at")
+OWN = (*KEY, "_row", "_to", "size", "shard", "slot")
+
+Key = tuple[int, int, int]
 
 
 def keyed(df: DataFrame, text: str, row_id: str) -> DataFrame:
-    """Add _hi, _lo (the key, signed order) and size."""
+    """Add the key (signed order) and size; its third part tells equal rows apart if they have numbers."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn("_hi", F.xxhash64(t)).withColumn("_lo", F.xxhash64(F.col(row_id).cast("string"), F.lit(1))).withColumn("size", (F.octet_length(t) + 1).cast("long"))
+    at = F.xxhash64("_row") if "_row" in df.columns else F.lit(LOW)
+    return df.withColumns({"_hi": F.xxhash64(t), "_lo": F.xxhash64(F.col(row_id).cast("string"), F.lit(1)), "_at": at, "size": (F.octet_length(t) + 1).cast("long")})
+
+
+def _taken(bits: int) -> list[int]:
+    """How many bits of each part of the key a prefix has."""
+    return [min(max(bits - 64 * n, 0), 64) for n in range(len(KEY))]
 
 
-def _prefix(bits: int):
-    """The first bits of a key, as two columns (the second is 0 while only the first half counts)."""
-    if bits <= 64:
-        return F.shiftright("_hi", 64 - bits), F.lit(0).cast("long")
-    return F.col("_hi"), F.shiftright("_lo", 128 - bits)
+def _prefix(bits: int) -> list[Column]:
+    return [F.lit(0).cast("long") if not b else F.shiftright(w, 64 - b) for w, b in zip(KEY, _taken(bits), strict=True)]
 
 
-def _edge(prefix: tuple[int, int], bits: int) -> tuple[int, int]:
+def _edge(prefix: Key, bits: int) -> Key:
     """The least key with that prefix."""
-    return (prefix[0] << (64 - bits), LOW) if bits <= 64 else (prefix[0], prefix[1] << (128 - bits))
+    return tuple(p << (64 - b) if b else LOW for p, b in zip(prefix, _taken(bits), strict=True))
 
 
-def _outer(prefix: tuple[int, int], bits: int, less: int) -> tuple[int, int]:
+def _outer(prefix: Key, bits: int, less: int) -> Key:
     """The prefix of ``less`` bits that holds this one."""
-    edge = _edge(prefix, bits)
-    return (edge[0] >> (64 - less), 0) if less <= 64 else (edge[0], edge[1] >> (128 - less))
+    return tuple(e >> (64 - b) if b else 0 for e, b in zip(_edge(prefix, bits), _taken(less), strict=True))
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001) -> tuple[list[tuple[int, int]], int]:
-    """Keys at which ranges begin (without the first), and the ranges of a shard.  ``rows``: _hi, _lo, size."""
-    spark = rows.sparkSession
+def _after(prefix: Key, bits: int) -> Key:
+    """The least key behind those with the prefix."""
+    whole = 0
+    for e in _edge(prefix, bits):
+        whole = (whole << 64) + (e - LOW)
+    whole += 1 << (64 * len(KEY) - bits)
+    if whole >> 64 * len(KEY):
+        return (HIGH,) * len(KEY)
+    return tuple((whole >> 64 * n & (2**64 - 1)) + LOW for n in reversed(range(len(KEY))))
 
-    def counted(source: DataFrame, bits: int) -> list[tuple[tuple[int, int], int, int]]:
+
+def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, numbered: bool = False) -> tuple[list[Key], int, bool]:
+    """Keys at which ranges begin (without the first), the ranges of a shard, and whether equal keys kept a splitter from its place.
+
+    ``rows``: the key and size.  ``numbered``: equal rows have their own third part.
+    """
+
+    def counted(source: DataFrame, bits: int) -> pa.Table:
         """Prefix, bytes and rows of each interval that has any."""
-        hi, lo = _prefix(bits)
-        sums = source.groupBy(hi.alias("h"), lo.alias("l")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
-        return sorted(((r["h"], r["l"]), r["n"], r["rows"]) for r in sums.collect())
-
-    bits = FIRST_BITS
-    sums = counted(rows, bits)  # at most 2**FIRST_BITS rows
-    total = sum(n for _, n, _ in sums)
-    per_shard = min(MOST_RANGES, max(1, -(-total // (shards * RANGE))))
-    parts = shards * per_shard
-    done: dict[int, tuple[int, int]] = {}
-    open_ = {j: 0 for j in range(1, parts)}  # splitter -> bytes below its interval
-    inside: dict[int, tuple[int, int] | None] = dict.fromkeys(open_)  # its interval, as a prefix of `bits` bits
-    groups = {None: sums}
-    while open_ and total:
-        for j in list(open_):
-            want, below = total * j / parts, open_[j]
-            slack = tolerance * total / shards if j % per_shard == 0 else 0.05 * total / parts
-            for prefix, n, rows_inside in groups[inside[j]]:
-                if below + n > want or prefix == groups[inside[j]][-1][0]:
+        names = [c.alias(f"p{n}") for n, c in enumerate(_prefix(bits))]
+        return source.groupBy(*names).agg(F.sum("size").alias("n"), F.count("*").alias("rows")).toArrow()
+
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    per_shard = max(1, -(-total // (shards * RANGE)))
+    parts, most = shards * per_shard, 192 if numbered else 128
+    bits = max(FIRST_BITS, (FINENESS * parts - 1).bit_length())
+    first = counted(rows, bits).sort_by("p0")  # one row an interval: the driver's share of a range
+    if not total:
+        return [], per_shard, False
+    prefix, n, inside_rows = (first.column(c).to_numpy() for c in ("p0", "n", "rows"))
+    upto = np.cumsum(n)
+    want = total * np.arange(1, parts) / parts
+    is_shard = np.arange(1, parts) % per_shard == 0
+    slack = np.where(is_shard, tolerance * total / shards, 0.5 * total / parts)
+    at = np.minimum(np.searchsorted(upto, want, "right"), len(n) - 1)
+    below = upto[at] - n[at]
+    before, behind = want - below <= slack, upto[at] - want <= slack
+    done: dict[int, Key] = {}
+    open_: dict[int, tuple[int, Key]] = {}  # splitter -> bytes below its interval, and the interval's prefix
+    for j, a, b, c, low in zip(range(1, parts), at.tolist(), before.tolist(), behind.tolist(), below.tolist(), strict=True):
+        p = (int(prefix[a]), 0, 0)
+        if b:
+            done[j] = _edge(p, bits)
+        elif c:
+            done[j] = _after(p, bits)
+        else:
+            open_[j] = low, p
+    stuck = False
+    while open_:
+        held, old = sorted({p for _, p in open_.values()}), bits
+        bits = min(bits + MORE_BITS, most)
+        # One row for each open splitter at most; nothing of the rows themselves.
+        names = rows.sparkSession.createDataFrame(held, "h0 long, h1 long, h2 long")
+        same = [c == F.col(f"h{n}") for n, c in enumerate(_prefix(old))]
+        groups: dict[Key, list[tuple[Key, int, int]]] = {}
+        for r in counted(rows.join(F.broadcast(names), same[0] & same[1] & same[2]).select(*KEY, "size"), bits).to_pylist():
+            p = (r["p0"], r["p1"], r["p2"])
+            groups.setdefault(_outer(p, bits, old), []).append((p, r["n"], r["rows"]))
+        for j, (low, p) in list(open_.items()):
+            goal, free = float(want[j - 1]), float(slack[j - 1])
+            for p, size, count in sorted(groups[p]):  # noqa: B020
+                if low + size > goal:
                     break
-                below += n
-            last = bits == 128 or rows_inside == 1  # nothing left to divide
-            if want - below <= slack or (last and want - below <= below + n - want):
-                done[j] = _edge(prefix, bits)
-            elif below + n - want <= slack or last:
-                done[j] = _after(_edge(prefix, bits), bits)
+                low += size
+            else:  # rounding: the goal is the interval's end
+                done[j] = _after(p, bits)
+                del open_[j]
+                continue
+            if goal - low <= free:
+                done[j] = _edge(p, bits)
+            elif low + size - goal <= free:
+                done[j] = _after(p, bits)
+            elif count == 1 or bits == most:  # nothing left to divide: the nearer side
+                stuck |= count > 1
+                done[j] = _edge(p, bits) if goal - low <= low + size - goal else _after(p, bits)
             else:
-                open_[j], inside[j] = below, prefix
+                open_[j] = low, p
                 continue
-            del open_[j], inside[j]
-        if not open_:
-            break
-        held = sorted(set(inside.values()))
-        old, bits = bits, min(bits + MORE_BITS, 128)
-        h, lo = _prefix(old)
-        names = spark.createDataFrame(held, "h long, l long")  # one row for each open splitter at most
-        part = rows.withColumn("_h", h).withColumn("_l", lo).join(F.broadcast(names), (F.col("_h") == F.col("h")) & (F.col("_l") == F.col("l"))).select("_hi", "_lo", "size")
-        groups = {}
-        for prefix, n, count in counted(part, bits):
-            groups.setdefault(_outer(prefix, bits, old), []).append((prefix, n, count))
-    edges, least = [], (LOW, LOW)
+            del open_[j]
+    edges, least = [], (LOW,) * len(KEY)
     for j in range(1, parts):
-        least = max(least, done.get(j, least))
+        least = max(least, done[j])
         edges.append(least)
-    return edges, per_shard
+    return edges, per_shard, stuck
 
 
-def _after(edge: tuple[int, int], bits: int) -> tuple[int, int]:
-    """The least key behind the interval that begins at ``edge``."""
-    whole = ((edge[0] - LOW) << 64) + (edge[1] - LOW) + (1 << (128 - bits))
-    return ((whole >> 64) + LOW, (whole & (2**64 - 1)) + LOW) if whole < 1 << 128 else (2**63 - 1, 2**63 - 1)
+def places(words: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
+    """How many of the sorted edges are no greater than each key; both as one array for each part of the key."""
+    found = np.searchsorted(edges[0], words[0], "left")
+    upto = np.searchsorted(edges[0], words[0], "right")
+    if len(words) == 1:
+        return upto
+    tied = np.flatnonzero(upto > found)
+    begin = found[tied]
+    for a in np.unique(begin).tolist():
+        own = tied[begin == a]
+        b = int(upto[own[0]])
+        found[own] = a + places([w[own] for w in words[1:]], [e[a:b] for e in edges[1:]])
+    return found
 
 
-def _range_of(edges: list[tuple[int, int]]):
-    first = np.array([h for h, _ in edges], np.int64)
+def _range_of(edges: list[Key], bases: list[int] | None = None):
+    """The range of a key, and the rows of its shard's earlier ranges."""
+    columns = [np.array([e[n] for e in edges], np.int64) for n in range(len(KEY))]
+    base = np.array(bases if bases is not None else [0] * (len(edges) + 1), np.int64)
 
-    @F.arrow_udf("int")
-    def part(hi: pa.Array, lo: pa.Array) -> pa.Array:
-        h = hi.to_numpy(zero_copy_only=False)
-        found = np.searchsorted(first, h, "left").astype(np.int32)
-        tied = np.flatnonzero(np.searchsorted(first, h, "right") > found)
-        for i in tied.tolist():
-            key = (int(h[i]), lo[i].as_py())
-            at = bisect_left(edges, key)
-            while at < len(edges) and edges[at] == key:
-                at += 1
-            found[i] = at
-        return pa.array(found)
+    @F.arrow_udf("struct<part:int,base:long>")
+    def part(hi: pa.Array, lo: pa.Array, at: pa.Array) -> pa.Array:
+        found = places([w.to_numpy(zero_copy_only=False) for w in (hi, lo, at)], columns)
+        return pa.StructArray.from_arrays([pa.array(found.astype(np.int32)), pa.array(base[found])], ["part", "base"])
 
-    return part
+    return part(*KEY)
 
 
 def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """All rows and columns of ``df``, exchanged to their ranges and sorted there, with size, shard and slot."""
-    kept = [c for c in df.columns if c not in ("size", "shard", "slot")]
-    narrow = cut(keyed(df, text, row_id).select("_hi", "_lo", "size"))
-    edges, per_shard = splitters(narrow, shards)
-    parts = shards * per_shard
-    part = _range_of(edges)
-    counts = {r["p"]: r["n"] for r in narrow.groupBy(part("_hi", "_lo").alias("p")).agg(F.count("*").alias("n")).collect()}
+    kept = [c for c in df.columns if c not in OWN]
+    df = df.select(*kept)
+    narrow = cut(keyed(df, text, row_id).select(*KEY, "size"))
+    edges, per_shard, stuck = splitters(narrow, shards)
+    if stuck:
+        df = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+        narrow = cut(keyed(df, text, row_id).select(*KEY, "size"))
+        edges, per_shard, _ = splitters(narrow, shards, numbered=True)
+    counts = {r["p"]: r["n"] for r in narrow.groupBy(_range_of(edges)["part"].alias("p")).agg(F.count("*").alias("n")).collect()}
     bases, base = [], 0
-    for p in range(parts):
+    for p in range(len(edges) + 1):
         base = 0 if p % per_shard == 0 else base
         bases.append(base)
         base += counts.get(p, 0)
-    rows = keyed(df.select(*kept), text, row_id).withColumn("_part", part("_hi", "_lo"))
-    rows = rows.repartitionById(parts, F.col("_part")).sortWithinPartitions("_hi", "_lo", row_id)
+    rows = keyed(df, text, row_id).withColumn("_to", _range_of(edges, bases))
+    rows = rows.repartitionById(len(edges) + 1, F.col("_to.part")).sortWithinPartitions(*KEY, row_id)
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    base = F.get(F.expr(f"array({','.join(f'{b}L' for b in bases)})"), F.col("_part"))
-    return rows.withColumn("slot", place + base).select(*kept, "size", F.floor(F.col("_part") / per_shard).cast("int").alias("shard"), "slot")
+    return rows.withColumn("slot", place + F.col("_to.base")).select(*kept, "size", F.floor(F.col("_to.part") / per_shard).cast("int").alias("shard"), "slot")
