@@ -181,27 +181,85 @@ def test_bfs_goes_all_the_way_and_starts_again(spark, tmp_path):
 
 
 def test_graph_search(spark, cloud):
-    nodes, edges = graph.build(cloud, 6)
-    edges = edges.checkpoint()
+    index = graph.build(cloud, 6, rows=150)
+    assert index.parts >= 2
     q = search.as_queries(cloud.where("vec_id % 10 = 0"))
     truth = search.knn(cloud, q, 10)
-    assert search.recall(graph.search(cloud, edges, q, 10, ef=100, parts=2), truth, 10).first()[0] >= 0.9
-    assert answers(graph.search(cloud, edges, q, 10, ef=300, parts=2)) == answers(truth)
-    assert search.recall(graph.search(cloud, edges, q, 10, ef=100, parts=2, dual_queue=True), truth, 10).first()[0] >= 0.8
-    assert graph.search(cloud, edges, q, 10, ef=4, parts=1).count() == 10 * 30
+    assert search.recall(graph.search(index, q, 10, ef=100), truth, 10).first()[0] >= 0.95
+    assert answers(graph.search(index, q, 10, ef=300)) == answers(truth)
+    assert search.recall(graph.search(index, q, 10, ef=100, dual_queue=True), truth, 10).first()[0] >= 0.8
+    assert graph.search(index, q, 10, ef=4).count() == 10 * 30
+    counts = graph.counters(graph.search_counted(index, q, 10, ef=30)).collect()
+    assert len(counts) == 30 and all(r["distances"] >= r["hops"] > 0 for r in counts)
+    even = cloud.where("vec_id % 2 = 0")
+    assert answers(graph.search(index, q, 10, ef=300, admit=even.select("vec_id"))) == answers(search.knn(even, q, 10))
+    near = graph.search(index, q, 300, ef=64, radius=20.0, least=3)
+    want = search.range_search(cloud, q, 20.0, least=3)
+    pairs = lambda hits: {(r["qid"], r["vec_id"]) for r in hits.collect()}
+    assert len(pairs(near) & pairs(want)) >= 0.97 * max(len(pairs(want)), len(pairs(near)))
+    docs = graph.search(index, q, 4, ef=40, documents=40).collect()
+    exact = search.knn_multivector(cloud.withColumn("doc", F.col("vec_id") % 40), q, 4, "doc").collect()
+    assert {(r["qid"], r["rank"], r["vec_id"]) for r in docs} == {(r["qid"], r["rank"], r["vec_id"]) for r in exact}
+    assert graph.census(index).first()[1:] == (0, 0, 0, 0)
+
+
+def test_graph_updates(spark, cloud, tmp_path):
+    index = graph.build(cloud.where("vec_id < 200"), 6, rows=100)
+    index = graph.insert(index, cloud.where("vec_id >= 200"))
+    q = search.as_queries(cloud.where("vec_id % 10 = 0"))
+    assert answers(graph.search(index, q, 10, ef=300)) == answers(search.knn(cloud, q, 10))
+    moved = cloud.withColumn("embedding", F.when(F.col("vec_id") % 9 == 0, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding")))
+    index = graph.insert(index, moved.where("vec_id % 9 = 0"))
+    assert search.recall(graph.search(index, q, 10, ef=300), search.knn(moved, q, 10), 10).first()[0] >= 0.99
     gone = spark.createDataFrame([(i,) for i in range(0, 300, 7)], "vec_id long")
-    left = graph.search(cloud, edges, q, 10, ef=300, parts=2, deleted=gone)
-    assert answers(left) == answers(search.knn(cloud.join(gone, "vec_id", "left_anti"), q, 10))
-    assert graph.integrity(nodes, edges).where("problem <> 'no inbound link'").count() == 0
-    assert edges.groupBy("level", "src").count().where("(level = 0 and count > 12) or (level > 0 and count > 6)").count() == 0
-    with pytest.raises(Exception, match="already deleted"):
-        graph.mark_deleted(gone, gone.limit(1)).collect()
+    index = graph.delete(index, gone)
+    left = moved.join(gone, "vec_id", "left_anti")
+    assert search.recall(graph.search(index, q, 10, ef=300), search.knn(left, q, 10), 10).first()[0] >= 0.99
+    assert graph.search(index, q, 300, ef=300).join(gone, "vec_id", "left_semi").count() == 0
+    back = graph.undelete(index, gone.where("vec_id < 100"))
+    assert back.state.where("deleted").count() == gone.where("vec_id >= 100").count()
+    fresh = spark.createDataFrame([(1000 + i, [float(i)] * 16) for i in range(8)], VECTORS)
+    reused = graph.insert(index, fresh, reuse=True)
+    assert reused.state.count() < index.state.count() + 8 and reused.state.where("id >= 1000").count() == 8
+    assert graph.census(reused).first()[1:] == (0, 0, 0, 0)
+    for ids, work, problem in ((gone, graph.delete, "already deleted"), (fresh, graph.delete, "unknown"), (cloud.where("vec_id = 1"), graph.undelete, "not deleted")):
+        with pytest.raises(Exception, match=problem):
+            work(index, ids.select("vec_id"))
+    at = str(tmp_path / "index")
+    graph.save(index, at)
+    again = graph.load(spark, at)
+    assert answers(graph.search(again, q, 10)) == answers(graph.search(index, q, 10))
+    head = graph.inspect(spark, at).first()
+    assert (head["rows"], head["dim"], head["deleted"]) == (300, 16, gone.count()) and head["bytes"] > 0
+
+
+def test_kernels_equal_the_columns(spark):
+    rng = np.random.default_rng(3)
+    edge = [0.0, -0.0, 1.0, 6.1e-5, 6.0e-8, 2.0**-14, 65504.0, 65519.0, 65520.0, 1e-3, 0.499999, 448.0, 30.0, 6.0, 0.125, 0.5, 2.0**-6, -2.5, 3.5, 1023.5]
+    v = np.concatenate([rng.normal(size=(40, 20)), rng.normal(size=(20, 20)) * 50, [edge]]).astype(np.float32)
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], VECTORS)
+    q = search.as_queries(base.where("vec_id % 10 = 0"))
+    for name in DISTANCES:
+        want = {(r["qid"], r["vec_id"]): r["d"] for r in search.distances(base, q, name).collect()}
+        got = {(r["qid"], r["vec_id"]): r["d0"] for r in search.pair_distances(base, q, [name]).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == want[k] or (got[k] != got[k] and want[k] != want[k]) or abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])), (name, k, got[k], want[k])
+
+
+def test_product_table():
+    table = numeric.product_table()
+    # The first two rows and the last one.
+    assert table[0] == [1, 3, 5, 7, 9, 11, 13, 15, 17, 19, 21, 23, 25, 27, 27, 13]
+    assert table[1] == [3, 9, 15, 21, 27, 33, 39, 45, 51, 57, 63, 69, 74, 68, 44, 15]
+    assert table[15] == [13, 15, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 0]
 
 
 def test_kmeans_and_capacity(cloud):
-    centers = sampling.kmeans(cloud.withColumn("embedding", F.col("embedding").cast("array<double>")), 4, rounds=2)
-    assert centers.count() == 4
-    a = sampling.balanced(sampling.assign(cloud.withColumn("embedding", F.col("embedding").cast("array<double>")), centers), 50)
+    centers = sampling.kmeans(cloud, 4, rounds=2)
+    assert centers.shape == (4, 16)
+    assert np.allclose(centers, sampling.centroids(cloud, 4, 10_000, rounds=2))
+    a = sampling.balanced(sampling.assign(cloud, centers), 50)
     assert a.where("not overflow").groupBy("cluster").count().where("count > 50").count() == 0 and a.count() == 300
 
 
@@ -215,12 +273,6 @@ def test_lru(spark):
     assert (out["accesses"], out["hits"]) == (10, hits)
 
 
-def test_mersenne_twister():
-    g = sampling._mt19937(5489)
-    assert [next(g) for _ in range(10_000)][-1] == 4123659995
-    assert len(set(sampling.mt19937_indices(100, 10, 7))) == 10
-
-
 @pytest.mark.parametrize("layout", ["fbin", "FVECS"])
 def test_vector_files(spark, layout, tmp_path):
     register(spark)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,21 +170,22 @@ def rtl_square(bits: Column) -> Column:
 
 
 def product_table(bits: int = 4) -> list[list[int]]:
-    """Compensation of an encoded product by the leading ``bits`` bits of both significands, from the midpoints of their cells.
+    """Compensation of an encoded product by the leading ``bits`` bits of both significands.
 
-    The encoded addition misses a*b where 1+a and 1+b multiply to less than 2
-    in the added significand, and (1-a)*(1-b)/2 beyond; cells on the border
-    take the mean of the two.
+    Adding two encodings gives 1 + a + b for (1 + a) * (1 + b).  It misses a * b
+    while the product stays below 2, and (1 - a) * (1 - b) / 2, in the next
+    binade, beyond.  An entry is that error's mean over the cell's pairs of
+    10-bit significands, rounded half up; the last cell gets none.
     """
-    n = 1 << bits
-    mid = [(i + 0.5) / n for i in range(n)]
-
-    def entry(i: int, j: int) -> int:
-        under, over = mid[i] * mid[j], (1 - mid[i]) * (1 - mid[j]) / 2
-        x = under if i + j < n - 1 else over if i + j > n - 1 else (under + over) / 2
-        return int(x * 1024 + 0.5)
-
-    return [[entry(i, j) for j in range(n)] for i in range(n)]
+    n, one = 1 << bits, 1 << 10
+    a = np.arange(one, dtype=np.int64)
+    # In 1 / (2 * one) of a significand's unit, so all sums are whole.
+    missed = np.where(np.add.outer(a, one)[:, None] * np.add.outer(a, one) < 2 * one * one, 2 * a[:, None] * a, (one - a)[:, None] * (one - a))
+    cells = missed.reshape(n, one // n, n, one // n).sum(axis=(1, 3))
+    unit = 2 * one * (one // n) ** 2
+    table = (2 * cells + unit) // (2 * unit)
+    table[-1, -1] = 0
+    return table.tolist()
 
 
 def rtl_product(a: Column, b: Column, table: Sequence[Sequence[int]] | None = None) -> Column:

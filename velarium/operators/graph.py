@@ -1,179 +1,305 @@
-"""Proximity graphs: batch construction, beam search, integrity and traversal.
-
-A graph is two tables: ``nodes(id, level)`` and ``edges(level, src, dst)``.
-Construction is a batch: a node's candidates come from the exact
-nearest-neighbour join among its level's nodes, a heuristic thins them, and
-reverse edges are added and thinned again.  Search keeps the base partitioned:
-each partition's subgraph is searched by itself and the results are merged, so
-no task holds the whole graph.
+"""Proximity graphs: partitioned construction, persistence, updates, search, integrity and traversal.
+
+An index is one table, a row a node, dealt into parts: the cells of a few
+centroids, large cells cut further by a hash of the id.  Every part is a
+layered graph of its own (:mod:`hnsw`) that one task builds, updates or
+searches; the number of parts follows from the rows, so a task's share does
+not grow with the table.  A query meets the parts of its nearest cells, and
+their answers are merged.
 """
 
 from __future__ import annotations
 
-import heapq
+import json
 import math
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .search import as_queries, knn_blocked, ranked
+from ..functions.kernels import strict_bounds
+from ..sources.scratch import cut
+from . import hnsw
+from .sampling import centroids
+from .search import blocks_of, ranked
+
+#: Rows of a part, rows that the centroids are fitted on, and cells at most (larger cells are cut by a hash).
+PART, SAMPLE, CELLS = 20_000, 20_000, 1024
+FORMAT = "velarium-graph-1"
+STATE = "part int, slot int, id long, level int, deleted boolean, embedding array<double>, links array<array<long>>"
+
+
+@dataclass(frozen=True)
+class Index:
+    state: DataFrame  #: of the columns STATE
+    m: int
+    ef: int  #: candidates that construction looks at
+    seed: int
+    centers: np.ndarray  #: one row a cell
+    first: tuple[int, ...]  #: the first part of each cell, and their number at the end
+
+    @property
+    def parts(self) -> int:
+        return self.first[-1]
 
 
 def levels(df: DataFrame, m: int, seed: int = 100) -> DataFrame:
+    """id and level of each vector."""
+    return df.select(F.col("vec_id").alias("id"), level_of(F.col("vec_id"), m, seed).alias("level"))
+
+
+def level_of(id_: Column, m: int, seed: int) -> Column:
     """floor(-ln(u) / ln(m)) with u a hash of the id: a node's level does not depend on the order of insertion."""
-    u = (F.conv(F.substring(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
-    return df.select(F.col("vec_id").alias("id"), F.floor(-F.ln(u) / math.log(m)).cast("int").alias("level"))
-
-
-def _thin(limit: int):
-    """Keep a candidate, nearest first, if no kept one is nearer to it than the node is."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "dst"])
-        v, d = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["d"].to_numpy()
-        keep: list[int] = []
-        if len(pdf) < limit:
-            keep = list(range(len(pdf)))
-        else:
-            for i in range(len(pdf)):
-                if len(keep) >= limit:
-                    break
-                if not keep or (((v[keep] - v[i]) ** 2).sum(axis=1) >= d[i]).all():
-                    keep.append(i)
-        return pdf.iloc[keep][["level", "src", "dst", "d"]]
-
-    return run
-
-
-def build(base: DataFrame, m: int = 8, ef: int = 24) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges; level 0 keeps up to 2 * m links a node, upper levels m."""
-    nodes = levels(base, m)
-    top = nodes.agg(F.max("level")).first()[0] or 0
-    edges = None
-    for level in range(top + 1):
-        own = base.join(nodes.where(F.col("level") >= level).select(F.col("id").alias("vec_id")), "vec_id")
-        near = knn_blocked(own, as_queries(own), ef + 1).where("qid <> vec_id").select(F.lit(level).alias("level"), F.col("qid").alias("src"), F.col("vec_id").alias("dst"), "d")
-        vectors = own.select(F.col("vec_id").alias("dst"), "embedding")
-        schema = "level int, src long, dst long, d double"
-        kept = near.join(vectors, "dst").groupBy("src").applyInPandas(_thin(m), schema)
-        both = kept.unionByName(kept.select("level", F.col("dst").alias("src"), F.col("src").alias("dst"), "d")).dropDuplicates(["src", "dst"])
-        part = both.join(vectors, "dst").groupBy("src").applyInPandas(_thin(2 * m if level == 0 else m), schema)
-        edges = part if edges is None else edges.unionByName(part)
-    return nodes, edges
-
-
-def coarse_bounds(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What lower bounds need of the base: squared lengths, and each component's sign and power of two."""
-    half = vectors.astype(np.float16).astype(np.float64)
-    _, e = np.frexp(np.abs(half))
-    power = np.where(np.abs(half) < 2.0**-14, 0.0, np.ldexp(1.0, e - 1))
-    return (vectors**2).sum(axis=1), np.where(half < 0, -power, power)
-
-
-def lower_bounds(base: tuple[np.ndarray, np.ndarray], rows: list[int], q: np.ndarray) -> np.ndarray:
-    """max(0, |q|^2 + |v|^2 + 2 * terms) from signs and exponents."""
-    product = q * base[1][rows]
-    terms = np.where(product < 0, -product, -2 * product).sum(axis=1)
-    return np.maximum(0, (q * q).sum() + base[0][rows] + 2 * terms)
-
-
-def beam(
-    vectors: np.ndarray, links: list[np.ndarray], q: np.ndarray, entry: int, ef: int, k: int, radius: float | None = None, bounds: tuple[np.ndarray, np.ndarray] | None = None
-) -> tuple[list[tuple[float, int]], dict[str, int]]:
-    """Best-first search over a graph; gives (distance, node) and counters.
-
-    It stops when the nearest open node is farther than the worst of ``ef``
-    kept ones, or than ``radius`` if one is given.  With ``ef < k`` the result
-    keeps its own k nearest of all visited nodes.  With ``bounds``
-    (:func:`coarse_bounds`) a second queue holds the k least lower bounds of
-    accepted nodes: once k are kept, a candidate whose bound exceeds all of
-    them is dropped before its distance is computed.
+    u = (F.conv(F.substring(F.md5(F.concat(id_.cast("string"), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+    return F.floor(-F.ln(u) / math.log(m)).cast("int")
+
+
+def _nearest_cells(centers: np.ndarray, probe: int):
+    """The ``probe`` nearest cells of a vector, nearest first."""
+    squares = (centers**2).sum(axis=1)
+
+    @F.arrow_udf("array<int>")
+    def cells(vectors: pa.Array) -> pa.Array:
+        v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+        order = np.argsort(squares - 2 * (v @ centers.T), axis=1, kind="stable")[:, :probe] if len(v) else np.zeros((0, probe))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * order.shape[1], pa.int32()), pa.array(order.reshape(-1).astype(np.int32)))
+
+    return cells
+
+
+def _part_of(index_first: tuple[int, ...], cell: Column, id_: Column) -> Column:
+    """A cell's part for an id: a cell's parts are numbered in a row."""
+    first = F.array(*[F.lit(n) for n in index_first])
+    begin, end = F.get(first, cell), F.get(first, cell + 1)
+    return (begin + F.pmod(F.xxhash64(id_), end - begin)).cast("int")
+
+
+def _table(part: int, built: hnsw.Part) -> pa.Table:
+    rows = built.rows()
+    columns = [[part] * len(rows), list(range(len(rows))), *map(list, zip(*rows, strict=True))]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int64()))]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "slot", "id", "level", "deleted", "embedding", "links"])
+
+
+def _opened(table: pa.Table, m: int, ef: int) -> hnsw.Part:
+    table = table.sort_by("slot")
+    return hnsw.Part.of(list(zip(*(table.column(c).to_pylist() for c in ("id", "level", "deleted", "embedding", "links")), strict=True)), m, ef)
+
+
+def build(base: DataFrame, m: int = 8, ef: int = 32, seed: int = 100, rows: int = PART) -> Index:
+    """The index of ``base`` (vec_id, embedding); of rows with one id the greatest vector counts.
+
+    Level 0 keeps up to 2 * m links a node, upper levels m.
     """
-    d0 = float(((vectors[entry] - q) ** 2).sum())
-    open_, kept, seen, counts = [(d0, entry)], [(-d0, -entry)], {entry}, {"distances": 1, "pruned": 0, "hops": 0}
-    result = [(-d0, -entry)]
-    low: list[float] = []
-    while open_:
-        d, i = heapq.heappop(open_)
-        if (d > -kept[0][0] and len(kept) >= ef) or (radius is not None and d > radius and len(kept) >= k):
-            break
-        counts["hops"] += 1
-        new = [j for j in links[i].tolist() if j not in seen]
-        seen.update(new)
-        lows = lower_bounds(bounds, new, q).tolist() if bounds is not None and new else [0.0] * len(new)
-        if bounds is not None and len(kept) >= k and len(low) >= k:
-            stays = [n for n, b in enumerate(lows) if b <= -low[0]]
-            counts["pruned"] += len(new) - len(stays)
-            new, lows = [new[n] for n in stays], [lows[n] for n in stays]
-        counts["distances"] += len(new)
-        for j, dj, b in zip(new, ((vectors[new] - q) ** 2).sum(axis=1).tolist() if new else [], lows, strict=True):
-            if len(kept) < ef or dj < -kept[0][0]:
-                heapq.heappush(open_, (dj, j))
-                heapq.heappush(kept, (-dj, -j))
-                if len(kept) > ef:
-                    heapq.heappop(kept)
-                if bounds is not None:
-                    heapq.heappush(low, -b)
-                    if len(low) > k:
-                        heapq.heappop(low)
-            if ef < k:
-                heapq.heappush(result, (-dj, -j))
-                if len(result) > k:
-                    heapq.heappop(result)
-    best = result if ef < k else kept
-    return sorted((-d, -i) for d, i in best)[:k], counts
-
-
-def search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int = 64, parts: int = 4, deleted: DataFrame | None = None, radius: float | None = None, dual_queue: bool = False) -> DataFrame:
-    """qid, rank, vec_id, d by a beam over each part's level-0 subgraph.
-
-    Ids are dealt into parts; links across parts are dropped and nodes that
-    this leaves unreachable are entered by themselves, so with ``ef`` at least
-    the part's rows the result is exact.  Deleted ids are not searched.
-    ``radius`` and ``dual_queue`` end or prune the search early (:func:`beam`).
+    base = base.where("embedding is not null").groupBy("vec_id").agg(F.max(F.col("embedding").cast("array<double>")).alias("embedding"))
+    base = cut(base.withColumn("level", level_of(F.col("vec_id"), m, seed)))
+    n = base.count()
+    parts = max(-(-n // rows), min(blocks_of(base), -(-n // 256)), 1)
+    centers = centroids(base, min(parts, CELLS), SAMPLE)
+    placed = cut(base.withColumn("cell", _nearest_cells(centers, 1)("embedding")[0]))
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most CELLS rows
+    share = max(1, -(-2 * n // parts)) if parts <= CELLS else rows
+    first = [0]
+    for c in range(len(centers)):
+        first.append(first[-1] + max(1, -(-sizes.get(c, 0) // share)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vec_id")
+        vectors = np.array(table.column("embedding").to_pylist(), np.float64)
+        part = hnsw.Part(vectors.shape[1], m, ef)
+        for id_, v, level in zip(table.column("vec_id").to_pylist(), vectors, table.column("level").to_pylist(), strict=True):
+            part.insert(id_, v, level)
+        return _table(table.column("part")[0].as_py(), part)
+
+    dealt = placed.select(_part_of(tuple(first), F.col("cell"), F.col("vec_id")).alias("part"), "vec_id", "embedding", "level")
+    return Index(cut(dealt.groupBy("part").applyInArrow(run, STATE)), m, ef, seed, centers, tuple(first))
+
+
+# Persistence
+
+
+def save(index: Index, folder: str) -> None:
+    """Write the index below a folder, header last: a folder without one is no index."""
+    spark = index.state.sparkSession
+    index.state.write.parquet(f"{folder}/nodes")
+    head = {"format": FORMAT, "m": index.m, "ef": index.ef, "seed": index.seed, "centers": index.centers.tolist(), "first": index.first}
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.text(f"{folder}/header")
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    head = json.loads(spark.read.text(f"{folder}/header", wholetext=True).first()[0])
+    if head["format"] != FORMAT:
+        raise ValueError(f"not an index of this format: {head['format']}")
+    return Index(spark.read.schema(STATE).parquet(f"{folder}/nodes"), head["m"], head["ef"], head["seed"], np.array(head["centers"]), tuple(head["first"]))
+
+
+def inspect(spark: SparkSession, folder: str) -> DataFrame:
+    """A saved index's header and totals: one row."""
+    index = load(spark, folder)
+    files = spark.read.parquet(f"{folder}/nodes").select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size").alias("bytes"))
+    s = index.state
+    totals = s.agg(
+        F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dim"), F.max("level").alias("top_level"), F.min("id").alias("least_id"), F.max("id").alias("most_id"),
+        F.count_if("deleted").alias("deleted"), F.sum(F.aggregate("links", F.lit(0), lambda n, x: n + F.size(x))).alias("links"),
+    )
+    return totals.crossJoin(F.broadcast(files)).select(F.lit(FORMAT).alias("format"), F.lit(index.m).alias("m"), F.lit(index.parts).alias("parts"), "*")  # one row each
+
+
+# Updates
+
+
+def _reworked(index: Index, changes: DataFrame, work: Callable[[hnsw.Part, pa.Table], None]) -> Index:
+    """The index with ``work`` done on the parts that ``changes`` (part, ...) name; other parts' rows pass by."""
+    changes = cut(changes)
+    touched = changes.select("part").distinct()
+    m, ef = index.m, index.ef
+
+    def run(key: tuple, state: pa.Table, new: pa.Table) -> pa.Table:
+        part = _opened(state, m, ef) if state.num_rows else hnsw.Part(len(new.column("embedding")[0]), m, ef)
+        work(part, new)
+        return _table(key[0].as_py(), part)
+
+    own = index.state.join(touched, "part", "left_semi")
+    redone = own.groupBy("part").cogroup(changes.groupBy("part")).applyInArrow(run, STATE)
+    return replace(index, state=cut(index.state.join(touched, "part", "left_anti").unionByName(redone)))
+
+
+def insert(index: Index, rows: DataFrame, reuse: bool = False) -> Index:
+    """Add vectors (vec_id, embedding) and move the ids that are there, relinking what they leave and join.
+
+    ``reuse``: new ids take over the slots of deleted ones in their part first.
+    """
+    rows = rows.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    cell = _nearest_cells(index.centers, 1)("embedding")[0]
+    placed = rows.withColumn("_new", _part_of(index.first, cell, F.col("vec_id"))).withColumn("level", level_of(F.col("vec_id"), index.m, index.seed))
+    there = index.state.select(F.col("id").alias("vec_id"), F.col("part").alias("_old"))
+    changes = placed.join(there, "vec_id", "left").select(F.coalesce("_old", "_new").alias("part"), "vec_id", "embedding", "level")
+
+    def work(part: hnsw.Part, new: pa.Table) -> None:
+        new = new.sort_by("vec_id")
+        for id_, v, level in zip(*(new.column(c).to_pylist() for c in ("vec_id", "embedding", "level")), strict=True):
+            part.insert(id_, np.array(v, np.float64), level, reuse)
+
+    return _reworked(index, changes, work)
+
+
+def _marked(index: Index, ids: DataFrame, deleted: bool, problem: str) -> Index:
+    named = ids.select(F.col("vec_id").alias("id")).distinct().withColumn("_named", F.lit(True))
+    joined = index.state.join(named, "id", "full")
+    wrong = F.col("_named") & (F.col("part").isNull() | (F.col("deleted") == deleted))
+    fails = F.raise_error(F.concat(F.lit(f"{problem}: "), F.col("id").cast("string"))).cast("boolean")
+    flag = F.when(F.coalesce(wrong, F.lit(False)), fails).when(F.col("_named"), F.lit(deleted)).otherwise(F.col("deleted"))
+    state = joined.withColumn("deleted", flag).select(*index.state.columns)
+    return replace(index, state=cut(state))
+
+
+def delete(index: Index, ids: DataFrame) -> Index:
+    """Mark ids (vec_id) as deleted: passed through, never returned.  Deleting twice is an error."""
+    return _marked(index, ids, True, "already deleted or unknown")
+
+
+def undelete(index: Index, ids: DataFrame) -> Index:
+    return _marked(index, ids, False, "not deleted")
+
+
+# Search
+
+
+def search_counted(
+    index: Index, queries: DataFrame, k: int, ef: int = 64, probe: int | None = None, dual_queue: bool = False, radius: float | None = None, least: int = 0, documents: int | None = None, admit: DataFrame | None = None
+) -> DataFrame:
+    """What each query finds in each part it meets: qid, part, vec_id, d, and on a row without vec_id the part's counters.
+
+    ``probe``: how many of the nearest cells a query meets (default: 8, or all
+    if there are fewer).  ``ef`` below k decouples the spread from the result.
+    ``dual_queue`` prunes by lower bounds.  ``radius`` (and ``least``) returns
+    what lies within.  ``documents``: an id modulo that number is its document,
+    and k distinct ones are returned.  ``admit``: only these ids (vec_id) are.
     """
-    if deleted is not None:
-        base = base.join(deleted, "vec_id", "left_anti")
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    e = edges.where("level = 0").select("src", "dst").groupBy("src").agg(F.collect_list("dst").alias("links"))
-    rows = base.select(part.alias("part"), "vec_id", "embedding").join(e, F.col("vec_id") == F.col("src"), "left").select("part", "vec_id", "embedding", "links")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "qid", "query")
-
-    def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    cells = len(index.centers)
+    met = min(cells, probe or 8)
+    m, build_ef, first = index.m, index.ef, F.array(*[F.lit(n) for n in index.first])
+    near = queries.where("query is not null").select("qid", F.col("query").cast("array<double>").alias("query")).withColumn("cell", F.explode(_nearest_cells(index.centers, met)("query")))
+    asked = near.select(F.explode(F.sequence(F.get(first, F.col("cell")), F.get(first, F.col("cell") + 1) - 1)).alias("part"), "qid", "query")
+    state = index.state
+    if admit is not None:
+        state = state.join(admit.select(F.col("vec_id").alias("id"), F.lit(True).alias("_ok")), "id", "left").select(*state.columns, F.coalesce("_ok", F.lit(False)).alias("admitted"))
+    kinds = pa.schema([("qid", pa.int64()), ("part", pa.int32()), ("vec_id", pa.int64()), ("d", pa.float64()), ("distances", pa.int64()), ("pruned", pa.int64()), ("hops", pa.int64()), ("upper", pa.int64())])
+
+    def run(key: tuple, q: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
-        if len(q) and len(b):
-            ids = b["vec_id"].to_numpy()
-            at = {int(i): n for n, i in enumerate(ids)}
-            v = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            links = [np.array([at[j] for j in (x if x is not None else []) if j in at], int) for x in b["links"]]
-            entries, low = _entries(links), coarse_bounds(v) if dual_queue else None
-            for qid, x in zip(q["qid"], q["query"], strict=True):
-                x = np.asarray(x, np.float64)
-                found = {i: d for s in entries for d, i in beam(v, links, x, s, ef, k, radius, low)[0]}
-                best = sorted((d, int(ids[i])) for i, d in found.items())[:k]
-                out += [(qid, i, d) for d, i in best]
-        return pd.DataFrame(out, columns=["qid", "vec_id", "d"])
-
-    hits = asked.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(run, "qid long, vec_id long, d double")
-    return ranked(hits, k).select("qid", "rank", "vec_id", "d")
-
-
-def _entries(links: list[np.ndarray]) -> list[int]:
-    """One start for each part of the graph that the earlier starts do not reach."""
-    seen, starts = np.zeros(len(links), bool), []
-    for s in range(len(links)):
-        if not seen[s]:
-            starts.append(s)
-            stack = [s]
-            seen[s] = True
-            while stack:
-                for j in links[stack.pop()].tolist():
-                    if not seen[j]:
-                        seen[j] = True
-                        stack.append(j)
-    return starts
+        if q.num_rows and rows.num_rows:
+            part, number = _opened(rows, m, build_ef), key[0].as_py()
+            ok = np.array(rows.sort_by("slot").column("admitted").to_pylist(), bool) if "admitted" in rows.column_names else None
+            bounds = strict_bounds(part.vectors) if dual_queue else None
+            for qid, x in zip(q.column("qid").to_pylist(), q.column("query").to_pylist(), strict=True):
+                if documents is not None:
+                    stop = hnsw.Documents(lambda s: part.ids[s] % documents, k, ef)
+                elif radius is not None:
+                    stop = hnsw.Within(radius, k, least, ef)
+                else:
+                    stop = hnsw.Decoupled(k, ef) if ef < k else hnsw.Stop(k, ef)
+                found, counts = part.search(np.array(x, np.float64), stop, ok, bounds)
+                out += [(qid, number, part.ids[s], d, None, None, None, None) for d, s in found]
+                out.append((qid, number, None, None, *(counts[c] for c in ("distances", "pruned", "hops", "upper"))))
+        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+    return asked.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(run, "qid long, part int, vec_id long, d double, distances long, pruned long, hops long, upper long")
+
+
+def search(index: Index, queries: DataFrame, k: int, **how) -> DataFrame:
+    """qid, rank, vec_id, d: :func:`search_counted`, merged over the parts."""
+    hits = search_counted(index, queries, k, **how).where("vec_id is not null").select("qid", "vec_id", "d")
+    if how.get("documents") is not None:
+        best = hits.groupBy("qid", F.pmod("vec_id", F.lit(how["documents"])).alias("doc_id")).agg(F.min(F.struct("d", "vec_id")).alias("b"))
+        return ranked(best.select("qid", "doc_id", "b.vec_id", "b.d"), k).select("qid", "rank", "doc_id", "vec_id", "d")
+    out = ranked(hits, k)
+    if how.get("radius") is not None:
+        out = out.where((F.col("d") <= how["radius"]) | (F.col("rank") <= how.get("least", 0)))
+    return out.select("qid", "rank", "vec_id", "d")
+
+
+def counters(counted: DataFrame) -> DataFrame:
+    """Distances, pruned candidates, hops and upper levels of each query, over its parts."""
+    return counted.where("vec_id is null").groupBy("qid").agg(*[F.sum(c).alias(c) for c in ("distances", "pruned", "hops", "upper")])
+
+
+# The graph as tables
+
+
+def nodes_of(index: Index) -> DataFrame:
+    return index.state.select("id", "level", "deleted")
+
+
+def edges_of(index: Index) -> DataFrame:
+    """level, src, dst of every link."""
+    own = index.state.select(F.col("id").alias("src"), F.posexplode("links").alias("level", "own"))
+    return own.select(F.col("level").cast("int").alias("level"), "src", F.explode("own").alias("dst"))
+
+
+def census(index: Index) -> DataFrame:
+    """One row: nodes, and how many self loops, repeated links, overfull lists, and links to what does not stand on their level."""
+    e, nodes, m = edges_of(index), nodes_of(index), index.m
+    met = e.join(nodes.select(F.col("id").alias("dst"), F.col("level").alias("stands")), "dst", "left")
+    lists = met.groupBy("level", "src").agg(
+        F.count("*").alias("n"), F.countDistinct("dst").alias("distinct"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(F.coalesce(F.col("stands"), F.lit(-1)) < F.col("level")).alias("astray")
+    )
+    cap = F.when(F.col("level") == 0, 2 * m).otherwise(m)
+    found = lists.agg(
+        F.coalesce(F.sum("loops"), F.lit(0)).alias("self_loops"), F.coalesce(F.sum(F.col("n") - F.col("distinct")), F.lit(0)).alias("repeated"), F.count_if(F.col("n") > cap).alias("overfull"),
+        F.coalesce(F.sum("astray"), F.lit(0)).alias("astray"),
+    )
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(found))  # one row each
+
+
+def hot(nodes: DataFrame, edges: DataFrame, target: int) -> DataFrame:
+    """``target`` nodes (id, level) of level 1 on, the highest levels first, inside a level by links on it, then by id."""
+    degree = edges.groupBy(F.col("src").alias("id"), F.col("level")).agg(F.count("*").alias("degree"))
+    ranked_ = nodes.where("level >= 1").join(degree, ["id", "level"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return ranked_.orderBy(F.col("level").desc(), F.col("degree").desc(), "id").limit(target).select("id", "level", "degree")
 
 
 def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -202,14 +328,14 @@ def bfs(edges: DataFrame, start: int, nodes: DataFrame | None = None) -> DataFra
     seen, turn = None, 0
     while start is not None:
         front = spark.createDataFrame([(start, 0, turn)], "id long, hop int, turn int")
-        seen, hop = front if seen is None else seen.unionByName(front).checkpoint(), 0
+        seen, hop = front if seen is None else cut(seen.unionByName(front)), 0
         while True:
             hop += 1
             new = edges.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop"), F.lit(turn).alias("turn"))
-            new = new.checkpoint()
+            new = cut(new)
             if new.isEmpty():
                 break
-            seen, front = seen.unionByName(new).checkpoint(), new
+            seen, front = cut(seen.unionByName(new)), new
         start = nodes.join(seen, "id", "left_anti").agg(F.min("id")).first()[0] if nodes is not None else None
         turn += 1
     return seen if nodes is not None else seen.drop("turn")
@@ -219,14 +345,3 @@ def bfs_order(seen: DataFrame, edges: DataFrame) -> DataFrame:
     """Visited nodes with what orders them: turn if there is one, hop, degree, id."""
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
     return seen.join(degree, "id", "left").select(*seen.columns, F.coalesce("degree", F.lit(0)).alias("degree"))
-
-
-def upsert(base: DataFrame, changed: DataFrame) -> DataFrame:
-    """Base with changed vectors replaced and new ones added; relinking is a build of what they touch."""
-    return base.join(changed.select("vec_id"), "vec_id", "left_anti").unionByName(changed)
-
-
-def mark_deleted(deleted: DataFrame, ids: DataFrame) -> DataFrame:
-    """The deleted set with ``ids``; deleting twice is an error."""
-    twice = ids.join(deleted, "vec_id", "left_semi").select(F.raise_error(F.concat(F.lit("already deleted: "), F.col("vec_id").cast("string"))).cast("long").alias("vec_id"))
-    return deleted.unionByName(ids).unionByName(twice)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,65 +15,11 @@ def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}"))), row_id).limit(n)
 
 
-def mt19937_indices(size: int, count: int, seed: int) -> list[int]:
-    """Indices as a 32-bit Mersenne twister shuffle of the standard C++ library picks them, ascending.
-
-    A driver-side helper for small query lists; ``size`` below 2**16 draws two
-    swaps from one number where the library does.
-    """
-    raw = _mt19937(seed)
-    order = list(range(size))
-
-    def below(bound: int) -> int:
-        """Uniform in [0, bound) by the library's rejection from a 32-bit source."""
-        product = next(raw) * bound
-        low = product & 0xFFFFFFFF
-        if low < bound:
-            threshold = (2**32 - bound) % bound
-            while low < threshold:
-                product = next(raw) * bound
-                low = product & 0xFFFFFFFF
-        return product >> 32
-
-    if (2**32 - 1) // max(size, 1) >= size:
-        i = 1
-        if size % 2 == 0 and size:
-            j = below(2)
-            order[1], order[j] = order[j], order[1]
-            i = 2
-        while i < size:
-            a, b = divmod(below((i + 1) * (i + 2)), i + 2)
-            order[i], order[a] = order[a], order[i]
-            order[i + 1], order[b] = order[b], order[i + 1]
-            i += 2
-    else:
-        for i in range(1, size):
-            j = below(i + 1)
-            order[i], order[j] = order[j], order[i]
-    return sorted(order[: min(count, size)])
-
-
-def _mt19937(seed: int) -> Iterator[int]:
-    """The generator's 32-bit outputs."""
-    state = [seed & 0xFFFFFFFF]
-    for i in range(1, 624):
-        state.append((1812433253 * (state[-1] ^ (state[-1] >> 30)) + i) & 0xFFFFFFFF)
-    while True:
-        for i in range(624):
-            y = (state[i] & 0x80000000) | (state[(i + 1) % 624] & 0x7FFFFFFF)
-            state[i] = state[(i + 397) % 624] ^ (y >> 1) ^ (0x9908B0DF if y & 1 else 0)
-        for y in state:
-            y ^= y >> 11
-            y ^= (y << 7) & 0x9D2C5680
-            y ^= (y << 15) & 0xEFC60000
-            yield y ^ (y >> 18)
-
-
 def cyclic(queries: DataFrame, row_id: str, n: int) -> DataFrame:
     """Positions 0..n-1 over the available rows, repeated in turn."""
-    rows = queries.withColumn("_slot", F.row_number().over(Window.orderBy(row_id)) - 1)
-    total = rows.agg(F.count("*").alias("_n"))
-    slots = queries.sparkSession.range(n).withColumnRenamed("id", "position").crossJoin(F.broadcast(total)).withColumn("_slot", F.pmod("position", "_n").cast("int"))
+    rows = dense_index(queries, row_id, "_slot")
+    total = queries.agg(F.count("*").alias("_n"))
+    slots = queries.sparkSession.range(n).withColumnRenamed("id", "position").crossJoin(F.broadcast(total)).withColumn("_slot", F.pmod("position", "_n"))  # one row
     return slots.join(rows, "_slot").drop("_slot", "_n")
 
 
@@ -102,25 +49,57 @@ def place(df: DataFrame, row_id: str, parts: int, policy: str, size: int = 16) -
     return df.withColumn("part", part.cast("long"))
 
 
-def assign(df: DataFrame, centroids: DataFrame) -> DataFrame:
-    """The nearest centroid (cluster, center; few rows) of each vector, ties to the smaller cluster."""
-    p = df.crossJoin(F.broadcast(centroids)).withColumn("d", F.aggregate(F.zip_with("embedding", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    return p.groupBy("vec_id").agg(F.min(F.struct("d", "cluster")).alias("m")).select("vec_id", "m.cluster", "m.d")
+def assign(df: DataFrame, centers: np.ndarray) -> DataFrame:
+    """vec_id, cluster and d: the nearest of a few centres (one row each, on the driver) of each vector, ties to the first."""
+    centers = np.asarray(centers, np.float64)
+
+    @F.arrow_udf("struct<cluster:int,d:double>")
+    def nearest(vectors: pa.Array) -> pa.Array:
+        v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+        d = np.stack([((v - c) ** 2).sum(axis=1) for c in centers], axis=1) if len(v) else np.zeros((0, len(centers)))
+        best = d.argmin(axis=1) if len(v) else np.zeros(0, np.int64)
+        return pa.StructArray.from_arrays([pa.array(best.astype(np.int32)), pa.array(d[np.arange(len(v)), best])], ["cluster", "d"])
+
+    return df.where("embedding is not null").select("vec_id", nearest("embedding").alias("_n")).select("vec_id", "_n.cluster", "_n.d")
+
+
+def farthest_first(v: np.ndarray, k: int) -> np.ndarray:
+    """Positions of k rows: the first one, then each time the row farthest from those taken."""
+    taken, d = [0], ((v - v[0]) ** 2).sum(axis=1)
+    while len(taken) < min(k, len(v)):
+        taken.append(int(d.argmax()))
+        d = np.minimum(d, ((v - v[taken[-1]]) ** 2).sum(axis=1))
+    return np.array(taken)
 
 
-def kmeans(df: DataFrame, k: int, rounds: int = 6) -> DataFrame:
-    """Centroids (cluster, center) by farthest-first seeds and a few rounds; k rows travel, never the vectors."""
-    spark = df.sparkSession
-    seeds = [df.orderBy("vec_id").select("embedding").first()[0]]
-    while len(seeds) < k:
-        c = spark.createDataFrame(list(enumerate(seeds)), "cluster int, center array<double>")
-        far = assign(df, c).orderBy(F.col("d").desc(), "vec_id").limit(1).join(df, "vec_id").select("embedding").first()
-        seeds.append(far[0])
-    centers = spark.createDataFrame(list(enumerate(seeds)), "cluster int, center array<double>")
+def centroids(df: DataFrame, k: int, sample: int, rounds: int = 6) -> np.ndarray:
+    """Centres by farthest-first seeds and a few rounds, on at most ``sample`` vectors (the first by a hash of the id)."""
+    rows = df.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    rows = rows.sort_by("vec_id")
+    v = np.array(rows.column("embedding").to_pylist(), np.float64)
+    if not len(v):
+        return np.zeros((1, 1))
+    centers = v[farthest_first(v, k)]
     for _ in range(rounds):
-        means = assign(df, centers).join(df, "vec_id").select("cluster", F.posexplode("embedding")).groupBy("cluster", "pos").agg(F.avg("col").alias("x"))
-        rows = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("center")).collect()
-        centers = spark.createDataFrame([(r["cluster"], r["center"]) for r in rows], "cluster int, center array<double>")
+        own = np.concatenate([((centers**2).sum(axis=1) - 2 * (v[a : a + 4096] @ centers.T)).argmin(axis=1) for a in range(0, len(v), 4096)])
+        for c in np.unique(own):
+            centers[c] = v[own == c].mean(axis=0)
+    return centers
+
+
+def kmeans(df: DataFrame, k: int, rounds: int = 6) -> np.ndarray:
+    """Centres over all vectors: the same seeds (the smallest id first) and rounds, with sums instead of vectors on the driver."""
+    spread = F.posexplode("embedding").alias("pos", "x")
+    first = df.orderBy("vec_id").select("embedding").first()
+    centers = [first[0]]
+    while len(centers) < k:
+        far = assign(df, np.array(centers)).orderBy(F.col("d").desc(), "vec_id").limit(1).join(df, "vec_id").select("embedding").first()
+        centers.append(far[0])
+    centers = np.array(centers, np.float64)
+    for _ in range(rounds):
+        means = assign(df, centers).join(df, "vec_id").select("cluster", spread).groupBy("cluster", "pos").agg(F.avg("x").alias("x"))
+        for r in means.collect():  # k rows of as many numbers as a vector has
+            centers[r["cluster"], r["pos"]] = r["x"]
     return centers
 
 
@@ -130,6 +109,13 @@ def balanced(assigned: DataFrame, capacity: int) -> DataFrame:
     return assigned.withColumn("slot", F.row_number().over(w) - 1).withColumn("overflow", F.col("slot") >= capacity)
 
 
+def packed_groups(assigned: DataFrame, size: int) -> DataFrame:
+    """Groups of ``size`` neighbours in (cluster, distance) order, for storage side by side: vec_id, cluster, pack, place."""
+    w = Window.partitionBy("cluster").orderBy("d", "vec_id")
+    n = F.row_number().over(w) - 1
+    return assigned.select("vec_id", "cluster", F.floor(n / size).cast("long").alias("pack"), F.pmod(n, F.lit(size)).cast("long").alias("place"))
+
+
 def lru_hits(df: DataFrame, key: str, order: list[str], item: str, capacity: int) -> DataFrame:
     """Accesses and hits of a least-recently-used cache for each key, in order; one streaming pass a partition."""
 

@@ -1,24 +1,27 @@
 """Nearest-neighbour joins, exact and pruned, and their evaluation.
 
 Tables are ``(vec_id bigint, embedding array<float>)``.  A theta join of every
-query with every base row has no key, so the base is dealt into blocks by a
-hash and the queries are sent to each block: an equi-join on the block, whose
-exchange is ``base + queries * blocks`` rows and needs no broadcast.  (Where
-one side is small, Spark broadcasts it by its measured size.)  The ranked
-window that follows keeps k rows a query and partition before its exchange.
+query with every base row has no key, so base and queries are dealt into
+blocks, and each pair of blocks meets in a cell of its own: an equi-join on
+the cell, whose exchange is ``base * query blocks + queries * base blocks``
+rows and needs no broadcast.  A cell holds a bounded part of either side,
+works on it in numpy, and keeps what may be among a query's k nearest; the
+ranked window that follows keeps k rows a query and partition before its own
+exchange.  Joins that return every pair, or filter by the distance alone, stay
+in Spark's expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bounds import strict_lower_bound_l2
-from ..functions.distance import between, distance, prepared
+from ..functions.distance import between, prepared
+from ..functions.kernels import KERNELS, lower_bounds, strict_bounds
 
 
 def blocks_of(df: DataFrame) -> int:
@@ -52,12 +55,10 @@ def ranked(hits: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, name: str = "fp32", where: Column | None = None) -> DataFrame:
-    """Exact k nearest neighbours among the base rows that ``where`` admits.
-
-    Repeated queries are searched once and the hits fanned out again.
-    """
+    """Exact k nearest neighbours among the base rows that ``where`` admits: qid, rank, vec_id, d."""
     rows = base.where(where) if where is not None else base
-    return ranked(distances(rows.select("vec_id", "embedding"), queries, name), k).select("qid", "rank", "vec_id", "d")
+    hits = in_cells(rows, queries, _nearest(k) if name == "fp32" else _nearest_by(name, k), "qid long, vec_id long, d double")
+    return ranked(hits, k).select("qid", "rank", "vec_id", "d")
 
 
 def knn_distinct(base: DataFrame, queries: DataFrame, k: int, name: str = "fp32") -> DataFrame:
@@ -89,23 +90,23 @@ def knn_multivector(base: DataFrame, queries: DataFrame, k: int, doc: str, name:
 def filter_and_refine(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact k nearest, refining only candidates whose lower bound is within reach.
 
-    Stage 1 bounds every pair from signs and exponents.  The exact distances of
-    the k pairs with the least bounds give a threshold; pairs whose bound
-    exceeds it cannot be among the k nearest.  Stage 2 computes the rest.
+    A cell bounds each of its pairs once, from signs and exponents.  The exact
+    distances of the k rows with the least bounds give a threshold; rows whose
+    bound exceeds it cannot be among the k nearest, the others are refined.
     """
-    p = pairs(base.select("vec_id", "embedding"), queries).withColumn("lb", strict_lower_bound_l2(F.col("query"), F.col("embedding")))
-    first = Window.partitionBy("qid").orderBy("lb", "vec_id")
-    seeds = p.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
-    threshold = seeds.groupBy("qid").agg(F.max(distance("fp32", F.col("query"), F.col("embedding"))).alias("reach"))
-    left = p.join(threshold, "qid").where(F.col("lb") <= F.col("reach"))
-    return ranked(left.select("qid", "vec_id", distance("fp32", F.col("query"), F.col("embedding")).alias("d")), k).select("qid", "rank", "vec_id", "d")
+    hits = in_cells(base, queries, _refined(k), "qid long, vec_id long, d double")
+    return ranked(hits, k).select("qid", "rank", "vec_id", "d")
+
+
+def pair_distances(base: DataFrame, queries: DataFrame, names: list[str]) -> DataFrame:
+    """qid, vec_id and the distances d0, d1, ... of every pair, by each of the names, in one pass."""
+    return in_cells(base, queries, _every(names), "qid long, vec_id long, " + ", ".join(f"d{i} double" for i in range(len(names))))
 
 
 def hits_at(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """qid and the hits among the first k of ``truth``; queries without a hit count 0."""
-    good = found.where(F.col("rank") <= k).join(truth.where(F.col("rank") <= k).select("qid", "vec_id"), ["qid", "vec_id"], "left_semi")
-    asked = truth.select("qid").distinct()
-    return asked.join(good.groupBy("qid").agg(F.count("*").alias("hits")), "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+    good = found.where(F.col("rank") <= k).select("qid", "vec_id", F.lit(1).alias("_hit"))
+    return truth.where(F.col("rank") <= k).join(good, ["qid", "vec_id"], "left").groupBy("qid").agg(F.count("_hit").alias("hits"))
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -113,40 +114,33 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hits_at(found, truth, k).agg((F.sum("hits") / (F.count("*") * k)).alias("recall"))
 
 
-# The blocked kernel: the same joins as a matrix product a block.
+# Cells: a block of queries with a block of base rows.
 
-#: Pairs whose fast form is held at once, and pairs summed exactly at once.
+#: Rows of a block of base rows and of queries; pairs whose fast form is held at once, and pairs summed exactly at once.
+ROWS, ASKED = 65_536, 8192
 PAIRS, CHUNK = 1 << 22, 1 << 16
+Cell = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
+
 
+def in_cells(base: DataFrame, queries: DataFrame, cell: Cell, schema: str, rows: int = ROWS, asked: int = ASKED) -> DataFrame:
+    """What ``cell`` (query ids, queries, base ids in ascending order, base rows) gives for each pair of blocks, as columns of ``schema``."""
+    b = base.where("embedding is not null").select("vec_id", "embedding")
+    q = queries.where("query is not null").select("qid", "query")
+    n = max(-(-b.count() // rows), min(blocks_of(base), 8))
+    m = max(1, -(-q.count() // asked))
+    b = b.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "vec_id", "embedding")
+    q = q.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "qid", "query")
+    names = [c.split()[0] for c in schema.split(",")]
 
-def _block_kernel(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"qid": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())}
-        if left.num_rows and right.num_rows:
-            q, v = (_matrix(t.column(c)) for t, c in ((left, "query"), (right, "embedding")))
-            ids, base = left.column("qid").to_numpy(), right.column("vec_id").to_numpy()
-            order = np.argsort(base)
-            base, v = base[order], v[order]
-            n2, take = (v * v).sum(axis=1), min(k, len(base))
-            step = max(1, min(512, PAIRS // len(base)))
-            parts = []
-            for a in range(0, len(q), step):
-                part = q[a : a + step]
-                size = n2 + (part * part).sum(axis=1)[:, None]
-                approx = size - 2 * (part @ v.T)
-                # All that rounding of the fast form lets be among the k nearest, then exact sums and the (distance, id) order.
-                size *= 8 * (v.shape[1] + 4) * np.finfo(np.float64).eps
-                reach = np.partition(approx + size, take - 1, axis=1)[:, take - 1 : take]
-                row, near = np.nonzero(~(approx - size > reach))
-                exact = np.concatenate([((part[row[c : c + CHUNK]] - v[near[c : c + CHUNK]]) ** 2).sum(axis=1) for c in range(0, len(row), CHUNK)])
-                best = np.lexsort((near, exact, row))  # base is in id order
-                row = row[best]
-                best = best[np.arange(len(row)) - np.searchsorted(row, row) < take]
-                parts.append((np.repeat(ids[a : a + step], take), base[near[best]], exact[best]))
-            out = {n: pa.array(np.concatenate([p[i] for p in parts])) for i, n in enumerate(("qid", "vec_id", "d"))}
-        return pa.table(out)
-
-    return run
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.int64() if c in ("qid", "vec_id") else pa.float64()) for c in names})
+        ids, v = right.column("vec_id").to_numpy(), _matrix(right.column("embedding"))
+        order = np.argsort(ids, kind="stable")
+        found = cell(left.column("qid").to_numpy(), _matrix(left.column("query")), ids[order], v[order])
+        return pa.table(dict(zip(names, map(pa.array, found), strict=True)))
+
+    return q.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInArrow(run, schema)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -154,14 +148,87 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def knn_blocked(base: DataFrame, queries: DataFrame, k: int, rows: int = 65_536) -> DataFrame:
-    """knn by L2 with a matrix product for each block of about ``rows`` base rows: the fast path."""
-    n = max(1, -(-base.count() // rows))
-    n = max(n, min(blocks_of(base), 8))
-    b = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "vec_id", "embedding")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "qid", "query")
-    hits = q.groupBy("block").cogroup(b.groupBy("block")).applyInArrow(_block_kernel(k), "qid long, vec_id long, d double")
-    return ranked(hits, k).select("qid", "rank", "vec_id", "d")
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    return [np.concatenate(column) for column in zip(*parts, strict=True)]
+
+
+def _first(d: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k least, in order; ties to the smaller position."""
+    if len(d) > k:
+        at = np.flatnonzero(~(d > np.partition(d, k - 1)[k - 1]))  # NaN comes last
+        return at[np.argsort(d[at], kind="stable")][:k]
+    return np.argsort(d, kind="stable")
+
+
+def _nearest(k: int) -> Cell:
+    """Squared distances as a matrix product, then exact sums of all that its rounding leaves among the k nearest."""
+
+    def cell(qid, q, ids, v):
+        n2, take = (v * v).sum(axis=1), min(k, len(ids))
+        step = max(1, min(512, PAIRS // len(ids)))
+        parts = []
+        for a in range(0, len(q), step):
+            part = q[a : a + step]
+            size = n2 + (part * part).sum(axis=1)[:, None]
+            approx = size - 2 * (part @ v.T)
+            size *= 8 * (v.shape[1] + 4) * np.finfo(np.float64).eps
+            reach = np.partition(approx + size, take - 1, axis=1)[:, take - 1 : take]
+            row, near = np.nonzero(~(approx - size > reach))
+            exact = np.concatenate([((part[row[c : c + CHUNK]] - v[near[c : c + CHUNK]]) ** 2).sum(axis=1) for c in range(0, len(row), CHUNK)])
+            best = np.lexsort((near, exact, row))  # base rows are in id order
+            row = row[best]
+            best = best[np.arange(len(row)) - np.searchsorted(row, row) < take]
+            parts.append((np.repeat(qid[a : a + step], take), ids[near[best]], exact[best]))
+        return _joined(parts)
+
+    return cell
+
+
+def _nearest_by(name: str, k: int) -> Cell:
+    """The k nearest by a distance of the registry: inputs are rounded once a vector."""
+
+    def cell(qid, q, ids, v):
+        kernel, parts = KERNELS[name], []
+        v = kernel.prepare(v)
+        for i, x in zip(qid, kernel.prepare(q), strict=True):
+            d = kernel.distances(x, v)
+            best = _first(d, k)
+            parts.append((np.full(len(best), i), ids[best], d[best]))
+        return _joined(parts)
+
+    return cell
+
+
+def _refined(k: int) -> Cell:
+    def cell(qid, q, ids, v):
+        bounded, exact, parts = strict_bounds(v), KERNELS["fp32"], []
+        for i, x in zip(qid, q, strict=True):
+            low = lower_bounds(x, bounded)
+            reach = exact.distances(x, v[_first(low, k)]).max()
+            left = np.flatnonzero(low <= reach)
+            d = exact.distances(x, v[left])
+            best = _first(d, k)
+            parts.append((np.full(len(best), i), ids[left[best]], d[best]))
+        return _joined(parts)
+
+    return cell
+
+
+def _every(names: list[str]) -> Cell:
+    def cell(qid, q, ids, v):
+        out = [np.repeat(qid, len(ids)), np.tile(ids, len(qid))]
+        for name in names:
+            kernel = KERNELS[name]
+            rows = kernel.prepare(v)
+            out.append(np.concatenate([kernel.distances(x, rows) for x in kernel.prepare(q)]))
+        return out
+
+    return cell
+
+
+def knn_blocked(base: DataFrame, queries: DataFrame, k: int, rows: int = ROWS, asked: int = ASKED) -> DataFrame:
+    """knn by L2 with blocks of the given sizes."""
+    return ranked(in_cells(base, queries, _nearest(k), "qid long, vec_id long, d double", rows, asked), k).select("qid", "rank", "vec_id", "d")
 
 
 def top_in_batches(batches: Iterator[DataFrame], queries: DataFrame, k: int) -> DataFrame | None:

@@ -28,6 +28,7 @@ def fp8(p: str, x: str, bits: int, low: float, high: float) -> Steps:
 
 
 E4M3, E2M5, E3M4 = (3, 2.0**-6, 448.0), (5, 0.5, 6.0), (4, 0.125, 30.0)
+# The compensation of approximate squares, written apart from those that the queries use.
 T8, T16, T8F, T32 = "[4, 36, 100, 158, 98, 50, 18, 2]", "[1, 9, 25, 49, 81, 121, 166, 145, 113, 85, 61, 41, 25, 13, 5, 0]", "[0, 0, 0, 1048576, 1048576, 1048576, 0, 0]", "[32768, 294912, 819200, 1296579, 802816, 409600, 147456, 16384]"
 
 

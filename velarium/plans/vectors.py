@@ -172,16 +172,16 @@ def vector_norms(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(norm2(F.col("embedding")), 6).alias("norm2"))
 
 
-@query("SELECT vec_id, i::INTEGER AS i, round(x, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS x FROM embeddings) WHERE i < 4")
+@query("SELECT vec_id, i::INTEGER AS i, round(x, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS x FROM embeddings)")
 def l2_normalize(spark, sf_dir):
-    n = vectors(spark, sf_dir).select("vec_id", F.posexplode(F.slice(normalized_strict(F.col("embedding"), F.col("vec_id")), 1, 4)).alias("i", "x"))
+    n = vectors(spark, sf_dir).select("vec_id", F.posexplode(normalized_strict(F.col("embedding"), F.col("vec_id"))).alias("i", "x"))
     return rounded(n, "x")
 
 
-@query("SELECT vec_id, i::INTEGER AS i, round(x, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE * 3 / greatest(3 * sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12) AS x FROM embeddings) WHERE i < 4")
+@query("SELECT vec_id, i::INTEGER AS i, round(x, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE * 3 / greatest(3 * sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12) AS x FROM embeddings)")
 def l2_normalize_clamped(spark, sf_dir):
     v = scaled(vectors(spark, sf_dir), 3.0)
-    return rounded(v.select("vec_id", F.posexplode(F.slice(normalized_clamped(F.col("embedding")), 1, 4)).alias("i", "x")), "x")
+    return rounded(v.select("vec_id", F.posexplode(normalized_clamped(F.col("embedding"))).alias("i", "x")), "x")
 
 
 @query("SELECT vec_id, round(n, 6) AS norm FROM (SELECT vec_id, (1 + CASE WHEN vec_id % 50 = 0 THEN 0.01 ELSE 0 END) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) WHERE abs(n - 1) > 2e-5")
@@ -224,21 +224,28 @@ def _codec_sql(kind: str) -> str:
     steps = [("a", "abs(x)"), *s.exponent("e", "a"), ("m", f"round_even((a / pow(2.0, e) - 1) * {one}, 0)"), ("f", f"e + {bias} + (m >= {one})::INT")]
     columns = "".join(f", {x} AS {n}" for n, x in steps)
     code = f"CASE WHEN a < pow(2.0, {1 - bias}) THEN 0 WHEN f >= {(1 << wide) - 1} THEN 127 ELSE f * {one} + CASE WHEN m >= {one} THEN 0 ELSE m END END + CASE WHEN x < 0 THEN 128 ELSE 0 END"
-    return f"SELECT '{kind}' AS kind, vec_id, i, ({code})::INTEGER AS code FROM (SELECT *{columns} FROM (SELECT vec_id, i, x * 20 AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings) WHERE i < 8))"
+    return f"SELECT '{kind}' AS kind, vec_id, i, ({code})::INTEGER AS code FROM (SELECT *{columns} FROM (SELECT vec_id, i, x * 20 AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings)))"
 
 
 @query(" UNION ALL ".join(_codec_sql(k) for k in numeric.FP8_FIELDS))
 def fp8_codes(spark, sf_dir):
     """8-bit encodings of scaled components, in the three formats."""
-    v = vectors(spark, sf_dir).select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "x")).withColumn("x", F.col("x").cast("double") * 20)
+    v = vectors(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double") * 20)
     kinds = [v.select(F.lit(k).alias("kind"), "vec_id", "i", numeric.fp8_encode(F.col("x"), k).alias("code")) for k in numeric.FP8_FIELDS]
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
-_T = [x for r in numeric.product_table() for x in r]
+# The compensation in SQL, from its definition: the mean error of each cell of leading bits, over all pairs of significands.
+CELLS = (
+    "SELECT i * 16 + j AS cell, CASE WHEN i = 15 AND j = 15 THEN 0 ELSE floor(total / 8388608.0 + 0.5) END::BIGINT AS comp FROM (SELECT x // 64 AS i, y // 64 AS j, "
+    "sum(CASE WHEN (1024 + x) * (1024 + y) < 2097152 THEN 2 * x * y ELSE (1024 - x) * (1024 - y) END) AS total FROM (SELECT range AS x FROM range(1024)), (SELECT range AS y FROM range(1024)) GROUP BY i, j)"
+)
 
 
-@query(f"SELECT a, b, (((a ^ b) >> 15) & 1) << 15 | (((((a & 32767) + (b & 32767)) & 65535) + (50176 | {_T}[((a >> 6) & 15) * 16 + ((b >> 6) & 15) + 1])) & 32767) AS product_bits FROM (SELECT range AS a, (range * 31337 + 4099) % 65536 AS b FROM range(0, 65536))".replace("a ^ b", "xor(a, b)").replace("(xor(a, b)) >>", "xor(a, b) >>"))
+@query(
+    "SELECT a, b, ((xor(a, b) >> 15) & 1) << 15 | (((((a & 32767) + (b & 32767)) & 65535) + (50176 | comp)) & 32767) AS product_bits "
+    f"FROM (SELECT range AS a, (range * 31337 + 4099) % 65536 AS b FROM range(0, 65536)) JOIN ({CELLS}) ON cell = ((a >> 6) & 15) * 16 + ((b >> 6) & 15)"
+)
 def rtl_product_sweep(spark, sf_dir):
     """The circuit's product of every encoding with another one."""
     p = spark.range(65536).select(F.col("id").alias("a"), F.pmod(F.col("id") * 31337 + 4099, F.lit(65536)).alias("b"))
@@ -275,35 +282,69 @@ def partition_modulo(spark, sf_dir):
 ASSIGNED = s.all_pairs("fp32", where="q.vec_id < 8")
 
 
-@query(f"SELECT vec_id, arg_min(qid, (d, qid)) AS cluster, round(min(d), 6) AS d FROM ({ASSIGNED}) GROUP BY vec_id")
-def kmeans_assign(spark, sf_dir):
-    """Nearest of 8 given centroids."""
+NEAREST = f"SELECT vec_id, arg_min(qid, (d, qid))::INTEGER AS cluster, min(d) AS d FROM ({ASSIGNED}) GROUP BY vec_id"
+
+
+def assigned(spark, sf_dir) -> DataFrame:
+    """The nearest of 8 given centres."""
     v = vectors(spark, sf_dir)
-    c = v.where(F.col("vec_id") < 8).select(F.col("vec_id").alias("cluster"), F.col("embedding").cast("array<double>").alias("center"))
-    return rounded(sampling.assign(v.withColumn("embedding", F.col("embedding").cast("array<double>")), c), "d")
+    given = [r["embedding"] for r in v.where("vec_id < 8").orderBy("vec_id").collect()]
+    return sampling.assign(v, given)
+
 
+@query(f"SELECT vec_id, cluster, round(d, 6) AS d FROM ({NEAREST})")
+def kmeans_assign(spark, sf_dir):
+    return rounded(assigned(spark, sf_dir), "d")
 
-@query(f"SELECT vec_id, cluster, (row_number() OVER (PARTITION BY cluster ORDER BY vec_id) - 1) % 4 AS part FROM (SELECT vec_id, arg_min(qid, (d, qid)) AS cluster FROM ({ASSIGNED}) GROUP BY vec_id)")
+
+@query(f"SELECT vec_id, cluster, (row_number() OVER (PARTITION BY cluster ORDER BY vec_id) - 1) % 4 AS part FROM ({NEAREST})")
 def cluster_round_robin(spark, sf_dir):
-    a = kmeans_assign(spark, sf_dir)
+    a = assigned(spark, sf_dir)
     return a.select("vec_id", "cluster", ((F.row_number().over(Window.partitionBy("cluster").orderBy("vec_id")) - 1) % 4).cast("long").alias("part"))
 
 
+@query(f"SELECT vec_id, cluster, k - 1 AS slot, k > 50 AS overflow FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY d, vec_id) AS k FROM ({NEAREST}))")
+def cluster_capacity(spark, sf_dir):
+    """At most 50 vectors a cluster keep their place."""
+    return sampling.balanced(assigned(spark, sf_dir), 50).select("vec_id", "cluster", F.col("slot").cast("long").alias("slot"), "overflow")
+
+
+@query(f"SELECT vec_id, cluster, (k - 1) // 16 AS pack, (k - 1) % 16 AS place FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY d, vec_id) AS k FROM ({NEAREST}))")
+def packing_groups(spark, sf_dir):
+    """Groups of 16 near vectors, for storage side by side."""
+    return sampling.packed_groups(assigned(spark, sf_dir), 16)
+
+
+KMEANS_STEP = "SELECT cluster, i, avg(x) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) JOIN ({n}) USING (vec_id) GROUP BY cluster, i"
+
+
+@query(f"SELECT cluster, i::INTEGER AS i, round(x, 6) AS x FROM ({KMEANS_STEP.format(n=NEAREST)})")
+def kmeans_step(spark, sf_dir):
+    """The centres after one round from the given ones."""
+    spread = vectors(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    means = assigned(spark, sf_dir).join(spread, "vec_id").groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return rounded(means, "x")
+
+
 # Bounds and pruning
 
 
-def pairs_of(spark, sf_dir, every: int = 100) -> DataFrame:
+#: Queries of the bounds and of the boundary log: the stated set.
+EVERY = 50
+
+
+def pairs_of(spark, sf_dir, every: int = EVERY) -> DataFrame:
     base = vectors(spark, sf_dir)
     return search.pairs(base, asked(base, every))
 
 
 def bit_pairs(spark, sf_dir, bits: int) -> DataFrame:
     base = vectors(spark, sf_dir)
-    q = asked(base, 100).withColumn("half", bounds.half(F.col("query")))
+    q = asked(base, EVERY).withColumn("half", bounds.half(F.col("query")))
     return search.pairs(base.withColumn("allowed", bounds.intervals(F.col("embedding"), bits)), q)
 
 
-LONG = "SELECT q.vec_id AS qid, v.vec_id, q.i, q.x AS q, v.x AS v FROM ({e}) q JOIN ({e}) v USING (i) WHERE q.vec_id % 100 = 0".format(e="SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings")
+LONG = "SELECT q.vec_id AS qid, v.vec_id, q.i, q.x AS q, v.x AS v FROM ({e}) q JOIN ({e}) v USING (i) WHERE q.vec_id % 50 = 0".format(e="SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings")
 COARSE = "SELECT *, CASE WHEN abs(h) < pow(2.0, -14) THEN 0 WHEN (q < 0) <> (h < 0) THEN abs(q) * pow(2.0, k) ELSE -2 * abs(q) * pow(2.0, k) END AS t FROM (SELECT *" + "".join(f", {e} AS {n}" for n, e in [*s.fp16("h", "v"), ("g", "abs(h)"), *s.exponent("k", "g")]) + f" FROM ({LONG}))"
 
 
@@ -332,7 +373,7 @@ def lower_bound_bits(spark, sf_dir):
     return rounded(bit_pairs(spark, sf_dir, 8).select("qid", "vec_id", bounds.lower_bound_bits(F.col("half"), F.col("allowed")).alias("lb")), "lb")
 
 
-@query(f"SELECT qid, vec_id, round(CASE WHEN lb > 1.2 + 1e-6 THEN lb ELSE d END, 6) AS d, lb > 1.2 + 1e-6 AS pruned FROM ({_bits_sql(8)}) JOIN ({s.all_pairs('fp16_fpma', where='q.vec_id % 100 = 0')}) USING (qid, vec_id)")
+@query(f"SELECT qid, vec_id, round(CASE WHEN lb > 1.2 + 1e-6 THEN lb ELSE d END, 6) AS d, lb > 1.2 + 1e-6 AS pruned FROM ({_bits_sql(8)}) JOIN ({s.all_pairs('fp16_fpma', where='q.vec_id % 50 = 0')}) USING (qid, vec_id)")
 def bit_level_prune(spark, sf_dir):
     """The bound itself where it exceeds the threshold, else the distance."""
     lb, reach = bounds.lower_bound_bits(F.col("half"), F.col("allowed")), 1.2 + 1e-6
@@ -362,20 +403,22 @@ def et_ratio(spark, sf_dir):
 
 def boundary_log(spark, sf_dir) -> DataFrame:
     base = vectors(spark, sf_dir)
-    q = asked(base, 100)
-    exact = search.distances(base, q, "fp16_true").withColumnRenamed("d", "c_exact")
-    fpma = search.distances(base, q, "fp16_fpma").withColumnRenamed("d", "c_fpma")
-    w = Window.partitionBy("qid").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = exact.join(fpma, ["qid", "vec_id"])
-    best = F.min(F.struct("c_exact", "vec_id", "c_fpma")).over(w)
-    d = d.withColumn("b", best).where("b is not null").select("qid", F.col("vec_id").alias("candidate_id"), F.col("b.vec_id").alias("boundary_id"), F.col("b.c_exact").alias("b_exact"), "c_exact", F.col("b.c_fpma").alias("b_fpma"), "c_fpma")
+    d = search.pair_distances(base, asked(base, EVERY), ["fp16_true", "fp16_fpma"]).withColumnsRenamed({"d0": "c_exact", "d1": "c_fpma"})
+    # The nearest one so far: of the earlier runs of ids, and of the earlier rows of the own run; no window holds a whole base.
+    d = d.withColumn("run", F.floor(F.col("vec_id") / search.ROWS))
+    row = F.struct("c_exact", "vec_id", "c_fpma")
+    before = Window.partitionBy("qid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = d.groupBy("qid", "run").agg(F.min(row).alias("least")).select("qid", "run", F.min("least").over(before).alias("earlier"))
+    inside = Window.partitionBy("qid", "run").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("own", F.min(row).over(inside)).join(runs, ["qid", "run"]).withColumn("b", F.least("own", "earlier"))
+    d = d.where("b is not null").select("qid", F.col("vec_id").alias("candidate_id"), F.col("b.vec_id").alias("boundary_id"), F.col("b.c_exact").alias("b_exact"), "c_exact", F.col("b.c_fpma").alias("b_fpma"), "c_fpma")
     return d.withColumn("exact_accept", F.col("c_exact") < F.col("b_exact")).withColumn("fpma_accept", F.col("c_fpma") < F.col("b_fpma"))
 
 
 BOUNDARY = (
     "SELECT *, c_exact < b_exact AS exact_accept, c_fpma < b_fpma AS fpma_accept FROM (SELECT qid, vec_id AS candidate_id, b.vec_id AS boundary_id, b.c_exact AS b_exact, c_exact, b.c_fpma AS b_fpma, c_fpma FROM ("
     "SELECT e.qid, e.vec_id, e.d AS c_exact, f.d AS c_fpma, min({'c_exact': e.d, 'vec_id': e.vec_id, 'c_fpma': f.d}) OVER (PARTITION BY e.qid ORDER BY e.vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b "
-    f"FROM ({s.all_pairs('fp16_true', where='q.vec_id % 100 = 0')}) e JOIN ({s.all_pairs('fp16_fpma', where='q.vec_id % 100 = 0')}) f USING (qid, vec_id)) WHERE b IS NOT NULL)"
+    f"FROM ({s.all_pairs('fp16_true', where='q.vec_id % 50 = 0')}) e JOIN ({s.all_pairs('fp16_fpma', where='q.vec_id % 50 = 0')}) f USING (qid, vec_id)) WHERE b IS NOT NULL)"
 )
 
 
