@@ -12,20 +12,28 @@
    ``LENIENT`` are joined by a spanning forest: at most one row a class, never
    all pairs.  ``LENIENT`` lies five standard deviations below the threshold.
 4. The forests' components are clusters that hold every link between them.
-   Each cluster's texts meet once; a search that starts from one document,
-   takes all unvisited ones with exact Jaccard similarity of at least 0.75 as
-   linked, and goes on from those, gives the exact components.
-5. Buckets and clusters beyond ``GROUP`` members are cut into parts by a hash,
-   and every two parts meet in a cell of their own: no pair is lost and no
-   task holds more than two parts.
+   Each cluster's texts meet; a search that starts from one document, takes
+   all unvisited ones with exact Jaccard similarity of at least 0.75 as linked,
+   and goes on from those, gives the exact components.
+5. Buckets and clusters beyond ``GROUP`` members are cut into parts by a hash.
+   Each part meets a few representatives of the whole group, which link the
+   parts that hold copies of one text to each other.  Members that this leaves
+   apart from the first representative's component (none, where all are copies
+   of one text) then visit every other part, ``GROUP`` at a time: every two
+   members have met, or are linked through others, and no task holds more than
+   a part and as many visitors.
 
 A pair at the threshold shares no band with probability (1 - .75**4)**32,
 about 5 in a million, and its estimate misses ``LENIENT`` with about 0.8 in a
-million (a binomial tail, not conditioned on a shared band).
+million (a binomial tail, not conditioned on a shared band); a pair that is
+more similar is missed less.  Such a pair is lost only if no third text joins
+its two.  What follows the candidates is exact.
 
 Defined cases: null texts and texts without words have an empty set and are
 linked with nothing; rows with a null id take no part and have a null
-component; repeated rows share their id's component; other columns pass by.
+component; repeated rows share their id's component; further columns, whatever
+their names, are not read, and the result has its own four alone; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,11 +47,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .wordbpe import runs
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 32, 4, 4
 LENIENT = 0.55
-GROUP = 512
+#: Members of a part, and representatives that each part of a group meets.
+GROUP, REPS = 512, 8
 #: Buckets are counted on a part of the classes, to find those that need cells.
 SAMPLE = 16
 #: Bytes of text hashed at once.
@@ -152,17 +162,16 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "digest", "bands", "signature"]
     for batch in batches:
-        texts = _bytes(batch, "text")
-        for a, b in _runs(texts):
+        for a, b in runs(batch.column("text"), RUN):
             sizes, digests, keys, signatures = [], [], [], []
-            for x in shingles(texts[a:b]):
+            for x in shingles(_bytes(batch.column("text").slice(a, b - a))):
                 sizes.append(len(x))
                 if not len(x):
                     digests.append(None), keys.append(None), signatures.append(None)
@@ -215,22 +224,49 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str
         yield key, rows
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+MET = "a long, b long, key long"
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges between the classes of each bucket (or cell of one)."""
-    found: list[tuple[int, int]] = []
-    for _, rows in _grouped(batches, ["key", "i", "j"], ["doc_id", "signature"]):
-        if len(rows) > 1:
-            ids = [r[0] for r in rows]
-            signs = np.frombuffer(b"".join(r[1] for r in rows), "<u8").reshape(len(rows), -1)
-            found += [(ids[p], ids[q]) for p, q in forest(len(rows), lambda i, rest: estimate(signs[i], signs[rest]) >= LENIENT)]
-        if len(found) > 50_000:
-            yield _edges(found)
-            found = []
-    yield _edges(found)
+def _met(columns: list[str], links_of, apart: bool):
+    """Forest edges (a, b) of each cell; ``links_of`` the members' payloads gives ``linked`` for :func:`forest`.
+
+    Rows come sorted by key, cell and doc_id.  ``apart``: of the groups that are
+    cut up, also the members (a, and the key) that are not in the component of
+    the first row, which every cell of a group has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int | None, int | None]] = []
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["a", "b", "key"])
+            found.clear()
+            return made
+
+        for (key, *_), rows in _grouped(batches, ["key", "i", "j"], ["doc_id", "cut", *columns]):
+            rows = list(dict.fromkeys(rows))  # a representative or visitor may be at home here too
+            if len(rows) > 1:
+                ids = [r[0] for r in rows]
+                edges = forest(len(rows), links_of([r[2] for r in rows]))
+                found += [(ids[p], ids[q], None) for p, q in edges]
+                if apart and rows[0][1]:
+                    near = {0, *(q for p, q in edges if p == 0)}
+                    found += [(ids[n], None, key) for n in range(len(rows)) if n not in near]
+            if len(found) > 50_000:
+                yield out()
+        yield out()
+
+    return run
+
+
+def _estimated(signatures: list[bytes]):
+    signs = np.frombuffer(b"".join(signatures), "<u8").reshape(len(signatures), -1)
+    return lambda i, rest: estimate(signs[i], signs[rest]) >= LENIENT
+
+
+def _exact(texts: list[str]):
+    raw = [t.encode() for t in texts]
+    return exact_links([x for a, b in _runs(raw) for x in shingles(raw[a:b])])
 
 
 def exact_links(sets: list[np.ndarray]):
@@ -259,32 +295,34 @@ def exact_links(sets: list[np.ndarray]):
     return linked
 
 
-def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact forest edges inside each cluster (or cell of one), from the texts."""
-    found: list[tuple[int, int]] = []
-    for _, rows in _grouped(batches, ["cluster", "i", "j"], ["doc_id", "text"]):
-        ids = [r[0] for r in rows]
-        texts = [r[1].encode() for r in rows]
-        sets = [x for a, b in _runs(texts) for x in shingles(texts[a:b])]
-        found += [(ids[p], ids[q]) for p, q in forest(len(rows), exact_links(sets))]
-        if len(found) > 50_000:
-            yield _edges(found)
-            found = []
-    yield _edges(found)
-
-
-def celled(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """Add i and j: the cell of a row.  ``sizes``: key and parts (over 1) of the groups that are cut up.
-
-    A row of a group in p parts meets every part once: it goes to the p cells
-    that its own part is in.  Cells of a part with itself come with any other.
-    """
-    cut_up = rows.join(sizes.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left").drop("_k")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")).cast("int")
-    cells = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != own), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    )
-    return cut_up.withColumn("_c", F.explode(cells)).select(*rows.columns, "_c.i", "_c.j")
+def meetings(rows: DataFrame, sizes: DataFrame, payload: str, links_of) -> DataFrame:
+    """Edges (a, b) that hold each group's components.  ``rows``: key, doc_id, payload; ``sizes``: key and parts (over 1) of groups that are cut up."""
+    sizes = cut(sizes)  # read back, its size is known: Spark broadcasts it only if that is small
+    order = ["key", "i", "j", "doc_id"]
+    own = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")), F.lit(0)).cast("int")
+    home = rows.join(sizes, "key", "left").withColumn("i", own)
+    here = home.select("key", "i", F.lit(0).alias("j"), "doc_id", F.col("parts").isNotNull().alias("cut"), payload)
+    # Representatives: the least id, which all cells of the group see first, and the least by some hashes.
+    least = [F.min(F.struct(F.xxhash64("doc_id", F.lit(n)), "doc_id"))["doc_id"] for n in range(1, REPS)]
+    reps = rows.join(sizes, "key").groupBy("key", "parts").agg(F.array_distinct(F.array(F.min("doc_id"), *least)).alias("ids"))
+    reps = cut(reps.select("key", "parts", F.explode("ids").alias("doc_id")))
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")
+    sent = rows.join(reps, ["key", "doc_id"]).select("key", everywhere, F.lit(0).alias("j"), "doc_id", F.lit(True).alias("cut"), payload)
+    first = here.unionByName(sent).repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_met([payload], links_of, True), MET)
+    first = cut(first)
+    left = first.where("b is null").select("key", F.col("a").alias("doc_id")).distinct()
+    edges = first.where("b is not null").select("a", "b")
+    if left.isEmpty():
+        return edges
+    # Those apart visit the other parts, in as many turns as they fill.
+    turns = left.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("turns"))
+    turns = cut(turns.join(sizes, "key"))
+    at = home.drop("parts").join(turns, "key")
+    hosts = at.select("key", "i", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("j"), "doc_id", F.lit(True).alias("cut"), payload)
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.col("turns")).cast("int").alias("j")
+    guests = at.join(cut(left), ["key", "doc_id"]).select("key", everywhere, turn, "doc_id", F.lit(True).alias("cut"), payload)
+    again = hosts.unionByName(guests).repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_met([payload], links_of, False), MET)
+    return edges.unionByName(cut(again).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -313,19 +351,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     known = cut(sketch(docs, text, row_id))
     with_set = known.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(with_set.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("r")).select("digest", "r.*"))
-    banded = classes.select("doc_id", F.explode("bands").alias("key"), "signature")
+    banded = classes.select(F.explode("bands").alias("key"), "doc_id", "signature")
     seen = classes.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode("bands").alias("key")).groupBy("key").count()
     hot = seen.where(F.col("count") * SAMPLE > GROUP).select("key", (F.ceil(F.col("count") * SAMPLE / GROUP) + 1).cast("int").alias("parts"))
-    # Counted in few rows: read back, its size is known, and Spark broadcasts it only if that is small.
-    dealt = celled(banded, cut(hot), "key")
-    edges = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id").mapInArrow(_buckets, "a long, b long")
-    coarse = components(cut(edges.distinct()))
-    sizes = coarse.groupBy("root").count().where(F.col("count") > GROUP).select("root", (F.ceil(F.col("count") / GROUP) + 1).cast("int").alias("parts"))
-    member = celled(coarse.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), cut(sizes.withColumnRenamed("root", "cluster")), "cluster")
+    edges = meetings(banded, hot, "signature", _estimated)
+    coarse = components(cut(edges.distinct())).select(F.col("node").alias("doc_id"), F.col("root").alias("key"))
+    sizes = coarse.groupBy("key").count().where(F.col("count") > GROUP).select("key", (F.ceil(F.col("count") / GROUP) + 1).cast("int").alias("parts"))
     texts = docs.select(F.col(row_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    met = texts.join(member, F.col("_id") == F.col("doc_id")).select("cluster", "i", "j", "doc_id", "text")
-    links = met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id").mapInArrow(_clusters, "a long, b long")
-    exact = components(cut(links))
+    met = texts.join(coarse, F.col("_id") == F.col("doc_id")).select("key", "doc_id", "text")
+    exact = components(cut(meetings(met, sizes, "text", _exact)))
     root = classes.join(exact, F.col("doc_id") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("root", "doc_id").alias("root"))
     # Copies of one set may be a third of all rows: their classes are looked up with the key salted.
     salts = 16
@@ -336,9 +370,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each group; of rows that repeat an id, one stays too."""
+    """The documents without all but one of each group; rows that repeat an id and its text count once, rows without an id stay."""
     found = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    rows = rows.dropDuplicates(["doc_id"]) if again else rows
+    if again:
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        rows = rows.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_o")).select(*[F.col(f"_o.{c}") if c in others else F.col(c) for c in docs.columns]) if others else rows.distinct()
     return rows.unionByName(docs.where("doc_id is null"))
