@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -199,3 +200,50 @@ def rtl_product(a: Column, b: Column, table: Sequence[Sequence[int]] | None = No
     comp = F.get(F.array(*[F.lit(x) for x in flat]), (index(a) * n + index(b)).cast("int"))
     total = (a.bitwiseAND(0x7FFF) + b.bitwiseAND(0x7FFF)).bitwiseAND(0xFFFF) + F.lit(0xC400).bitwiseOR(comp)
     return F.shiftleft(F.shiftright(a.bitwiseXOR(b), 15).bitwiseAND(1), 15).bitwiseOR(total.bitwiseAND(0x7FFF))
+
+
+def fp16_decode(bits: Column) -> Column:
+    """The number of a half-precision encoding."""
+    e, m = F.shiftright(bits, 10).bitwiseAND(31), bits.bitwiseAND(1023)
+    size = F.when((e == 31) & (m > 0), lit(float("nan"))).when(e == 31, lit(float("inf"))).when(e == 0, m * 2.0**-24).otherwise((1 + m / 1024.0) * pow2(e.cast("double") - 15))
+    return F.when(bits >= 32768, -size).otherwise(size)
+
+
+def fp16_encode(x: Column, negative: Column | None = None) -> Column:
+    """A number's half-precision encoding, ties to even; ``negative`` tells the sign of zeros.  NaN has one encoding."""
+    a = F.abs(fp16(x))
+    e = F.greatest(exponent(F.when(a > 0, a).otherwise(lit(2.0**-24))), lit(-14))
+    unit = pow2(e - 10)
+    normal = (e + 15) * 1024 + (a / unit - 1024)
+    code = F.when(a == lit(float("inf")), lit(31744)).when(a < 2.0**-14, a / 2.0**-24).otherwise(normal)
+    sign = negative if negative is not None else x < 0
+    return F.when(F.isnan(x), F.lit(32256)).otherwise((code + F.when(sign, 32768).otherwise(0)).cast("long")).cast("long")
+
+
+def split_mix(name: str) -> Column:
+    """A 64-bit mixing of a long, as an unsigned decimal(20): products wrap, so it is done on unsigned arrays."""
+
+    @F.arrow_udf("decimal(20,0)")
+    def mixed(ids: pa.Array) -> pa.Array:
+        x = ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return pa.array(x ^ (x >> np.uint64(31))).cast(pa.decimal128(20, 0))
+
+    return mixed(name)
+
+
+def fnv1a(raw: Column) -> Column:
+    """64-bit FNV-1a of bytes, as an unsigned decimal(20)."""
+
+    @F.arrow_udf("decimal(20,0)")
+    def digest(values: pa.Array) -> pa.Array:
+        out = []
+        for v in values:
+            h = 0xCBF29CE484222325
+            for b in v.as_py() or b"":
+                h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
+            out.append(h)
+        return pa.array(out, pa.uint64()).cast(pa.decimal128(20, 0))
+
+    return digest(raw)

@@ -140,3 +140,30 @@ def sectioned_melt(lines: DataFrame, order: str, text: str, sep: str = r"\t") ->
     s = s.withColumn("head", F.first("cells").over(first)).withColumn("n", F.row_number().over(first)).where("n > 1")
     pairs = F.arrays_zip(F.expr("slice(head, 2, size(head))").alias("design"), F.expr("slice(cells, 2, size(cells))").alias("value"))
     return s.select("section", F.col("head")[0].alias("metric"), F.col("cells")[0].alias("component"), F.explode(pairs).alias("p")).select("section", "metric", "component", F.col("p.design").alias("design"), F.col("p.value").cast("double").alias("value"))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) + 0.0 for n in names})
+
+
+def placed(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Add place: the names of ``order`` first, as they stand there, then the others; few rows."""
+    at = F.array_position(F.array(*[F.lit(n) for n in order]), F.col(name))
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.when(at == 0, len(order) + 1).otherwise(at), name)))
+
+
+def better_ranges(at: DataFrame, key: str, step: float) -> DataFrame:
+    """a, b, low, high: the runs of grid points (target, qps_at) at which a's value exceeds b's."""
+    other = at.select(F.col(key).alias("b"), "target", F.col("qps_at").alias("_q"))
+    better = at.select(F.col(key).alias("a"), "target", "qps_at").join(other, "target").where((F.col("a") != F.col("b")) & (F.col("qps_at") > F.col("_q")))
+    island = F.round(F.col("target") / step) - F.row_number().over(Window.partitionBy("a", "b").orderBy("target"))
+    return better.withColumn("_i", island).groupBy("a", "b", "_i").agg(F.min("target").alias("low"), F.max("target").alias("high")).drop("_i")
+
+
+def staged(pairs: DataFrame, bound: str, first: float, part: str, d: str, second: float) -> DataFrame:
+    """For each query, what a bound, a partial and a whole distance prune one after another."""
+    coarse, midway = F.col(bound) > first, F.col(part) > second
+    return pairs.groupBy("qid").agg(
+        F.count("*").alias("pairs"), F.count_if(coarse).alias("pruned_first"), F.count_if(~coarse & midway).alias("pruned_midway"),
+        F.count_if(~coarse & ~midway & (F.col(d) > second)).alias("pruned_second"), F.count_if(~coarse & (F.col(d) <= second)).alias("kept"),
+    )

@@ -15,6 +15,19 @@ def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}"))), row_id).limit(n)
 
 
+def first_queries(queries: DataFrame, row_id: str, n: int) -> DataFrame:
+    """The first n rows by id, with their position."""
+    return dense_index(queries.orderBy(row_id).limit(n), row_id, "position")
+
+
+def mixed_queries(queries: DataFrame, base: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
+    """position, the row and from_base: at most n queries, and a seeded sample of base rows for those that lack."""
+    own = dense_index(queries.orderBy(row_id).limit(n), row_id, "position").withColumn("from_base", F.lit(False))
+    there = own.count()
+    fill = dense_index(seeded_sample(base, row_id, n - there, seed), row_id, "position").withColumn("position", F.col("position") + there)
+    return own.unionByName(fill.withColumn("from_base", F.lit(True)))
+
+
 def cyclic(queries: DataFrame, row_id: str, n: int) -> DataFrame:
     """Positions 0..n-1 over the available rows, repeated in turn."""
     rows = dense_index(queries, row_id, "_slot")

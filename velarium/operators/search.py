@@ -114,6 +114,13 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hits_at(found, truth, k).agg((F.sum("hits") / (F.count("*") * k)).alias("recall"))
 
 
+def recall_against(found: DataFrame, truth: DataFrame, k: int, depth: int) -> DataFrame:
+    """One row: compared, hits and recall of k results against a truth of ``depth``, where the smaller count is compared."""
+    n = min(k, depth)
+    hits = truth.where(F.col("rank") <= n).join(found.where(F.col("rank") <= k).select("qid", "vec_id", F.lit(1).alias("_hit")), ["qid", "vec_id"], "left").groupBy("qid").agg(F.count("_hit").alias("hits"))
+    return hits.agg((F.count("*") * n).alias("compared"), F.sum("hits").alias("hits"), (F.sum("hits") / (F.count("*") * n)).alias("recall"))
+
+
 # Cells: a block of queries with a block of base rows.
 
 #: Rows of a block of base rows and of queries; pairs whose fast form is held at once, and pairs summed exactly at once.

@@ -1,7 +1,7 @@
 """The registered queries and their SQL oracles."""
 
-from . import analytics, graphs, streams, traces, vectors
+from . import analytics, graphs, memory, streams, tables, traces, vectors
 
-MODULES = [vectors, analytics, traces, graphs, streams]
+MODULES = [vectors, analytics, traces, graphs, memory, tables, streams]
 ALL_QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ALL_ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}

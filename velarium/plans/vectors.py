@@ -199,7 +199,7 @@ FP16_SWEEP = "SELECT bits, CASE WHEN bits // 1024 % 32 = 0 THEN 0 ELSE pow(2.0,
 
 
 @query(
-    "SELECT count(*) AS n, round(avg(abs(t - x * x) / (x * x)), 6) AS mean_error, round(max(abs(t - x * x) / (x * x)), 6) AS max_error FROM (SELECT *"
+    "SELECT count(*) AS n, round(avg(abs(t - x * x) / (x * x)), 6) AS mean_error, round(max(abs(t - x * x) / (x * x)), 6) AS max_error, arg_max(bits, (abs(t - x * x) / (x * x), -bits)) AS worst FROM (SELECT *"
     + "".join(f", {e} AS {n}" for n, e in s.square("t", "x", 10, s.T8, 8, -14, 16))
     + f" FROM ({FP16_SWEEP})) WHERE t > 0 AND t < 'inf'::DOUBLE"
 )
@@ -208,7 +208,8 @@ def fpma_error_stats(spark, sf_dir):
     bits = spark.range(1024, 31744).withColumn("x", F.pow(F.lit(2.0), F.shiftright("id", 10) - 15) * (1 + F.col("id").bitwiseAND(1023) / 1024))
     e = bits.withColumn("t", numeric.square_fp16(F.col("x"))).where((F.col("t") > 0) & (F.col("t") < float("inf")))
     err = F.abs(F.col("t") - F.col("x") * F.col("x")) / (F.col("x") * F.col("x"))
-    return e.agg(F.count("*").alias("n"), F.round(F.avg(err), 6).alias("mean_error"), F.round(F.max(err), 6).alias("max_error"))
+    worst = F.max(F.struct(err.alias("e"), (-F.col("id")).alias("i")))["i"]
+    return e.agg(F.count("*").alias("n"), F.round(F.avg(err), 6).alias("mean_error"), F.round(F.max(err), 6).alias("max_error"), (-worst).alias("worst"))
 
 
 @query(f"SELECT bits, ((((bits & 32767) << 1) & 32767) + (17408 | {s.T16}[((bits & 32767) >> 6) % 16 + 1])) & 32767 AS square_bits FROM (SELECT range AS bits FROM range(0, 65536)) WHERE (bits >> 10) & 31 BETWEEN 1 AND 30")

@@ -22,7 +22,8 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -200,3 +201,42 @@ def fnv1a64(data: bytes) -> int:
     for b in data:
         h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
     return h
+
+
+#: The files of a bundle and their layouts.
+BUNDLE = {"base": "fbin", "queries": "fbin", "truth": "ibin"}
+
+
+def write_bundle(base: DataFrame, queries: DataFrame, truth: DataFrame, folder: str) -> None:
+    """Base (vec_id, embedding), queries (qid, query) and ground truth (qid, rank, vec_id) as one file each, in id order."""
+    neighbors = truth.groupBy(F.col("qid").alias("vec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("neighbors"))
+    as_float = lambda c: F.col(c).cast("array<float>").alias("embedding")
+    parts = {"base": base.select("vec_id", as_float("embedding")), "queries": queries.select(F.col("qid").alias("vec_id"), as_float("query")), "truth": neighbors}
+    for name, layout in BUNDLE.items():
+        parts[name].coalesce(1).sortWithinPartitions("vec_id").write.format("vectors").mode("append").option("layout", layout).save(f"{folder}/{name}")
+
+
+class VectorFile:
+    """A vector file on a local store, mapped: only the rows that are asked for are read."""
+
+    def __init__(self, path: str, layout: str):
+        self.rows, self.dim = header(path, layout)
+        store, at = _open(path)
+        if store.type_name != "local":
+            raise ValueError(f"not a local file: {path}")
+        kind = {"fbin": "<f4", "fvecs": "<f4", "ibin": "<u4", "ivecs": "<i4"}[layout]
+        if layout.endswith("bin"):
+            self._all = np.memmap(at, kind, "r", 8, (self.rows, self.dim)) if self.rows else np.zeros((0, self.dim), kind)
+        else:  # each row has its dimension in front
+            self._all = np.memmap(at, kind, "r", 0, (self.rows, self.dim + 1))[:, 1:] if self.rows else np.zeros((0, self.dim), kind)
+
+    def slice(self, start: int, stop: int) -> np.ndarray:
+        if not 0 <= start <= stop <= self.rows:
+            raise IndexError(f"rows {start} to {stop} of {self.rows}")
+        return np.array(self._all[start:stop])
+
+    def rows_at(self, places) -> np.ndarray:
+        places = np.asarray(places, np.int64)
+        if len(places) and not (0 <= places.min() and places.max() < self.rows):
+            raise IndexError(f"a row outside the file's {self.rows}")
+        return np.array(self._all[places])
