@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,14 +52,29 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches bounded in rows and bytes while an action runs: a task that hands texts to Python holds little of them at once."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    before = {k: spark.conf.get(k) for k in bounds}
+    for k, v in bounds.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Later jobs start from that table, so neither a lost executor nor a second
     consumer makes Spark repeat what came before.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -57,7 +57,7 @@ GROUP, REPS = 512, 8
 #: Buckets are counted on a part of the classes, to find those that need cells.
 SAMPLE = 16
 #: Bytes of text hashed at once.
-RUN = 4 << 20
+RUN = 2 << 20
 
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -208,26 +208,31 @@ def forest(n: int, linked) -> list[tuple[int, int]]:
     return edges
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Groups of rows that come sorted by ``by``."""
-    key, rows = None, []
+def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """Groups of at least two rows, of rows that come sorted by ``by`` (whole numbers)."""
+    carried = None
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
-        values = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
-        for k, v in zip(keys, values, strict=True):
-            if k != key:
-                if rows:
-                    yield key, rows
-                key, rows = k, []
-            rows.append(v)
-    if rows:
-        yield key, rows
+        if not batch.num_rows:
+            continue
+        if carried is not None:
+            batch = pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in by:
+            change |= np.diff(batch.column(c).to_numpy()) != 0
+        start = np.concatenate([[0], np.flatnonzero(change) + 1])
+        size = np.diff(start)
+        some = size > 1
+        for s, n in zip(start[:-1][some].tolist(), size[some].tolist(), strict=True):
+            yield batch.slice(s, n)
+        carried = batch.slice(int(start[-1]))
+    if carried is not None and carried.num_rows > 1:
+        yield carried
 
 
 MET = "a long, b long, key long"
 
 
-def _met(columns: list[str], links_of, apart: bool):
+def _met(payload: str, links_of, apart: bool):
     """Forest edges (a, b) of each cell; ``links_of`` the members' payloads gives ``linked`` for :func:`forest`.
 
     Rows come sorted by key, cell and doc_id.  ``apart``: of the groups that are
@@ -243,15 +248,16 @@ def _met(columns: list[str], links_of, apart: bool):
             found.clear()
             return made
 
-        for (key, *_), rows in _grouped(batches, ["key", "i", "j"], ["doc_id", "cut", *columns]):
-            rows = list(dict.fromkeys(rows))  # a representative or visitor may be at home here too
-            if len(rows) > 1:
-                ids = [r[0] for r in rows]
-                edges = forest(len(rows), links_of([r[2] for r in rows]))
-                found += [(ids[p], ids[q], None) for p, q in edges]
-                if apart and rows[0][1]:
-                    near = {0, *(q for p, q in edges if p == 0)}
-                    found += [(ids[n], None, key) for n in range(len(rows)) if n not in near]
+        for group in _grouped(batches, ["key", "i", "j"]):
+            ids, payloads = group.column("doc_id").to_pylist(), group.column(payload).to_pylist()
+            cut_up = group.column("cut")[0].as_py()
+            if cut_up:  # a representative or visitor may be at home here too
+                ids, payloads = map(list, zip(*dict.fromkeys(zip(ids, payloads, strict=True)), strict=True))
+            edges = forest(len(ids), links_of(payloads))
+            found += [(ids[p], ids[q], None) for p, q in edges]
+            if apart and cut_up:
+                near, key = {0, *(q for p, q in edges if p == 0)}, group.column("key")[0].as_py()
+                found += [(ids[n], None, key) for n in range(len(ids)) if n not in near]
             if len(found) > 50_000:
                 yield out()
         yield out()
@@ -308,7 +314,7 @@ def meetings(rows: DataFrame, sizes: DataFrame, payload: str, links_of) -> DataF
     reps = cut(reps.select("key", "parts", F.explode("ids").alias("doc_id")))
     everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")
     sent = rows.join(reps, ["key", "doc_id"]).select("key", everywhere, F.lit(0).alias("j"), "doc_id", F.lit(True).alias("cut"), payload)
-    first = here.unionByName(sent).repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_met([payload], links_of, True), MET)
+    first = here.unionByName(sent).repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_met(payload, links_of, True), MET)
     first = cut(first)
     left = first.where("b is null").select("key", F.col("a").alias("doc_id")).distinct()
     edges = first.where("b is not null").select("a", "b")
@@ -321,7 +327,7 @@ def meetings(rows: DataFrame, sizes: DataFrame, payload: str, links_of) -> DataF
     hosts = at.select("key", "i", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("j"), "doc_id", F.lit(True).alias("cut"), payload)
     turn = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.col("turns")).cast("int").alias("j")
     guests = at.join(cut(left), ["key", "doc_id"]).select("key", everywhere, turn, "doc_id", F.lit(True).alias("cut"), payload)
-    again = hosts.unionByName(guests).repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_met([payload], links_of, False), MET)
+    again = hosts.unionByName(guests).repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_met(payload, links_of, False), MET)
     return edges.unionByName(cut(again).select("a", "b"))
 
 

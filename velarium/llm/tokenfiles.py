@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import qualified
+from .common import qualified, small_batches
 from .wordbpe import encoder, runs
 
 #: Bytes of text that a part holds, and parts whose sums one task adds up.
@@ -93,7 +93,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     ordered = rows.repartitionByRange(max(8, -(-total // PART)), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     made = ordered.mapInArrow(_writer(folder, tokenizer, end_id), "part int, n_docs long, n_null long, n_tokens long, width int")
-    made.write.parquet(f"{folder}/parts")
+    with small_batches(spark):
+        made.write.parquet(f"{folder}/parts")
     # Prefix sums in two steps: inside groups of parts, and over the groups' sums.
     counted = spark.read.parquet(f"{folder}/parts").withColumn("group", F.floor(F.col("part") / GROUP))
     sums = ("n_docs", "first_doc"), ("n_tokens", "base")
