@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def baseline_normalize(df: DataFrame, keys: list[str], design: str, value: str, baseline: str) -> DataFrame:
     """Add ``base`` and ``ratio``: each row against its group's baseline row; no self-join."""
@@ -21,18 +25,63 @@ def is_close(a: Column, b: Column, rel: float = 1e-9, absolute: float = 0.0) ->
     return F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
 
 
+#: Distinct values of a group that one task orders.
+RUN = 65_536
+
+
+def placed_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, n, upto and total: each distinct value's count, that of all up to it in its group, and the group's.
+
+    Values are counted first and dealt out in ranges, so no task holds a group.
+    """
+    order = [*keys, value]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*order).agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    dealt = cut(counts.repartitionByRange(max(1, -(-counts.count() // RUN)), *order).withColumn("_part", F.spark_partition_id()))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))  # a row for RUN values, or for a group
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), before.alias("_before"), F.sum("_n").over(group).alias("total"))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return dealt.withColumn("_in", inside).join(sums, same).select(*order, "n", (F.col("_in") + F.col("_before")).alias("upto"), "total")
+
+
+def median_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median and n of the values that are not null."""
+    v = placed_values(df, keys, value)
+    half = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    at = lambda place: F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place), F.col(value)))
+    return v.groupBy(*keys).agg(((at(half[0]) + at(half[1])) / 2).alias("median"), F.max("total").alias("n"))
+
+
+def percentile_of(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, for each ``name: share``, the least value that so many of the group do not exceed."""
+    v = placed_values(df, keys, value)
+    return v.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") / F.col("total") >= share, F.col(value))).alias(name) for name, share in shares.items()])
+
+
+def _with_median(totals: DataFrame, medians: DataFrame, keys: list[str]) -> DataFrame:
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    m = medians.select(*[F.col(k).alias(f"_{k}") for k in keys], "median")
+    return totals.join(m, same, "left")
+
+
 def trial_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.median(v).alias("median"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),
-        F.min(v).alias("least"), F.max(v).alias("most"), F.count(v).alias("n"),
-    )
+    rest = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"), F.min(v).alias("least"), F.max(v).alias("most"), F.count(v).alias("n"))
+    return _with_median(rest, median_of(df, keys, value), keys).select(*keys, "median", "mean", "stdev", "least", "most", "n")
 
 
 def warm_median(df: DataFrame, keys: list[str], order: list[str], value: str, warmup: int = 1) -> DataFrame:
     """Median without each group's first ``warmup`` rows."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > warmup).groupBy(*keys).agg(F.median(value).alias("median"), F.count("*").alias("n"))
+    warm = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > warmup)
+    return _with_median(warm.groupBy(*keys).agg(F.count("*").alias("n")), median_of(warm, keys, value), keys).select(*keys, "median", "n")
 
 
 def best_at(df: DataFrame, keys: list[str], recall: str, qps: str, thresholds: list[float]) -> DataFrame:
@@ -104,8 +153,15 @@ def latency_segments(df: DataFrame) -> DataFrame:
 # Constraints: queries that return violations.
 
 
+#: Keys that a specification may have.
+MOST_KEYS = 1_000_000
+
+
 def matrix_gaps(df: DataFrame, *axes: DataFrame) -> DataFrame:
-    """Missing and extra keys against the product of the (small) axes."""
+    """Missing and extra keys against the product of the axes; a specification of more than MOST_KEYS keys is an error."""
+    sizes = [a.count() for a in axes]
+    if math.prod(sizes) > MOST_KEYS:
+        raise ValueError(f"a specification of {math.prod(sizes)} keys")
     spec = axes[0]
     for a in axes[1:]:
         spec = spec.crossJoin(F.broadcast(a))
@@ -128,18 +184,17 @@ def grid_gaps(df: DataFrame, keys: list[str], value: str, step: float) -> DataFr
     return df.select(*keys, value).distinct().withColumn("previous", F.lag(value).over(w)).where(F.col(value) - F.col("previous") > step)
 
 
-def sectioned_melt(lines: DataFrame, order: str, text: str, sep: str = r"\t") -> DataFrame:
-    """Long rows of a sectioned table: a blank line ends a section, whose first row names the metric and the designs.
-
-    Sections are numbered by a running count, so one small file is one ordered window.
-    """
-    w = Window.orderBy(order)
-    blank = F.trim(text) == ""
-    s = lines.withColumn("section", F.sum(blank.cast("int")).over(w)).where(~blank).withColumn("cells", F.split(text, sep))
-    first = Window.partitionBy("section").orderBy(order)
+def sectioned_melt(files: DataFrame, file: str, text: str, sep: str = r"\t") -> DataFrame:
+    """Long rows of sectioned tables, one file a row: a blank line ends a section, whose first row names the metric and the designs."""
+    lines = files.select(F.col(file).alias("file"), F.posexplode(F.split(text, r"\r?\n")).alias("_at", "_line"))
+    blank = F.trim("_line") == ""
+    w = Window.partitionBy("file").orderBy("_at")
+    s = lines.withColumn("section", F.sum(blank.cast("int")).over(w)).where(~blank).withColumn("cells", F.split("_line", sep))
+    first = Window.partitionBy("file", "section").orderBy("_at")
     s = s.withColumn("head", F.first("cells").over(first)).withColumn("n", F.row_number().over(first)).where("n > 1")
     pairs = F.arrays_zip(F.expr("slice(head, 2, size(head))").alias("design"), F.expr("slice(cells, 2, size(cells))").alias("value"))
-    return s.select("section", F.col("head")[0].alias("metric"), F.col("cells")[0].alias("component"), F.explode(pairs).alias("p")).select("section", "metric", "component", F.col("p.design").alias("design"), F.col("p.value").cast("double").alias("value"))
+    melted = s.select("file", "section", F.col("head")[0].alias("metric"), F.col("cells")[0].alias("component"), F.explode(pairs).alias("p"))
+    return melted.select("file", "section", "metric", "component", F.col("p.design").alias("design"), F.col("p.value").cast("double").alias("value"))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:

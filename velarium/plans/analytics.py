@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as a
+from ..sources.scratch import folder
 
 QUERIES, ORACLES = {}, {}
 CPU = "1-URGENT"
@@ -147,13 +148,19 @@ def component_shares(spark, sf_dir):
     return rounded(p.crossJoin(F.broadcast(most)).select("design", "component", "share", (F.col("area") / F.col("most")).alias("norm")), "share", "norm")
 
 
-SECTIONS = ["area\tA\tB\tC", "unit\t1.5\t2\t3", "queue\t0.5\t1\t2", "", "power\tA\tB", "unit\t10\t20", "", ""]
-
-
-@query("SELECT 0::BIGINT AS section, 'area' AS metric, c AS component, d AS design, v::DOUBLE AS value FROM (VALUES ('unit', 'A', 1.5), ('unit', 'B', 2), ('unit', 'C', 3), ('queue', 'A', 0.5), ('queue', 'B', 1), ('queue', 'C', 2)) t(c, d, v) UNION ALL SELECT 1, 'power', 'unit', d, v::DOUBLE FROM (VALUES ('A', 10), ('B', 20)) t(d, v)")
+@query(
+    "SELECT n_regionkey AS file, 0::BIGINT AS section, 'area' AS metric, n_name AS component, d AS design, (n_nationkey * f)::DOUBLE AS value FROM nation, (VALUES ('A', 1.0), ('B', 2.5)) t(d, f) "
+    "UNION ALL SELECT n_regionkey, 1, 'power', n_name, 'A', n_nationkey + 0.5::DOUBLE FROM nation"
+)
 def sectioned_melt(spark, sf_dir):
-    lines = spark.createDataFrame(list(enumerate(SECTIONS)), "n int, value string")
-    return a.sectioned_melt(lines, "n", "value")
+    """Sectioned files, one a region, written and melted."""
+    n = table(spark, sf_dir, "nation")
+    rows = lambda *cells: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", "n_nationkey"))), lambda x: F.concat_ws("\t", x["n_name"], *[c(x["n_nationkey"]) for c in cells])), "\n")
+    area, power = rows(lambda k: (k * 1.0).cast("string"), lambda k: (k * 2.5).cast("string")), rows(lambda k: (k + 0.5).cast("string"))
+    text = F.concat(F.lit("area\tA\tB\n"), area, F.lit("\n\npower\tA\n"), power, F.lit("\n\n"))
+    at = folder(spark)
+    n.groupBy(F.col("n_regionkey").alias("region")).agg(text.alias("value")).write.partitionBy("region").text(at)
+    return a.sectioned_melt(spark.read.text(at, wholetext=True), "region", "value").withColumnRenamed("region", "file")
 
 
 # Energy and area

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import sampling
+from ..operators.analytics import percentile_of
+from ..sources.scratch import cut
 
 QUERIES, ORACLES = {}, {}
 #: Events of one moment are ordered by id.
@@ -45,7 +47,7 @@ def cv_by_group(spark, sf_dir):
 
 @query("SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def p95_nearest_rank(spark, sf_dir):
-    return trace(spark, sf_dir).groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return percentile_of(trace(spark, sf_dir), ["event_type"], "value", {"p95": 0.95})
 
 
 @query("SELECT least(floor(value / 10), 9)::INTEGER AS bin, count(*) AS n FROM events WHERE value >= 0 GROUP BY 1")
@@ -68,7 +70,8 @@ def run_lengths(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy(*ORDER)
     e = trace(spark, sf_dir).withColumn("new", (~F.col("event_type").eqNullSafe(F.lag("event_type").over(w))).cast("int"))
     runs = e.withColumn("island", F.sum("new").over(w)).groupBy("user_id", "island").agg(F.count("*").alias("run"))
-    return runs.groupBy("user_id").agg(F.count("*").alias("runs"), F.round(F.avg("run"), 6).alias("mean_run"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY run)").cast("long").alias("p95_run"))
+    runs = cut(runs)
+    return runs.groupBy("user_id").agg(F.count("*").alias("runs"), F.round(F.avg("run"), 6).alias("mean_run")).join(percentile_of(runs, ["user_id"], "run", {"p95_run": 0.95}), "user_id")
 
 
 @query("SELECT event_type, max(n) AS hottest, sum(n)::BIGINT AS total, round(max(n) / sum(n), 6) AS share FROM (SELECT event_type, user_id % 32 AS rank, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY event_type")
@@ -85,7 +88,12 @@ def miss_ratio_grain(spark, sf_dir):
     return g.agg(F.round(F.sum("miss") / F.count("*"), 6).alias("miss_ratio"), F.count("*").alias("reads"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE s AS MATERIALIZED (SELECT user_id % 32 AS rank, user_id AS u, row_number() OVER (PARTITION BY user_id % 32 ORDER BY ts, event_id) AS n FROM events), "
+    "r(rank, k, cache, hits) AS (SELECT DISTINCT rank, 0::BIGINT, []::BIGINT[], 0 FROM s UNION ALL "
+    "SELECT r.rank, s.n, list_append(list_filter(cache, lambda x: x <> s.u)[-15:], s.u), hits + list_contains(cache, s.u)::INT FROM r JOIN s ON s.rank = r.rank AND s.n = r.k + 1) "
+    "SELECT rank, max(k) AS accesses, max(hits)::BIGINT AS hits, round(max(hits) / max(k), 6) AS hit_rate FROM r GROUP BY rank"
+)
 def lru_hit_rate(spark, sf_dir):
     """Hits of a 16-entry cache of users in each rank."""
     e = trace(spark, sf_dir)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import bounds, numeric
 from ..functions.distance import DISTANCES, distance, norm2, normalized_clamped, normalized_strict
 from ..operators import sampling, search
+from ..operators.analytics import percentile_of
+from ..sources.scratch import cut
 from . import sqlnum as s
 
 K = 10
@@ -455,7 +457,8 @@ def boundary_errors(spark, sf_dir):
 def exponent_outliers(spark, sf_dir):
     """Components whose exponent lies outside its dimension's trimmed range."""
     e = vectors(spark, sf_dir).select(F.posexplode("embedding").alias("i", "x")).where("x <> 0").select("i", numeric.exponent(F.abs(F.col("x").cast("double"))).alias("k"))
-    p = e.groupBy("i").agg(F.expr("percentile_disc(0.05) WITHIN GROUP (ORDER BY k)").alias("low"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY k)").alias("high"))
+    e = cut(e)
+    p = percentile_of(e, ["i"], "k", {"low": 0.05, "high": 0.95})
     return e.join(p, "i").groupBy("i", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")).agg(F.count_if((F.col("k") < F.col("low")) | (F.col("k") > F.col("high"))).alias("outliers"))
 
 
