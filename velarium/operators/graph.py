@@ -121,12 +121,12 @@ def build(base: DataFrame, m: int = 8, ef: int = 32, seed: int = 100, rows: int
 # Persistence
 
 
-def save(index: Index, folder: str) -> None:
+def save(index: Index, folder: str, mode: str = "error") -> None:
     """Write the index below a folder, header last: a folder without one is no index."""
     spark = index.state.sparkSession
-    index.state.write.parquet(f"{folder}/nodes")
+    index.state.write.mode(mode).parquet(f"{folder}/nodes")
     head = {"format": FORMAT, "m": index.m, "ef": index.ef, "seed": index.seed, "centers": index.centers.tolist(), "first": index.first}
-    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.text(f"{folder}/header")
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode(mode).text(f"{folder}/header")
 
 
 def load(spark: SparkSession, folder: str) -> Index:

@@ -73,6 +73,15 @@ def stream_ingest(spark, sf_dir):
     return nodes.groupBy("level").agg(F.count("*").alias("n"))
 
 
+@query("SELECT count(*) AS nodes, 0::BIGINT AS self_loops, 0::BIGINT AS repeated, 0::BIGINT AS overfull, 0::BIGINT AS astray, true AS searched FROM embeddings")
+def stream_index(spark, sf_dir):
+    """An index that three batches are inserted into: its nodes, its faults, and whether it finds 95 of 100 neighbours."""
+    base, at = vectors(spark, sf_dir), folder(spark)
+    index = jobs.indexed(jobs.replay(base, at, 3), at, M)
+    recall = search.recall(graph.search(index, asked(base), 10), search.knn(base, asked(base), 10), 10)
+    return graph.census(index).crossJoin(F.broadcast(recall.select((F.col("recall") >= 0.95).alias("searched"))))  # one row each
+
+
 def events(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..operators.search import knn, ranked
 
 
@@ -62,6 +63,22 @@ def ingest(stream: DataFrame, level, folder: str) -> DataFrame:
     return stream.sparkSession.read.parquet(f"{folder}/nodes").drop("b")
 
 
+def indexed(stream: DataFrame, folder: str, m: int = 8, ef: int = 32) -> graph.Index:
+    """A graph index of arriving vectors: the first batch builds it, each later one is inserted into the parts it meets.
+
+    Every batch saves its index, so a batch that is replayed starts from the one before it.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = [s for s in _states(spark, folder) if s < f"state-{number:09d}"]
+        index = graph.insert(graph.load(spark, f"{folder}/{old[-1]}"), batch) if old else graph.build(batch, m, ef)
+        graph.save(index, f"{folder}/state-{number:09d}", "overwrite")
+
+    _run(stream, folder, "append", add)
+    return graph.load(stream.sparkSession, f"{folder}/{max(_states(stream.sparkSession, folder))}")
+
+
 def latency(stream: DataFrame, key: str, value: str, folder: str) -> DataFrame:
     """Running count, mean and maximum of each key."""
     running = stream.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"))
