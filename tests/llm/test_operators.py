@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from velarium.llm import media, neardup, packing, tokencount, tokenfiles, toxicity, urlfilter, wordbpe
+from velarium.llm import neardup, packing, tokencount, tokenfiles, toxicity, urlfilter, wordbpe
 from velarium.llm.common import shared_dir
 from velarium.llm.queries import PIECE_BPE, WORD_BPE, tokenizer_path
 from velarium.llm.wordbpe import WordEncoder
@@ -67,15 +67,6 @@ def test_toxicity_learns_pairs_and_stems(spark):
     assert np.mean([r["predicted"] == r["t"] for r in held]) > 0.97
 
 
-def test_toxicity_interactions():
-    rng = np.random.default_rng(0)
-    x = (rng.random((2000, 6)) < 0.5).astype(np.float32)
-    y = ((x[:, 0] * x[:, 1]) > 0).astype(np.float32)
-    model = toxicity._train(toxicity.Params(steps=400), np.arange(6), x, y)
-    both, one = model.margin([0, 1]), max(model.margin([0]), model.margin([1]), model.margin([]))
-    assert both > 0 > one
-
-
 def test_toxicity_odd_cases(spark, docs, none):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(toxicity.training_rows(docs, labels))
@@ -118,51 +109,6 @@ def test_bloom_has_no_false_negatives(spark):
     assert out.where("verdict = 'block'").count() == 3000
 
 
-# 5
-
-
-def test_audio(docs, none):
-    rows = media.audio_features(docs.withColumn("feature", F.lit(1))).collect()
-    assert len(rows) == len(odd_rows())
-    seen = {}
-    for r in rows:
-        raw = (r["text"] or "").encode()
-        payload = raw + b"\xff" * (576 - len(raw) if not raw else -len(raw) % 576)
-        assert r["n_bytes"] == len(raw) and r["payload_bytes"] == len(payload)
-        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
-        assert bytes(media.samples_of(bytes(r["media"]))) == payload
-        assert r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
-        assert seen.setdefault(r["text"] or "", r["feature"]) == r["feature"]
-        with pa.ipc.open_stream(r["tensors"]) as stream:
-            t = stream.read_all()
-        assert t.column("log_mel").type.shape == [media.FRAMES, media.MELS]
-        assert t.column("start_s").to_pylist() == sorted(t.column("start_s").to_pylist())
-    assert media.audio_features(none).count() == 0
-
-
-def test_resampling_is_the_plain_sum():
-    x = np.random.default_rng(1).integers(0, 256, 1152).astype(np.uint8)
-    y = media.resample(x, 0, 288)
-    tone = (128 + 100 * np.sin(2 * np.pi * 500 * np.arange(1152) / 8000)).astype(np.uint8)
-    got = media.resample(tone, 0, 288)[60:-60]
-    want = 100 / 128 * np.sin(2 * np.pi * 500 * np.arange(864) / 6000)[60:-60]
-    assert np.abs(got - want).max() < 0.05
-    assert np.allclose(media.resample(x, 10, 50), y[30:180], atol=1e-6)
-    part = media.RUN
-    try:
-        whole = media.log_mel(x)[0]
-        media.RUN = 3
-        assert np.allclose(media.log_mel(x)[0], whole, atol=1e-4)
-    finally:
-        media.RUN = part
-
-
-def test_hysteresis():
-    active = media.voiced(np.array([0, 10, 5, 5, 0, 5, 10, 0], float))
-    assert active.tolist() == [False, True, True, True, False, False, True, False]
-    assert len(media.spans(active)) == 2
-
-
 # 7, 8, 9
 
 

@@ -1,18 +1,22 @@
 """Media columns: audio features of byte payloads.
 
-A payload is stored as a WAV file (8-bit unsigned mono PCM, 8 kHz), read back
-and turned into features: polyphase resampling by 3/4 to 6 kHz (windowed-sinc,
-16 taps a phase), log-mel energies of 40 ms windows every 20 ms in 24 bands,
-and voiced spans from an energy track with hysteresis.  The features are
-stored as fixed-shape Arrow tensors (32 frames x 24 bands, float32; the last
-one is padded with zeros) with the time span and voicing of each, as one Arrow
-IPC stream a row.
-
-Long payloads are worked through in runs of frames, so memory does not grow
-with a document beyond its bytes and its features.
+A payload is stored as a WAV file (8-bit unsigned mono PCM, 8 kHz) in a table
+of media, read back from it and turned into features: polyphase resampling by
+3/4 to 6 kHz (windowed-sinc, 16 taps a phase), log-mel energies of 40 ms
+windows every 20 ms in 24 bands, and voiced spans from an energy track with
+hysteresis.  The features are stored in a second table, as fixed-shape Arrow
+tensors (32 frames x 24 bands, half precision; the last one is padded with
+zeros) with the time span and voicing of each and the voiced spans, as one
+Arrow IPC stream a row, and what a query reports of them is read from there.
+
+Arithmetic is in double precision and only what is stored is rounded, so equal
+payloads give equal tensors.  Long payloads are worked through in runs of
+frames: memory does not grow with a document beyond its bytes and its
+features.
 
 Defined cases: null and empty texts have the least payload (one unit of 255s);
-equal texts give equal values; columns named like the results are replaced.
+equal texts give equal values; columns named like the results are replaced,
+others pass; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 UNIT, FILL = 576, b"\xff"
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 16
 WINDOW, HOP, FFT, MELS, FRAMES = 240, 120, 256, 24, 32
@@ -71,7 +77,7 @@ def _resampler() -> np.ndarray:
         taps = taps / taps.sum()
         for k in range(TAPS):  # output p reads samples base + 8 .. base - 7; row 0 is sample -8
             m[8 + base + TAPS // 2 - k, p] += taps[k]
-    return m.astype(np.float32)
+    return m
 
 
 def _filterbank() -> np.ndarray:
@@ -81,19 +87,19 @@ def _filterbank() -> np.ndarray:
     f = np.arange(FFT // 2 + 1) * 2 * top / FFT
     up = (f[:, None] - edges[:-2]) / (edges[1:-1] - edges[:-2])
     down = (edges[2:] - f[:, None]) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return np.maximum(0, np.minimum(up, down))
 
 
-RESAMPLER, BANK, TAPER = _resampler(), _filterbank(), np.hanning(WINDOW).astype(np.float32)
+RESAMPLER, BANK, TAPER = _resampler(), _filterbank(), np.hanning(WINDOW)
 
 
 def resample(x: np.ndarray, start: int, count: int) -> np.ndarray:
     """``count`` periods of 3 outputs from the period ``start`` on; x holds 8-bit samples, silence lies around them."""
     lo, hi = start * DOWN - 8, (start + count) * DOWN + 12
-    part = np.zeros(hi - lo, np.float32)
+    part = np.zeros(hi - lo)
     a, b = max(lo, 0), min(hi, len(x))
     if b > a:
-        part[a - lo : b - lo] = (x[a:b].astype(np.float32) - 128) / 128
+        part[a - lo : b - lo] = (x[a:b].astype(np.float64) - 128) / 128
     rows = part.reshape(-1, DOWN)
     return (np.hstack([rows[i : i + count] for i in range(5)]) @ RESAMPLER).reshape(-1)
 
@@ -102,14 +108,14 @@ def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel energies (frames x MELS) and each frame's energy in decibels."""
     n = -(-len(x) * UP // DOWN)
     frames = max(1, 1 + -(-(n - WINDOW) // HOP))
-    out, energy = np.empty((frames, MELS), np.float32), np.empty(frames, np.float32)
+    out, energy = np.empty((frames, MELS)), np.empty(frames)
     for f in range(0, frames, RUN):
         g = min(f + RUN, frames)
         y = resample(x, f * HOP // UP, (g - f) * HOP // UP + (WINDOW - HOP) // UP)
         windows = np.lib.stride_tricks.sliding_window_view(y, WINDOW)[::HOP][: g - f]
         spectrum = np.fft.rfft(windows * TAPER, FFT, axis=1)
         power = spectrum.real**2 + spectrum.imag**2
-        out[f:g] = np.log(power @ BANK + np.float32(1e-6))
+        out[f:g] = np.log(power @ BANK + 1e-6)
         energy[f:g] = 10 * np.log10(np.square(windows).mean(axis=1) + 1e-9)
     return out, energy
 
@@ -130,12 +136,12 @@ def spans(active: np.ndarray) -> list[tuple[float, float]]:
     return [(round(a * step, 6), round((b - 1) * step + width, 6)) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-def tensors(mel: np.ndarray, active: np.ndarray) -> bytes:
-    """The features as an Arrow IPC stream of fixed-shape tensors with time spans."""
+def tensors(mel: np.ndarray, active: np.ndarray, found: list[tuple[float, float]]) -> bytes:
+    """The features as an Arrow IPC stream of fixed-shape tensors with time spans; the voiced spans are in the schema."""
     k = -(-len(mel) // FRAMES)
-    whole = np.zeros((k * FRAMES, MELS), np.float32)
+    whole = np.zeros((k * FRAMES, MELS), np.float16)
     whole[: len(mel)] = mel
-    share = np.zeros(k * FRAMES, np.float32)
+    share = np.zeros(k * FRAMES)
     share[: len(active)] = active
     step, width = HOP * DOWN / UP / RATE, WINDOW * DOWN / UP / RATE
     first = np.arange(k) * FRAMES
@@ -143,43 +149,60 @@ def tensors(mel: np.ndarray, active: np.ndarray) -> bytes:
     batch = pa.record_batch(
         [pa.FixedShapeTensorArray.from_numpy_ndarray(whole.reshape(k, FRAMES, MELS)), pa.array(first * step), pa.array(end), pa.array(share.reshape(k, FRAMES).mean(axis=1))],
         names=["log_mel", "start_s", "end_s", "voiced"],
-    )
+    ).replace_schema_metadata({"spans": repr(found)})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-RESULT = "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,segments:int,feature:string,media:binary,tensors:binary>"
+STORED = ("n_bytes", "media")
+FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "segments", "tensors", "feature")
+
+
+def _media(text: Column) -> Column:
+    @F.arrow_udf("struct<n_bytes:long,media:binary>")
+    def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            rows = [payload_of(t.as_py()) for t in batch]
+            yield pa.StructArray.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([wav(p) for _, p in rows], pa.binary())], list(STORED))
+
+    return made(text)
+
+
+DESCRIBED = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("frames", pa.int64()), ("segments", pa.int32()), ("tensors", pa.binary())])
 
 
-def described(text: str | None, keep: bool) -> dict:
-    n, payload = payload_of(text)
-    media = wav(payload)
+def described(media: bytes) -> dict:
     back = samples_of(media)
     mel, energy = log_mel(np.frombuffer(back, np.uint8))
     active = voiced(energy)
-    stored = tensors(mel, active)
     found = spans(active)
-    digest = hashlib.sha256(stored)
-    digest.update(repr(found).encode())
-    return {
-        "n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]),
-        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "segments": len(found),
-        "feature": f"frames={len(mel)};mels={MELS};tensors={-(-len(mel) // FRAMES)};segments={len(found)};sha256={digest.hexdigest()}",
-        "media": media if keep else None, "tensors": stored if keep else None,
-    }
-
-
-def audio_features(df: DataFrame, text: str = "text", keep: bool = True) -> DataFrame:
-    """Add the columns of RESULT.  ``keep``: also the stored file and its tensors, not only their digests."""
-    kind = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("segments", pa.int32()), ("feature", pa.string()), ("media", pa.binary()), ("tensors", pa.binary())])
-
-    @F.arrow_udf(RESULT)
-    def features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            yield pa.array([described(t.as_py(), keep) for t in batch], kind)
+    return {"payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]), "frames": len(mel), "segments": len(found), "tensors": tensors(mel, active, found)}
+
+
+def _described(media: Column) -> Column:
+    @F.arrow_udf("struct<payload_bytes:long,payload_sha256:string,tail_crc32:long,frames:long,segments:int,tensors:binary>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([described(m.as_py()) for m in batch], DESCRIBED)
+
+    return made(media)
+
+
+def store_media(df: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The table of media, written and read back: ``columns`` (all) with n_bytes and media, a WAV file a row."""
+    kept = [c for c in columns or df.columns if c not in STORED]
+    return cut(df.select(*kept, _media(F.col(text)).alias("_w")).select(*kept, "_w.n_bytes", "_w.media"), "zstd")
+
 
-    names = kind.names if hasattr(kind, "names") else [kind.field(i).name for i in range(kind.num_fields)]
-    out = df.drop(*names).withColumn("_m", features(F.col(text)))
-    return out.select("*", *[F.col("_m").getField(c).alias(c) for c in names if keep or c not in ("media", "tensors")]).drop("_m")
+def audio_features(stored: DataFrame) -> DataFrame:
+    """The table of features of a table of media, written and read back: its columns but media, with those of FEATURES."""
+    kept = [c for c in stored.columns if c not in (*FEATURES, "media")]
+    digests = F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")
+    made = stored.select(*kept, *digests, _described(F.col("media")).alias("_d"))
+    names = [DESCRIBED.field(i).name for i in range(DESCRIBED.num_fields)]
+    back = cut(made.select(*kept, "media_bytes", "media_sha256", *[F.col("_d").getField(c).alias(c) for c in names]), "zstd")
+    blocks = F.ceil(F.col("frames") / FRAMES)
+    feature = F.concat(F.lit("frames="), "frames", F.lit(f";mels={MELS};tensors="), blocks, F.lit(";segments="), "segments", F.lit(";sha256="), F.sha2("tensors", 256))
+    return back.withColumn("feature", feature).select(*kept, *FEATURES)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import media, mixing, neardup, packing, sharding, tokencount, tokenfiles, topk, toxicity, urlfilter
-from .common import shared_dir, table
+from .common import cut, shared_dir, table
 
 #: Names of the vocabulary files; ``public_tokenizers.path`` finds them.
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -22,7 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.training_rows(documents, table(spark, sf_dir, "labels")))
     scored = toxicity.score(documents.select("doc_id", "text"), model)
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return cut(scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = media.audio_features(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
+    made = media.audio_features(media.store_media(table(spark, sf_dir, "documents"), columns=["doc_id"]))
     return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
@@ -64,7 +64,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(PIECE_BPE))
-    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return cut(counted.select("doc_id", "n_bytes", "n_tokens", "over_limit"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
