@@ -9,14 +9,18 @@ to one 64-bit block and three bits in it; only probes that the filter passes
 reach the hash join with the list, which settles them exactly.  Rows that no
 rule fits get the method's verdict, ``allow``: they are not listed.
 
-The filter has at most ``MOST_BLOCKS`` blocks whatever the list's length (a
-longer list only passes more probes on to the join), and the list is broadcast
-only up to ``MOST_BROADCAST`` rows.
+Pages without a passing probe are settled where they are read; only the others
+go through the join and are gathered again, so what is exchanged follows the
+hits, not the pages.  The filter is a scalar subquery, one array with 8 bits a
+rule, up to ``MOST_BLOCKS`` blocks (32 million rules; a longer list only passes
+more probes on to the join).  The list is broadcast up to ``MOST_BROADCAST``
+rows and else joined by a shuffle of it and the passing probes.
 
 Defined cases: a null url or one without ``://`` has an empty host and path
 and no rule; only A-Z are lower-cased; a host keeps port and user; repeated
 rows are judged one by one; among rules of equal length the longer host wins;
-columns named like the results are replaced.
+columns named like the results, or ``_row``, ``_probes``, ``_words``, are replaced; an
+empty table gives an empty result, and an empty list allows all.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_BLOCKS = 32_768
+MOST_BLOCKS = 1 << 22
 MOST_BROADCAST = 100_000
 #: Keys of a block, on average; 8 of 64 bits a key.
 KEYS_PER_BLOCK = 8
@@ -50,7 +54,8 @@ def path_of(url: Column) -> Column:
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.host", "r.path", "r.verdict")
 
 
 def _hash(host: Column, path: Column) -> Column:
@@ -66,24 +71,26 @@ def _mask(h: Column) -> Column:
     return bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
 
 
-def bloom(listed: DataFrame) -> tuple[Column, int]:
-    """The filter as a constant array of 64-bit blocks, and their number."""
-    blocks = min(MOST_BLOCKS, max(16, 1 << (max(listed.count(), 1) // KEYS_PER_BLOCK).bit_length()))
+def bloom(listed: DataFrame, rules: int) -> tuple[Column, int]:
+    """The filter as an array of 64-bit blocks, and their number."""
+    blocks = min(MOST_BLOCKS, max(16, 1 << (max(rules, 1) // KEYS_PER_BLOCK).bit_length()))
     h = _hash(F.col("host"), F.col("path"))
-    found = {r["b"]: r["m"] for r in listed.groupBy(_block(h, blocks).alias("b")).agg(F.bit_or(_mask(h)).alias("m")).collect()}
-    words = ",".join(f"{m}L" if (m := found.get(b, 0)) > -(2**63) else "-9223372036854775807L - 1L" for b in range(blocks))
-    return F.expr(f"array({words})"), blocks
+    masks = listed.select(_block(h, blocks).alias("b"), _mask(h).alias("m"))
+    every = masks.unionByName(listed.sparkSession.range(blocks).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("m")))
+    merged = every.groupBy("b").agg(F.bit_or("m").alias("m")).agg(F.sort_array(F.collect_list(F.struct("b", "m"))).alias("all"))
+    return merged.select(F.transform("all", lambda x: x["m"])).scalar(), blocks
 
 
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
     """Add host, path, rule and verdict to every row of ``pages``."""
     listed = listed.where("host is not null and path is not null").dropDuplicates(["host", "path"])
     shape = listed.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths"), F.count("*").alias("n")).first()
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("_row", F.monotonically_increasing_id())
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_row", "_probes", "_words")]
+    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    no_rule = [F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")]
     if not shape["n"]:
-        return rows.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    words, blocks = bloom(listed)
+        return rows.select(*kept, "host", "path", *no_rule)
+    words, blocks = bloom(listed, shape["n"])
     labels = F.split("host", r"\.")
     endings = F.transform(
         F.sequence(F.greatest(F.lit(1), F.size(labels) - (shape["labels"] - 1)), F.size(labels)),
@@ -94,14 +101,19 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
 
     def passes(probe: Column) -> Column:
         h = _hash(probe["h"], probe["p"])
-        return F.get(words, _block(h, blocks)).bitwiseAND(_mask(h)) == _mask(h)
+        return F.get("_words", _block(h, blocks)).bitwiseAND(_mask(h)) == _mask(h)
 
-    hits = rows.select(*kept, "host", "path", "_row", F.explode_outer(F.filter(probes, passes)).alias("_probe"))
+    # Projections collapse, so the filter is evaluated as the subquery that it is and never becomes a column of a row.
+    probed = rows.withColumn("_words", words).withColumn("_probes", F.filter(probes, passes)).drop("_words")
+    clear = probed.where(F.size("_probes") == 0).select(*kept, "host", "path", *no_rule)
+    hits = probed.where(F.size("_probes") > 0).withColumn("_row", F.monotonically_increasing_id())
+    hits = hits.select(*kept, "host", "path", "_row", F.explode("_probes").alias("_probe"))
     exact = listed.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("verdict").alias("_v"))
     exact = F.broadcast(exact) if shape["n"] <= MOST_BROADCAST else exact
     met = hits.join(exact, (F.col("_probe.h") == F.col("_h")) & (F.col("_probe.p") == F.col("_p")), "left")
     best = F.max(F.when(F.col("_h").isNotNull(), F.struct((F.length("_h") + F.length("_p")).alias("n"), F.length("_h").alias("m"), F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict"))))
     # A row's probes stay in its task, so partial aggregation leaves one row for each to exchange.
     whole = F.first(F.struct(*[F.col(f"`{c}`") for c in kept], "host", "path"))
-    out = met.groupBy("_row").agg(whole.alias("_r"), best.alias("_b"))
-    return out.select(*[F.col("_r").getField(c).alias(c) for c in kept], "_r.host", "_r.path", F.col("_b.rule").alias("rule"), F.coalesce("_b.verdict", F.lit("allow")).alias("verdict"))
+    judged = met.groupBy("_row").agg(whole.alias("_r"), best.alias("_b"))
+    judged = judged.select(*[F.col("_r").getField(c).alias(c) for c in kept], "_r.host", "_r.path", F.col("_b.rule").alias("rule"), F.coalesce("_b.verdict", F.lit("allow")).alias("verdict"))
+    return clear.unionByName(judged)
