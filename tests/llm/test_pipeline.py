@@ -48,3 +48,38 @@ def test_every_piece_has_a_place(stages):
 
 def test_run(spark, sf_dir, stages):
     assert corpus_pipeline.run(spark, sf_dir).count() == stages[3].count()
+
+
+def odd_tables(spark, at, documents, labels):
+    schema = "doc_id long, text string, lang string, source string, n_chars int, size long, score string, key long, text_2 string"
+    spark.createDataFrame(documents, schema).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_odd_rows(spark, tmp_path):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    row = lambda i, text, source="s": (i, text, "en", source, 0, 1, "clash", 2, None)
+    text = lambda n: " ".join(words[(n * k + k * k) % 10] + str(n * k % 7) for k in range(30 + n % 9))
+    documents = [row(i, text(i) + (" vile" * (i % 5 == 0)), ("a", "b", None)[i % 3]) for i in range(200)]
+    documents += [row(1, documents[1][1], "b"), row(None, "a null id"), row(None, "a null id"), row(None, None, None), row(300, None), row(301, ""), row(302, " \t\n"), row(303, "x" * 40_000), row(303, "another text of that id")]
+    documents += [(None,) * 9, row(304, documents[7][1]), row(305, documents[7][1].upper())]
+    labels = [(i, int(i % 5 == 0), 1) for i in range(200)] + [(None, 1, 1), (3, None, 1), (300, 0, None), (1, 0, 0)]
+    at = odd_tables(spark, tmp_path, documents, labels)
+    docs, stages = spark.read.parquet(f"{at}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, at))
+        stages.append(docs)
+    kept = [r["doc_id"] for r in stages[0].collect()]
+    assert not any(i is not None and i < 200 and i % 5 == 0 for i in kept) and {1, 303, 304, 305} <= set(kept) and kept.count(None) == 4
+    single = [r["doc_id"] for r in stages[1].collect()]
+    assert single.count(None) == 4 and 7 in single and not {304, 305} & set(single) and single.count(1) <= 2 and single.count(303) == 2
+    rows = stages[3].collect()
+    check_places(rows)
+    assert sum(r["piece"] == 0 for r in rows) == stages[2].count() > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    at = odd_tables(spark, tmp_path, [], [])
+    out = corpus_pipeline.run(spark, at)
+    assert out.count() == 0 and out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
