@@ -14,6 +14,7 @@ import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -325,20 +326,28 @@ def bfs(edges: DataFrame, start: int, nodes: DataFrame | None = None) -> DataFra
     the turn's own start.
     """
     spark = edges.sparkSession
-    seen, turn = None, 0
+    tables: list[DataFrame] = []  # what was visited, one table a hop; many are made one now and then
+
+    def seen() -> DataFrame:
+        if len(tables) > 16:
+            tables[:] = [cut(reduce(DataFrame.unionByName, tables))]
+        return reduce(DataFrame.unionByName, tables)
+
+    turn = 0
     while start is not None:
-        front = spark.createDataFrame([(start, 0, turn)], "id long, hop int, turn int")
-        seen, hop = front if seen is None else cut(seen.unionByName(front)), 0
+        front, hop = spark.createDataFrame([(start, 0, turn)], "id long, hop int, turn int"), 0
+        tables.append(front)
         while True:
             hop += 1
-            new = edges.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop"), F.lit(turn).alias("turn"))
+            new = edges.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct().join(seen().select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), F.lit(turn).alias("turn"))
             new = cut(new)
             if new.isEmpty():
                 break
-            seen, front = cut(seen.unionByName(new)), new
-        start = nodes.join(seen, "id", "left_anti").agg(F.min("id")).first()[0] if nodes is not None else None
+            tables.append(new)
+            front = new
+        start = nodes.join(seen().select("id"), "id", "left_anti").agg(F.min("id")).first()[0] if nodes is not None else None
         turn += 1
-    return seen if nodes is not None else seen.drop("turn")
+    return seen() if nodes is not None else seen().drop("turn")
 
 
 def bfs_order(seen: DataFrame, edges: DataFrame) -> DataFrame:

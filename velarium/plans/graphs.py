@@ -165,13 +165,13 @@ def graph_degree_stats(spark, sf_dir):
 @query(
     f"WITH RECURSIVE e AS MATERIALIZED ({EDGES}), r(id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.id WHERE r.hop < (SELECT count(*) FROM embeddings) AND r.hop < 40), "
     "f AS (SELECT id, min(hop)::INTEGER AS hop FROM r GROUP BY id) "
-    "SELECT vec_id AS id, hop IS NOT NULL AS reached, hop, (SELECT count(*) FROM e WHERE src = vec_id) AS degree FROM embeddings LEFT JOIN f ON f.id = vec_id"
+    "SELECT vec_id AS id, hop IS NOT NULL AS reached, coalesce(hop, -1)::INTEGER AS hop, (SELECT count(*) FROM e WHERE src = vec_id) AS degree FROM embeddings LEFT JOIN f ON f.id = vec_id"
 )
 def graph_bfs_order(spark, sf_dir):
-    """All nodes: hops of those that node 0 reaches; the traversal starts again at the others."""
+    """All nodes: hops of those that node 0 reaches, -1 of the others, at which the traversal starts again."""
     edges, nodes = cut(knn_edges(spark, sf_dir)), vectors(spark, sf_dir).select(F.col("vec_id").alias("id"))
     order = graph.bfs_order(graph.bfs(edges, 0, nodes), edges)
-    return order.select("id", (F.col("turn") == 0).alias("reached"), F.when(F.col("turn") == 0, F.col("hop")).alias("hop"), "degree")
+    return order.select("id", (F.col("turn") == 0).alias("reached"), F.when(F.col("turn") == 0, F.col("hop")).otherwise(-1).alias("hop"), "degree")
 
 
 @query("SELECT 'velarium-graph-1' AS format, 8 AS m, count(*) AS rows, max(len(embedding))::INTEGER AS dim, min(vec_id) AS least_id, max(vec_id) AS most_id, 0::BIGINT AS deleted, true AS has_bytes FROM embeddings")
