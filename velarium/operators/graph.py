@@ -210,13 +210,14 @@ def undelete(index: Index, ids: DataFrame) -> Index:
 
 
 def search_counted(
-    index: Index, queries: DataFrame, k: int, ef: int = 64, probe: int | None = None, dual_queue: bool = False, radius: float | None = None, least: int = 0, documents: int | None = None, admit: DataFrame | None = None
+    index: Index, queries: DataFrame, k: int, ef: int = 64, probe: int | None = None, dual_queue: bool | tuple[int, int] = False, radius: float | None = None, least: int = 0, documents: int | None = None, admit: DataFrame | None = None
 ) -> DataFrame:
     """What each query finds in each part it meets: qid, part, vec_id, d, and on a row without vec_id the part's counters.
 
     ``probe``: how many of the nearest cells a query meets (default: 8, or all
     if there are fewer).  ``ef`` below k decouples the spread from the result.
-    ``dual_queue`` prunes by lower bounds.  ``radius`` (and ``least``) returns
+    ``dual_queue`` prunes by the k least lower bounds of what is kept, or, as
+    (size, warmup), by a queue of that size that fills a batch at a time.  ``radius`` (and ``least``) returns
     what lies within.  ``documents``: an id modulo that number is its document,
     and k distinct ones are returned.  ``admit``: only these ids (vec_id) are.
     """
@@ -243,7 +244,8 @@ def search_counted(
                     stop = hnsw.Within(radius, k, least, ef)
                 else:
                     stop = hnsw.Decoupled(k, ef) if ef < k else hnsw.Stop(k, ef)
-                found, counts = part.search(np.array(x, np.float64), stop, ok, bounds)
+                queue = None if not dual_queue else hnsw.Bounds(k, k) if dual_queue is True else hnsw.Bounds(*dual_queue, batched=True)
+                found, counts = part.search(np.array(x, np.float64), stop, ok, bounds, queue)
                 out += [(qid, number, part.ids[s], d, None, None, None, None) for d, s in found]
                 out.append((qid, number, None, None, *(counts[c] for c in ("distances", "pruned", "hops", "upper"))))
         return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
@@ -354,3 +356,13 @@ def bfs_order(seen: DataFrame, edges: DataFrame) -> DataFrame:
     """Visited nodes with what orders them: turn if there is one, hop, degree, id."""
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
     return seen.join(degree, "id", "left").select(*seen.columns, F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def slots(order: DataFrame) -> DataFrame:
+    """id and slot: places without gaps by turn, hop, falling degree and id, for :func:`bfs_order`'s rows; dealt out in ranges."""
+    by = [F.col("turn"), F.col("hop"), F.col("degree").desc(), F.col("id")]
+    dealt = cut(order.repartitionByRange(max(1, -(-order.count() // 65_536)), *by).withColumn("_part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("n")).select(F.col("_part").alias("_p"), before.alias("_before"))  # a row for 65,536 nodes
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
+    return dealt.withColumn("_in", inside).join(parts, F.col("_part") == F.col("_p")).select("id", (F.col("_in") + F.col("_before")).alias("slot"))

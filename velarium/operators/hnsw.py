@@ -111,6 +111,41 @@ class Documents(Stop):
         return sorted(self.best.values())[: self.k]
 
 
+class Bounds:
+    """The second queue of a search: the least lower bounds of kept slots.
+
+    It holds ``size`` of them and prunes once ``warmup`` slots are kept and as
+    many bounds are in it.  ``batched``: bounds of an expanded slot's
+    neighbours enter together, after all of them were looked at.
+    """
+
+    def __init__(self, size: int, warmup: int, batched: bool = False):
+        self.size, self.warmup, self.batched = size, warmup, batched
+        self.low: list[float] = []
+        self.waiting: list[float] = []
+        self.kept = 0
+
+    def limit(self) -> float:
+        return -self.low[0] if self.kept >= self.warmup and len(self.low) >= min(self.size, self.warmup) else np.inf
+
+    def add(self, bound: float) -> None:
+        self.kept += 1
+        if self.batched:
+            self.waiting.append(bound)
+        else:
+            self._push(bound)
+
+    def settle(self) -> None:
+        for bound in self.waiting:
+            self._push(bound)
+        self.waiting = []
+
+    def _push(self, bound: float) -> None:
+        heapq.heappush(self.low, -bound)
+        if len(self.low) > self.size:
+            heapq.heappop(self.low)
+
+
 class Part:
     def __init__(self, dim: int, m: int, ef: int):
         self.m, self.ef = m, ef
@@ -247,14 +282,14 @@ class Part:
 
     # Search
 
-    def search(self, q: np.ndarray, stop: Stop, admit: np.ndarray | None = None, bounds: tuple | None = None) -> tuple[Found, dict[str, int]]:
+    def search(self, q: np.ndarray, stop: Stop, admit: np.ndarray | None = None, bounds: tuple | None = None, queue: Bounds | None = None) -> tuple[Found, dict[str, int]]:
         """(distance, slot) of what the condition keeps, and counters.
 
         Deleted slots, and those that ``admit`` (a mask) leaves out, are passed
-        through but not returned.  ``bounds`` (of :func:`kernels.strict_bounds`)
-        opens a second queue of the k least lower bounds of kept slots: once k
-        are kept, a slot whose bound exceeds all of them is dropped before its
-        distance is computed.
+        through but not returned.  With ``bounds`` (of
+        :func:`kernels.strict_bounds`) and a ``queue`` for them, a slot whose
+        lower bound exceeds all in the queue is dropped before its distance is
+        computed.
         """
         from ..functions.kernels import lower_bounds
 
@@ -265,7 +300,7 @@ class Part:
         counts["upper"] = self.level[self.entry]
         free = lambda s: s not in self.deleted and (admit is None or bool(admit[s]))
         d = float(self._distances([start], q)[0])
-        open_, seen, low = [(d, start)], {start}, []
+        open_, seen = [(d, start)], {start}
         counts["distances"] = 1
         met = getattr(stop, "seen", None)
         if free(start):
@@ -280,8 +315,9 @@ class Part:
             new = [j for j in self.links[s][0] if j not in seen]
             seen.update(new)
             lows = lower_bounds(q, tuple(b[new] for b in bounds)).tolist() if bounds is not None and new else [0.0] * len(new)
-            if bounds is not None and len(low) >= stop.k:
-                stays = [n for n, b in enumerate(lows) if b <= -low[0]]
+            if queue is not None:
+                limit = queue.limit()
+                stays = [n for n, b in enumerate(lows) if b <= limit]
                 counts["pruned"] += len(new) - len(stays)
                 new, lows = [new[n] for n in stays], [lows[n] for n in stays]
             counts["distances"] += len(new)
@@ -293,10 +329,10 @@ class Part:
                     heapq.heappush(open_, (dj, j))
                     if ok:
                         stop.add(dj, j)
-                        if bounds is not None:
-                            heapq.heappush(low, -b)
-                            if len(low) > stop.k:
-                                heapq.heappop(low)
+                        if queue is not None:
+                            queue.add(b)
+            if queue is not None:
+                queue.settle()
         return stop.result(), counts
 
     # Rows

@@ -103,6 +103,25 @@ def pair_distances(base: DataFrame, queries: DataFrame, names: list[str]) -> Dat
     return in_cells(base, queries, _every(names), "qid long, vec_id long, " + ", ".join(f"d{i} double" for i in range(len(names))))
 
 
+def refined(base: DataFrame, queries: DataFrame, steps: list[int]) -> DataFrame:
+    """qid, vec_id and b0, b1, ...: the bound of every pair once the first so many dimensions have exact terms.
+
+    The others have those of their signs and exponents, which are no greater,
+    so the bounds of a pair do not fall; the last one is the distance.
+    """
+    return in_cells(base, queries, _refinement(steps), "qid long, vec_id long, " + ", ".join(f"b{i} double" for i in range(len(steps))))
+
+
+def thresholds(pairs: DataFrame, order: str, value: str, k: int, warmup: int, at: list[int]) -> DataFrame:
+    """qid, seen, limit: the k-th least value among each query's first ``seen`` rows in order, null before the warm-up."""
+    seen = Window.partitionBy("qid").orderBy(order)
+    rows = pairs.withColumn("_n", F.row_number().over(seen)).where(F.col("_n") <= max(at))
+    rows = rows.withColumn("seen", F.explode(F.array(*[F.lit(n) for n in at]))).where(F.col("_n") <= F.col("seen"))
+    place = F.row_number().over(Window.partitionBy("qid", "seen").orderBy(value, order))
+    kth = rows.withColumn("_k", place).where(F.col("_k") <= k).groupBy("qid", "seen").agg(F.max(F.when(F.col("_k") == k, F.col(value))).alias("limit"))
+    return kth.withColumn("limit", F.when(F.col("seen") >= warmup, F.col("limit")))
+
+
 def hits_at(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """qid and the hits among the first k of ``truth``; queries without a hit count 0."""
     good = found.where(F.col("rank") <= k).select("qid", "vec_id", F.lit(1).alias("_hit"))
@@ -233,6 +252,22 @@ def _every(names: list[str]) -> Cell:
     return cell
 
 
+def _refinement(steps: list[int]) -> Cell:
+    def cell(qid, q, ids, v):
+        squares, powers = v * v, strict_bounds(v)[1]
+        out: list[list[np.ndarray]] = [[] for _ in steps]
+        for x in q:
+            product = powers * x
+            coarse = x * x + squares + 2 * np.where(product < 0, -product, -2 * product)
+            left = coarse.sum(axis=1) - np.cumsum(coarse, axis=1).T  # [d]: the coarse terms behind dimension d
+            exact = np.cumsum((x - v) ** 2, axis=1).T
+            for n, s in enumerate(steps):
+                out[n].append(coarse.sum(axis=1) if s == 0 else exact[s - 1] + (left[s - 1] if s < v.shape[1] else 0))
+        return [np.repeat(qid, len(ids)), np.tile(ids, len(qid)), *(np.concatenate(b) for b in out)]
+
+    return cell
+
+
 def knn_blocked(base: DataFrame, queries: DataFrame, k: int, rows: int = ROWS, asked: int = ASKED) -> DataFrame:
     """knn by L2 with blocks of the given sizes."""
     return ranked(in_cells(base, queries, _nearest(k), "qid long, vec_id long, d double", rows, asked), k).select("qid", "rank", "vec_id", "d")

@@ -65,7 +65,7 @@ def graph_search_et(spark, sf_dir):
 
 
 #: Searches of the saved index, and the least recall that each has to reach.
-SEARCHES = {"plain": (0.95, {}), "decoupled": (0.6, {"ef": 8}), "dual queue": (0.8, {"dual_queue": True}), "two cells": (0.4, {"probe": 2})}
+SEARCHES = {"plain": (0.95, {}), "decoupled": (0.6, {"ef": 8}), "dual queue": (0.8, {"dual_queue": True}), "batched queue": (0.9, {"dual_queue": (20, 10)}), "two cells": (0.4, {"probe": 2})}
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', true)" for n in SEARCHES) + ") v(search, reached), (SELECT count(*) AS queries FROM embeddings WHERE vec_id % 25 = 0)")
@@ -174,6 +174,18 @@ def graph_bfs_order(spark, sf_dir):
     return order.select("id", (F.col("turn") == 0).alias("reached"), F.when(F.col("turn") == 0, F.col("hop")).otherwise(-1).alias("hop"), "degree")
 
 
+@query(
+    f"WITH RECURSIVE e AS MATERIALIZED ({EDGES}), r(id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.id WHERE r.hop < 40), "
+    "f AS (SELECT id, min(hop) AS hop FROM r GROUP BY id), g AS (SELECT dst AS id, count(*) AS degree FROM e GROUP BY dst) "
+    "SELECT vec_id AS id, row_number() OVER (ORDER BY hop NULLS LAST, coalesce(degree, 0) DESC, vec_id) - 1 AS slot FROM embeddings LEFT JOIN f ON f.id = vec_id LEFT JOIN g ON g.id = vec_id WHERE hop IS NOT NULL"
+)
+def slot_reorder(spark, sf_dir):
+    """Storage slots of what node 0 reaches: by hop, then by inbound links, then by id."""
+    edges = cut(knn_edges(spark, sf_dir))
+    inbound = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.slots(graph.bfs_order(graph.bfs(edges, 0).withColumn("turn", F.lit(0)), inbound))
+
+
 @query("SELECT 'velarium-graph-1' AS format, 8 AS m, count(*) AS rows, max(len(embedding))::INTEGER AS dim, min(vec_id) AS least_id, max(vec_id) AS most_id, 0::BIGINT AS deleted, true AS has_bytes FROM embeddings")
 def graph_inspect(spark, sf_dir):
     """Header and totals of the saved index: one row."""

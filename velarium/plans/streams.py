@@ -106,3 +106,12 @@ def stream_windows(spark, sf_dir):
     at = folder(spark)
     w = jobs.windowed(jobs.replay(events(spark, sf_dir), at, 3), "ts", "1 day", "40 days", ["event_type"], at)
     return w.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("epoch_us"), "event_type", "n")
+
+
+@query("SELECT count(*) AS n, true AS bounded, 5::BIGINT AS batches FROM events")
+def stream_rate_limit(spark, sf_dir):
+    """A backlog of five files taken one at a time: all events arrive, and no batch has more than a file's."""
+    at, e = folder(spark), events(spark, sf_dir)
+    batches = jobs.batch_sizes(jobs.replay(e, at, 5), at)
+    total = F.sum("n")
+    return batches.agg(total.alias("n"), (F.max("n") <= total / 5 + 5).alias("bounded"), F.count("*").alias("batches"))

@@ -13,7 +13,7 @@ from ..sources import catalogue, text, vectors as files
 from ..sources.scratch import folder
 from . import sqlnum as s
 from .analytics import FRONTIER, points
-from .vectors import COARSE, K, asked, pairs_of, vectors
+from .vectors import COARSE, EVERY, K, asked, pairs_of, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -198,6 +198,34 @@ def early_termination_counts(spark, sf_dir):
     return p.agg(F.count("*").alias("calls"), F.count_if(l1).alias("first_level"), F.count_if(l2).alias("second_level"), F.count_if(l1 | l2).alias("either"))
 
 
+STEPS = [0, 16, 32, 64]
+
+
+@query(
+    "SELECT qid, step, count(*) AS pairs, count(*) FILTER (b > 1.1) AS pruned, round(min(b), 6) AS least, round(max(b), 6) AS most FROM ("
+    + " UNION ALL ".join(f"SELECT qid, vec_id, {n} AS step, sum(CASE WHEN i < {n} THEN (q - v) * (q - v) ELSE q * q + v * v + 2 * t END) + 1e-9 AS b FROM ({COARSE}) GROUP BY qid, vec_id" for n in STEPS)
+    + ") GROUP BY qid, step"
+)
+def stepwise_refinement(spark, sf_dir):
+    """Bounds after 0, 16, 32 and 64 exact dimensions, and how many pairs each of them prunes."""
+    base = vectors(spark, sf_dir)
+    r = search.refined(base, asked(base, EVERY), STEPS)
+    steps = F.explode(F.array(*[F.struct(F.lit(n).alias("step"), (F.col(f"b{i}") + 1e-9).alias("b")) for i, n in enumerate(STEPS)]))
+    r = r.select("qid", steps.alias("s")).select("qid", "s.step", "s.b").groupBy("qid", "step")
+    return r.agg(F.count("*").alias("pairs"), F.count_if(F.col("b") > 1.1).alias("pruned"), F.round(F.min("b"), 6).alias("least"), F.round(F.max("b"), 6).alias("most"))
+
+
+@query(
+    "SELECT qid, seen, round(max(d) FILTER (k = 10 AND seen >= 50), 6) + 0.0 AS limit_d FROM (SELECT *, row_number() OVER (PARTITION BY qid, seen ORDER BY d, vec_id) AS k FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vec_id) AS n FROM ({s.all_pairs('fp32')})) p, (VALUES (50), (100), (200)) v(seen) WHERE n <= seen) WHERE k <= 10 GROUP BY qid, seen"
+)
+def warm_thresholds(spark, sf_dir):
+    """The tenth nearest among the first 50, 100 and 200 rows: a search's threshold as it goes on."""
+    base = vectors(spark, sf_dir)
+    d = search.pair_distances(base, asked(base), ["fp32"])
+    return search.thresholds(d, "vec_id", "d0", 10, 50, [50, 100, 200]).select("qid", "seen", (F.round("limit", 6) + 0.0).alias("limit_d"))
+
+
 @query("SELECT c_custkey, n_name AS nation, length(n_name) AS letters FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def map_lookup(spark, sf_dir):
     """A small table as a map, looked up without a join."""

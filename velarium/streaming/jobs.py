@@ -79,6 +79,16 @@ def indexed(stream: DataFrame, folder: str, m: int = 8, ef: int = 32) -> graph.I
     return graph.load(stream.sparkSession, f"{folder}/{max(_states(stream.sparkSession, folder))}")
 
 
+def batch_sizes(stream: DataFrame, folder: str) -> DataFrame:
+    """batch and n: the rows of each micro-batch, which the source's rate limit bounds."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/sizes/batch={number}")
+
+    _run(stream, folder, "append", put)
+    return stream.sparkSession.read.schema("n long, batch long").parquet(f"{folder}/sizes")
+
+
 def latency(stream: DataFrame, key: str, value: str, folder: str) -> DataFrame:
     """Running count, mean and maximum of each key."""
     running = stream.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"))
