@@ -36,6 +36,7 @@ def test_groups_in_many_parts_equal_all_pairs(spark, monkeypatch, group):
     monkeypatch.setattr(neardup, "GROUP", group)
     monkeypatch.setattr(neardup, "SAMPLE", 1)
     monkeypatch.setattr(neardup, "REPS", 2)
+    monkeypatch.setattr(neardup, "MANY", 1)
     draw, rows = random.Random(group), []
     for n in (90, 40, 25):
         base = words(draw, 120)

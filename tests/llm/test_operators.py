@@ -1,6 +1,5 @@
 """Each operator against a plain version, and its defined cases."""
 
-import hashlib
 import itertools
 import json
 import math

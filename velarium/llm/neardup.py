@@ -54,6 +54,8 @@ BANDS, ROWS, BITS = 32, 4, 4
 LENIENT = 0.55
 #: Members of a part, and representatives that each part of a group meets.
 GROUP, REPS = 512, 8
+#: Copies of a set from which on its class is looked up with a salted key, and the salts.
+MANY, SALTS = 10_000, 16
 #: Buckets are counted on a part of the classes, to find those that need cells.
 SAMPLE = 16
 #: Bytes of text hashed at once.
@@ -306,14 +308,15 @@ def meetings(rows: DataFrame, sizes: DataFrame, payload: str, links_of) -> DataF
     sizes = cut(sizes)  # read back, its size is known: Spark broadcasts it only if that is small
     order = ["key", "i", "j", "doc_id"]
     own = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")), F.lit(0)).cast("int")
-    home = rows.join(sizes, "key", "left").withColumn("i", own)
+    home = cut(rows.join(sizes, "key", "left").select("key", "parts", own.alias("i"), "doc_id", payload))
+    large = home.where("parts is not null")
     here = home.select("key", "i", F.lit(0).alias("j"), "doc_id", F.col("parts").isNotNull().alias("cut"), payload)
     # Representatives: the least id, which all cells of the group see first, and the least by some hashes.
     least = [F.min(F.struct(F.xxhash64("doc_id", F.lit(n)), "doc_id"))["doc_id"] for n in range(1, REPS)]
-    reps = rows.join(sizes, "key").groupBy("key", "parts").agg(F.array_distinct(F.array(F.min("doc_id"), *least)).alias("ids"))
-    reps = cut(reps.select("key", "parts", F.explode("ids").alias("doc_id")))
+    reps = large.groupBy("key").agg(F.array_distinct(F.array(F.min("doc_id"), *least)).alias("ids"))
+    reps = cut(reps.select("key", F.explode("ids").alias("doc_id")))
     everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")
-    sent = rows.join(reps, ["key", "doc_id"]).select("key", everywhere, F.lit(0).alias("j"), "doc_id", F.lit(True).alias("cut"), payload)
+    sent = large.join(reps, ["key", "doc_id"]).select("key", everywhere, F.lit(0).alias("j"), "doc_id", F.lit(True).alias("cut"), payload)
     first = here.unionByName(sent).repartition("key", "i", "j").sortWithinPartitions(*order).mapInArrow(_met(payload, links_of, True), MET)
     first = cut(first)
     left = first.where("b is null").select("key", F.col("a").alias("doc_id")).distinct()
@@ -322,8 +325,7 @@ def meetings(rows: DataFrame, sizes: DataFrame, payload: str, links_of) -> DataF
         return edges
     # Those apart visit the other parts, in as many turns as they fill.
     turns = left.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("turns"))
-    turns = cut(turns.join(sizes, "key"))
-    at = home.drop("parts").join(turns, "key")
+    at = large.join(cut(turns), "key")
     hosts = at.select("key", "i", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("j"), "doc_id", F.lit(True).alias("cut"), payload)
     turn = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.col("turns")).cast("int").alias("j")
     guests = at.join(cut(left), ["key", "doc_id"]).select("key", everywhere, turn, "doc_id", F.lit(True).alias("cut"), payload)
@@ -356,7 +358,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     """doc_id, n_shingles, component_id and kept for every row."""
     known = cut(sketch(docs, text, row_id))
     with_set = known.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(with_set.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("r")).select("digest", "r.*"))
+    classes = cut(with_set.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("r"), F.count("*").alias("copies")).select("digest", "r.*", "copies"))
     banded = classes.select(F.explode("bands").alias("key"), "doc_id", "signature")
     seen = classes.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode("bands").alias("key")).groupBy("key").count()
     hot = seen.where(F.col("count") * SAMPLE > GROUP).select("key", (F.ceil(F.col("count") * SAMPLE / GROUP) + 1).cast("int").alias("parts"))
@@ -366,11 +368,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     texts = docs.select(F.col(row_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     met = texts.join(coarse, F.col("_id") == F.col("doc_id")).select("key", "doc_id", "text")
     exact = components(cut(meetings(met, sizes, "text", _exact)))
-    root = classes.join(exact, F.col("doc_id") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("root", "doc_id").alias("root"))
-    # Copies of one set may be a third of all rows: their classes are looked up with the key salted.
-    salts = 16
-    root = root.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(root, (F.col("digest") == F.col("_d")) & (F.col("salt") == F.col("_salt")), "left")
+    root = classes.join(exact, F.col("doc_id") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("root", "doc_id").alias("root"), "copies")
+    # Copies of one set may be a third of all rows: the classes of such are looked up with the key salted.
+    many = cut(classes.where(F.col("copies") > MANY).select(F.col("digest").alias("_m")))
+    salts = F.when(F.col("copies") > MANY, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    root = root.withColumn("_salt", F.explode(salts)).drop("copies")
+    salt = F.when(F.col("_m").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = known.select("doc_id", "n_shingles", "digest").join(many, F.col("digest") == F.col("_m"), "left").withColumn("salt", salt)
+    out = salted.join(root, (F.col("digest") == F.col("_d")) & (F.col("salt") == F.col("_salt")), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
