@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MARK, SPACE = "▁", 32
 #: In characters, bytes and bytes.
-HUGE, CHUNK, OVERLAP = 40_000, 20_000, 400
+HUGE, CHUNK, OVERLAP = 16_000, 8_000, 400
 #: Entries of a worker's memo; longer segments than LONGEST are not kept.
 MEMO, LONGEST = 800_000, 48
 _loaded: dict[str, Counter] = {}
