@@ -330,4 +330,4 @@ def test_every_query_has_a_name_and_most_have_an_oracle():
     known = entry.queries()
     assert set(entry.oracle_sql()) <= set(known)
     own = {k for k in known if not k.startswith(("op", "pipeline"))}
-    assert own - set(entry.oracle_sql()) == {"graph_build", "graph_search", "graph_search_et", "lru_hit_rate"}
+    assert own - set(entry.oracle_sql()) == {"graph_build", "graph_search", "graph_search_et", "pruned_counters"}
