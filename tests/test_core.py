@@ -331,3 +331,15 @@ def test_every_query_has_a_name_and_most_have_an_oracle():
     assert set(entry.oracle_sql()) <= set(known)
     own = {k for k in known if not k.startswith(("op", "pipeline"))}
     assert own - set(entry.oracle_sql()) == {"graph_build", "graph_search", "graph_search_et", "pruned_counters"}
+
+
+def test_medians_and_percentiles_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(analytics, "RUN", 40)
+    rng = np.random.default_rng(6)
+    rows = [(int(k) if k < 3 else None, float(x) if x > 2 else None) for k, x in zip(rng.integers(0, 4, 900), np.round(rng.gamma(2, 20, 900)), strict=True)]
+    df = spark.createDataFrame(rows, "k long, x double").repartition(3)
+    groups = {k: sorted(x for g, x in rows if g == k and x is not None) for k in (0, 1, 2, None)}
+    assert {r["k"]: (r["median"], r["n"]) for r in analytics.median_of(df, ["k"], "x").collect()} == {k: (float(np.median(v)), len(v)) for k, v in groups.items()}
+    got = {r["k"]: (r["low"], r["high"]) for r in analytics.percentile_of(df, ["k"], "x", {"low": 0.05, "high": 0.95}).collect()}
+    least = lambda v, q: next(x for n, x in enumerate(v, 1) if n / len(v) >= q)
+    assert got == {k: (least(v, 0.05), least(v, 0.95)) for k, v in groups.items()}

@@ -26,7 +26,7 @@ def is_close(a: Column, b: Column, rel: float = 1e-9, absolute: float = 0.0) ->
 
 
 #: Distinct values of a group that one task orders.
-RUN = 65_536
+RUN = 1 << 20
 
 
 def placed_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -37,7 +37,8 @@ def placed_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     order = [*keys, value]
     counts = df.where(F.col(value).isNotNull()).groupBy(*order).agg(F.count("*").alias("n"))
     counts = cut(counts)
-    dealt = cut(counts.repartitionByRange(max(1, -(-counts.count() // RUN)), *order).withColumn("_part", F.spark_partition_id()))
+    parts = -(-counts.count() // RUN)
+    dealt = cut(counts.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())) if parts > 1 else counts.withColumn("_part", F.lit(0))
     inside = F.sum("n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     sums = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))  # a row for RUN values, or for a group
     group = Window.partitionBy(*keys)
