@@ -55,7 +55,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches bounded in rows and bytes while an action runs: a task that hands texts to Python holds little of them at once."""
-    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
     before = {k: spark.conf.get(k) for k in bounds}
     for k, v in bounds.items():
         spark.conf.set(k, v)

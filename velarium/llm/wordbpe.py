@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words of letters in a worker's memo, and their bytes, at most.
-MEMO, MEMO_BYTES = 1_500_000, 32 << 20
+MEMO, MEMO_BYTES = 600_000, 16 << 20
 #: Bytes of text encoded at once, and words that the library gets in a row.
 TEXTS, ROW = 4 << 20, 2048
 #: Normalisers that never join the two sides of a space, with the settings that this holds for.
