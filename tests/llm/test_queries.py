@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op10_minhash": "doc_id n_shingles component_id kept",
+    "op11_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op12_structure": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13_fim": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
     "pipeline": "doc_id piece start length ids_crc32 sequence_id offset",
 }
 

@@ -80,3 +80,12 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def carried(columns: list[str]) -> Column:
+    """The caller's columns as one struct, so that none can clash with an operator's own; :func:`given_back` takes them out."""
+    return F.struct(F.lit(0).alias("none"), *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def given_back(columns: list[str], name: str) -> list[Column]:
+    return [F.col(name).getField(f"c{i}").alias(c) for i, c in enumerate(columns)]

@@ -76,4 +76,86 @@ SELECT o.doc_id, o.size, o.source_size, o.target,
 FROM o LEFT JOIN f ON o.source IS NOT DISTINCT FROM f.source
 """
 
-ORACLES = {"op2_topk": OP2, "op3_url_filter": OP3, "op4_mixing": OP4}
+OP11 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'
+), f AS (
+  SELECT *, sha256(t) AS h, replace(replace(replace(t, '\', '\\'), '#', '\#'), '</', '<\/') AS body,
+    replace(replace(replace(replace(r, '\', '\\'), '#', '\#'), ':', '\:'), '</', '<\/') AS head
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, h)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, h) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || head || ': ' || body || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+#: The cheapest edits by dynamic programming over (row, grammar state): one insertion at most stands between two rows.
+OP12 = r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), bits AS (  -- crc32, a byte at a time
+  SELECT name, 1 AS pos, 4294967295::UBIGINT AS crc FROM (SELECT DISTINCT name FROM raw)
+  UNION ALL
+  SELECT name, pos + 1, list_reduce(list_prepend(xor(crc, ascii(substr(name, pos, 1))::UBIGINT), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)
+  FROM bits WHERE pos <= length(name)
+), hashed AS (SELECT name, xor(crc, 4294967295::UBIGINT) % 20 AS h FROM bits WHERE pos = length(name) + 1
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+  FROM raw JOIN hashed USING (name)
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i FROM damaged
+), judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z,
+    CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), dp AS (  -- grammar states: 0 nothing yet, 1 after s, 2 after u, 3 after a
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, '' AS said FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, q, best.cost, best.audit, best.said FROM (
+    SELECT s.conv_id, j.i, e.q2 AS q, min(struct_pack(
+      cost := s.cost + CASE e.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e.edit <> 'D' AND j.fault = 'truncated' THEN 1 ELSE 0 END,
+      audit := s.audit || e.edit,
+      said := s.said || CASE e.edit WHEN 'D' THEN '' ELSE CASE WHEN e.edit = 'K' THEN j.role WHEN e.q2 = 2 THEN 'user' ELSE 'assistant' END || ':' || j.text || chr(10) END)) AS best
+    FROM (SELECT conv_id, i, q, cost, audit, said FROM dp
+      UNION ALL SELECT conv_id, i, CASE q WHEN 2 THEN 3 ELSE 2 END, cost + 2, audit || 'I', said || CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || chr(10) FROM dp) s
+    JOIN judged j ON s.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = s.i + 1
+    JOIN (VALUES ('D', 0, '', 0), ('D', 1, '', 1), ('D', 2, '', 2), ('D', 3, '', 3), ('R', 0, '', 2), ('R', 1, '', 2), ('R', 2, '', 3), ('R', 3, '', 2),
+      ('K', 0, 's', 1), ('K', 0, 'u', 2), ('K', 1, 'u', 2), ('K', 2, 'a', 3), ('K', 3, 'u', 2)) e(edit, q, initial, q2)
+      ON e.q = s.q AND (e.edit = 'D' OR j.fault NOT IN ('blank', 'duplicate') AND (e.edit = 'R' OR e.initial = j.initial))
+    GROUP BY s.conv_id, j.i, e.q2)
+), last AS (
+  SELECT conv_id, min(struct_pack(cost := cost, audit := audit, said := said)) AS best
+  FROM (SELECT * FROM dp UNION ALL SELECT conv_id, i, 3, cost + 2, audit || 'I', said || 'assistant:' || chr(10) FROM dp WHERE q = 2) x
+  WHERE q IN (0, 3) AND i = (SELECT coalesce(max(i), 0) FROM judged j WHERE j.conv_id IS NOT DISTINCT FROM x.conv_id) GROUP BY conv_id
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (p || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM judged) GROUP BY conv_id
+)
+SELECT l.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.audit AS audit, sha256(CASE WHEN best.said = '' THEN '' ELSE left(best.said, -1) END) AS repaired_sha256
+FROM last l LEFT JOIN sums s ON l.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS k, len(k) AS n, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y
+  FROM documents
+), c AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(list_slice(k, 1, least(x, y)), '') AS p, array_to_string(list_slice(k, least(x, y) + 1, greatest(x, y)), '') AS m, array_to_string(list_slice(k, greatest(x, y) + 1, n), '') AS s
+  FROM d
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
+ORACLES = {"op2_topk": OP2, "op3_url_filter": OP3, "op4_mixing": OP4, "op11_chat": OP11, "op12_structure": OP12, "op13_fim": OP13}

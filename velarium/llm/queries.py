@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, packing, sharding, tokencount, tokenfiles, topk, toxicity, urlfilter
+from . import chat, fim, media, mixing, neardup, packing, sharding, structure, tokencount, tokenfiles, topk, toxicity, urlfilter
 from .common import cut, shared_dir, table
 
 #: Names of the vocabulary files; ``public_tokenizers.path`` finds them.
@@ -71,10 +71,31 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    report = chat.read_back(chat.formatted(chat.chained(turns, "conv_id", "turn")))
+    return report.select(F.col("tree").alias("conv_id"), *chat.REPORT)
+
+
+def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = structure.repair_report(structure.damaged(conversations), conversations.select(F.col("conv_id").alias("conv")))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    back = fim.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return cut(made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk, op3_url_filter, op4_mixing, op5_audio, op6_sharding, op7_token_files, op8_packing, op9_token_counts, op10_minhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk, op3_url_filter, op4_mixing, op5_audio, op6_sharding, op7_token_files, op8_packing, op9_token_counts, op10_minhash, op11_chat, op12_structure, op13_fim, pipeline)}
