@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, search
-from ..sources.scratch import folder
-from ..sources.vectors import register
+from ..operators import graph, sampling, search
+from ..sources.scratch import cut, folder
+from ..sources.vectors import pushdown, register
 from ..streaming import jobs
 from . import sqlnum as s
 from .graphs import M
@@ -59,6 +59,45 @@ def ibin_roundtrip(spark, sf_dir):
     return back.select((F.col("vec_id") * 25).alias("vec_id"), F.col("vec_id").cast("int").alias("n"), F.posexplode("neighbors").alias("rank", "neighbor")).withColumn("rank", F.col("rank") + 1)
 
 
+@query("WITH n AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, embedding, count(*) OVER () AS n FROM embeddings) SELECT place, i::INTEGER AS i, round(x, 6) AS x FROM (SELECT place, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM n WHERE place BETWEEN n // 4 AND n // 2 OR place IN (1, n - 1))")
+def vector_range(spark, sf_dir):
+    """A quarter of a file's rows and two single ones: the predicate becomes row ranges, nothing else is read."""
+    register(spark)
+    path, v = folder(spark), vectors(spark, sf_dir)
+    v.repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id").write.format("vectors").mode("append").option("layout", "fbin").save(path)
+    n, load = v.count(), lambda: spark.read.format("vectors").option("rows", 64).option("push", True).load(path)
+    with pushdown(spark):
+        middle, ends = load().where(F.col("vec_id").between(n // 4, n // 2)), load().where(F.col("vec_id").isin(1, n - 1))
+        wanted = cut(middle.unionByName(ends).dropDuplicates(["vec_id"]))
+    return wanted.select(F.col("vec_id").alias("place"), F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+@query(s.topk(s.all_pairs("fp32"), 10))
+def stream_topk_files(spark, sf_dir):
+    """The running nearest over a folder of vector files that grows between three runs of one stream."""
+    register(spark)
+    base, at = vectors(spark, sf_dir), folder(spark)
+    numbered = cut(sampling.dense_index(base, "vec_id", "place"))
+    third, hits = -(-base.count() // 3), None
+    for k in range(3):
+        part = numbered.where(F.floor(F.col("place") / third) == k).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+        part.repartitionByRange(2, "vec_id").sortWithinPartitions("vec_id").write.format("vectors").mode("append").option("layout", "fbin").save(f"{at}/in")
+        hits = jobs.topk(spark.readStream.format("vectors").option("layout", "fbin").load(f"{at}/in"), asked(base), 10, at)
+    named = hits.withColumnRenamed("vec_id", "place").join(numbered.select("vec_id", "place"), "place")
+    return named.select("qid", F.col("rank").cast("int").alias("rank"), "vec_id", (F.round(F.col("d") + 1e-12, 6) + 0.0).alias("d"))
+
+
+@query("SELECT i::INTEGER AS i, round(x, 6) AS x, count(*) AS n FROM (SELECT unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
+def stream_vector_sink(spark, sf_dir):
+    """Vectors that arrive in three batches, written to files as they come; every component is there as often as it was."""
+    register(spark)
+    at = folder(spark)
+    jobs.to_files(jobs.replay(vectors(spark, sf_dir), at, 3), "fvecs", f"{at}/out", at)
+    back = spark.read.format("vectors").option("layout", "fvecs").load(f"{at}/out")
+    x = F.round(F.col("x").cast("double"), 6).alias("x")
+    return back.select(F.posexplode("embedding").alias("i", "x")).select("i", x).groupBy("i", "x").agg(F.count("*").alias("n"))
+
+
 @query(s.topk(s.all_pairs("fp32"), 10))
 def stream_topk(spark, sf_dir):
     base, at = vectors(spark, sf_dir), folder(spark)

@@ -106,14 +106,26 @@ def markdown_sink(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(lines)), "line int, value string")
 
 
-@query(f"SELECT 'base' AS file, count(*) AS rows, max(len(embedding))::INTEGER AS dim FROM embeddings UNION ALL SELECT 'queries', count(*), max(len(embedding))::INTEGER FROM embeddings WHERE vec_id % 25 = 0 UNION ALL SELECT 'truth', count(*), {K} FROM embeddings WHERE vec_id % 25 = 0")
+_EVERY = "SELECT vec_id AS id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings"
+BUNDLED = " UNION ALL ".join(
+    f"SELECT '{name}' AS file, dense_rank() OVER (ORDER BY id) - 1 AS place, i::INTEGER AS i, round(x::DOUBLE, 6) AS x FROM ({rows})"
+    for name, rows in {"base": _EVERY, "queries": f"{_EVERY} WHERE vec_id % 25 = 0", "truth": f"SELECT qid AS id, rank - 1 AS i, vec_id AS x FROM ({s.topk(s.all_pairs('fp32'), K)})"}.items()
+)
+
+
+@query(BUNDLED)
 def bundle_roundtrip(spark, sf_dir):
-    """Base, queries and ground truth written as one bundle, and the headers of its files."""
+    """Base, queries and ground truth written as one bundle, and every number of its files."""
     files.register(spark)
     at, base = folder(spark), vectors(spark, sf_dir)
     files.write_bundle(base, asked(base), search.knn(base, asked(base), K), at)
-    rows = [(name, *files.header(files.files_of(f"{at}/{name}")[0], layout)) for name, layout in files.BUNDLE.items()]
-    return spark.createDataFrame(rows, "file string, rows long, dim int")
+    back = None
+    for name, layout in files.BUNDLE.items():
+        rows = spark.read.format("vectors").option("layout", layout).load(f"{at}/{name}")
+        column = "embedding" if layout in files.FLOATS else "neighbors"
+        rows = rows.select(F.lit(name).alias("file"), F.col("vec_id").alias("place"), F.posexplode(column).alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+        back = rows if back is None else back.unionByName(rows)
+    return back
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {r}::BIGINT, {d}, '{m}')" for n, r, d, m in catalogue.DATASETS) + ") v(name, rows, dim, metric)")

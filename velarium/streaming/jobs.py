@@ -53,6 +53,12 @@ def topk(stream: DataFrame, queries: DataFrame, k: int, folder: str) -> DataFram
     return ranked(_last(stream.sparkSession, folder, schema), k)
 
 
+def to_files(stream: DataFrame, layout: str, path: str, folder: str) -> None:
+    """Arriving vectors as files of a layout, each batch noted when it is complete."""
+    out = stream.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).writeStream.format("vectors").option("layout", layout)
+    out.option("path", path).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def ingest(stream: DataFrame, level, folder: str) -> DataFrame:
     """Appends arriving vectors, with their level, to an index's node table; a batch that is replayed replaces itself."""
 
