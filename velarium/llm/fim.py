@@ -7,7 +7,7 @@ selected without decoding the others.  Texts are dealt by a content key (two
 digests and the length), grouped by the text itself, and encoded once; the
 documents' narrow rows (all columns but the text) are then joined to the
 entries by that key, and each selects its own two boundaries.  Texts are exchanged
-once, and go to Python once for each entry.
+once, and go to Python once for each entry; only the lists are exchanged again.
 
 A text with more copies than ``COPIES`` (or than a quarter of a partition's
 share of rows) gets an entry for each such number of copies, dealt out by a
@@ -148,9 +148,11 @@ def transformed(df: DataFrame, seed: int = 42, columns: list[str] | None = None)
     salted = lambda d: d.join(hot, F.col("key") == F.col("_key"), "left").withColumn("salt", F.coalesce(F.pmod("h", "salts"), F.lit(0)))
     texts = salted(df.select(text.alias("text"), _key(text).alias("key"), h.alias("h"))).select("key", "salt", "text")
     entries = texts.repartition(parts, "key", "salt").dropDuplicates(["key", "salt", "text"])
-    entries = entries.withColumn("list", _listed(F.col("text"))).select(F.col("key").alias("_of"), F.col("salt").alias("_salt"), "text", "list.n", "list.ends")
-    own = salted(docs).select("own", "id", "key", "salt").hint("shuffle_hash")
-    d = entries.join(own, (F.col("_of") == F.col("key")) & (F.col("_salt") == F.col("salt")))
+    # Python gives up a partitioning: only its lists are dealt by the key again, the texts stay where they are.
+    lists = entries.select("key", "salt", _listed(F.col("text")).alias("list")).select(F.col("key").alias("_of"), F.col("salt").alias("_salt"), "list.n", "list.ends")
+    own = salted(docs).select("own", "id", F.col("key").alias("_like"), F.col("salt").alias("_part"))
+    d = entries.join(lists.hint("shuffle_hash"), (F.col("key") == F.col("_of")) & (F.col("salt") == F.col("_salt")))
+    d = d.join(own.hint("shuffle_hash"), (F.col("key") == F.col("_like")) & (F.col("salt") == F.col("_part")))
     marker = F.lit(False)
     for m in (PREFIX, SUFFIX, MIDDLE):
         marker = marker | F.contains("text", F.lit(m))
