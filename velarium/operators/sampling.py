@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, by a hash of the id: the same ones in every run."""
@@ -45,14 +47,34 @@ def holdout_split(df: DataFrame, row_id: str, held) -> tuple[DataFrame, DataFram
     return df.where(held), dense_index(kept, row_id)
 
 
-def dense_index(df: DataFrame, row_id: str, name: str = "new_id", buckets: int = 64) -> DataFrame:
-    """0-based positions in id order: counts of a few id intervals, then a window in each."""
-    limits = df.agg(F.min(row_id).alias("_lo"), F.max(row_id).alias("_hi"))
-    width = F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / buckets), F.lit(1))
-    b = df.crossJoin(F.broadcast(limits)).withColumn("_b", F.floor((F.col(row_id) - F.col("_lo")) / width).cast("int")).drop("_lo", "_hi")
-    counts = b.groupBy("_b").agg(F.count("*").alias("_n"))  # at most `buckets` rows
-    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return b.join(F.broadcast(bases), "_b").withColumn(name, F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy(row_id)) - 1).drop("_b", "_base")
+def dense_index(df: DataFrame, row_id: str, name: str = "new_id") -> DataFrame:
+    """0-based positions in id order."""
+    return positions(df, [row_id], [], name)
+
+
+#: Rows that one task puts in order.
+RUN = 65_536
+
+
+def positions(df: DataFrame, order: list[str], by: list[str], name: str = "position") -> DataFrame:
+    """Add each row's 0-based place in ``order`` among the rows with equal ``by`` (all rows, without any).
+
+    Rows are dealt out in ranges of (by, order) and counted there, so neither a
+    large group nor an uneven order makes a task sort more than a range.
+    """
+    keys = [f"_by{i}" for i in range(len(by))]
+    rows = cut(df)
+    parts = max(1, -(-rows.count() // RUN))
+    dealt = rows.withColumns({k: F.col(c) for k, c in zip(keys, by, strict=True)}).repartitionByRange(parts, *[F.col(c) for c in (*keys, *order)])
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)) - 1
+    counts = dealt.groupBy("_range", *keys).agg(F.count("*").alias("_n"))  # a row for each range and group in it
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"{k}_") for k in keys], before.alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return dealt.withColumn("_in", inside).join(bases, same).withColumn(name, F.col("_in") + F.col("_before")).select(*df.columns, name)
 
 
 def place(df: DataFrame, row_id: str, parts: int, policy: str, size: int = 16) -> DataFrame:
@@ -62,18 +84,38 @@ def place(df: DataFrame, row_id: str, parts: int, policy: str, size: int = 16) -
     return df.withColumn("part", part.cast("long"))
 
 
+def matrices(vectors: pa.Array, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and rows, as doubles, of the vectors with ``dim`` components that are all finite numbers."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = np.diff(vectors.offsets.to_numpy())
+    valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+    fits = np.flatnonzero(valid & (sizes == dim))
+    if not len(fits):
+        return
+    flat = vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    v = flat.reshape(len(fits), dim)  # nulls have become NaN
+    sound = np.isfinite(v).all(axis=1)
+    yield fits[sound], v[sound]
+
+
 def assign(df: DataFrame, centers: np.ndarray) -> DataFrame:
-    """vec_id, cluster and d: the nearest of a few centres (one row each, on the driver) of each vector, ties to the first."""
+    """vec_id, cluster and d: the nearest of a few centres (one row each, on the driver) of each vector, ties to the first.
+
+    Vectors that are null, have another length than the centres, or hold a
+    null, a NaN or an infinity are assigned to none and left out.
+    """
     centers = np.asarray(centers, np.float64)
 
     @F.arrow_udf("struct<cluster:int,d:double>")
     def nearest(vectors: pa.Array) -> pa.Array:
-        v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-        d = np.stack([((v - c) ** 2).sum(axis=1) for c in centers], axis=1) if len(v) else np.zeros((0, len(centers)))
-        best = d.argmin(axis=1) if len(v) else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays([pa.array(best.astype(np.int32)), pa.array(d[np.arange(len(v)), best])], ["cluster", "d"])
+        cluster, d = np.full(len(vectors), -1, np.int32), np.zeros(len(vectors))
+        for at, v in matrices(vectors, centers.shape[1]):
+            far = np.stack([((v - c) ** 2).sum(axis=1) for c in centers], axis=1)
+            cluster[at] = far.argmin(axis=1)
+            d[at] = far[np.arange(len(v)), cluster[at]]
+        return pa.StructArray.from_arrays([pa.array(cluster), pa.array(d)], ["cluster", "d"])
 
-    return df.where("embedding is not null").select("vec_id", nearest("embedding").alias("_n")).select("vec_id", "_n.cluster", "_n.d")
+    return df.select("vec_id", nearest("embedding").alias("_n")).select("vec_id", "_n.cluster", "_n.d").where("cluster >= 0")
 
 
 def farthest_first(v: np.ndarray, k: int) -> np.ndarray:
@@ -87,9 +129,12 @@ def farthest_first(v: np.ndarray, k: int) -> np.ndarray:
 
 def centroids(df: DataFrame, k: int, sample: int, rounds: int = 6) -> np.ndarray:
     """Centres by farthest-first seeds and a few rounds, on at most ``sample`` vectors (the first by a hash of the id)."""
-    rows = df.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    rows = rows.sort_by("vec_id")
-    v = np.array(rows.column("embedding").to_pylist(), np.float64)
+    rows = df.where("size(embedding) > 0").select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    rows = rows.sort_by("vec_id").column("embedding").combine_chunks()
+    if not len(rows):
+        return np.zeros((1, 1))
+    lengths, times = np.unique(np.diff(rows.offsets.to_numpy()), return_counts=True)
+    v = np.concatenate([m for _, m in matrices(rows, int(lengths[times.argmax()]))] or [np.zeros((0, 1))])  # of the most frequent length
     if not len(v):
         return np.zeros((1, 1))
     centers = v[farthest_first(v, k)]
@@ -117,16 +162,14 @@ def kmeans(df: DataFrame, k: int, rounds: int = 6) -> np.ndarray:
 
 
 def balanced(assigned: DataFrame, capacity: int) -> DataFrame:
-    """At most ``capacity`` vectors a cluster: the nearest keep their place, others are marked to overflow slots."""
-    w = Window.partitionBy("cluster").orderBy("d", "vec_id")
-    return assigned.withColumn("slot", F.row_number().over(w) - 1).withColumn("overflow", F.col("slot") >= capacity)
+    """Each vector's slot by distance in its cluster, and whether it is beyond ``capacity``; ``clustering`` moves those."""
+    return positions(assigned, ["d", "vec_id"], ["cluster"], "slot").withColumn("overflow", F.col("slot") >= capacity)
 
 
 def packed_groups(assigned: DataFrame, size: int) -> DataFrame:
     """Groups of ``size`` neighbours in (cluster, distance) order, for storage side by side: vec_id, cluster, pack, place."""
-    w = Window.partitionBy("cluster").orderBy("d", "vec_id")
-    n = F.row_number().over(w) - 1
-    return assigned.select("vec_id", "cluster", F.floor(n / size).cast("long").alias("pack"), F.pmod(n, F.lit(size)).cast("long").alias("place"))
+    placed = positions(assigned, ["d", "vec_id"], ["cluster"], "n")
+    return placed.select("vec_id", "cluster", F.floor(F.col("n") / size).cast("long").alias("pack"), F.pmod("n", F.lit(size)).cast("long").alias("place"))
 
 
 def lru_hits(df: DataFrame, key: str, order: list[str], item: str, capacity: int) -> DataFrame:

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import between, prepared
 from ..functions.kernels import KERNELS, lower_bounds, strict_bounds
+from ..sources.scratch import cut
+from .radius import within
+from .sampling import matrices
 
 
 def blocks_of(df: DataFrame) -> int:
@@ -68,22 +71,43 @@ def knn_distinct(base: DataFrame, queries: DataFrame, k: int, name: str = "fp32"
 
 
 def range_search(base: DataFrame, queries: DataFrame, radius: float, least: int = 0, most: int | None = None, name: str = "fp32") -> DataFrame:
-    """All within ``radius``; at least the ``least`` nearest and at most the ``most`` nearest."""
+    """All within ``radius``; at least the ``least`` nearest and at most the ``most`` nearest.
+
+    By L2 this is a join over the cells of pivots; queries with fewer than
+    ``least`` hits are searched once more for their nearest.  Other distances
+    obey no triangle inequality: every pair is looked at.
+    """
+    if name == "fp32":
+        hits = within(base, queries, radius)
+        if least:
+            hits = cut(hits)
+            enough = hits.groupBy("qid").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("qid")
+            short = queries.join(enough, "qid", "left_anti")
+            near = knn(base, short, least).select("qid", "vec_id", "d")
+            hits = hits.join(enough, "qid", "left_semi").unionByName(near)  # fewer than `least` are within the radius: they are among the nearest
+        return (ranked(hits, most) if most is not None else numbered(hits)).select("qid", "rank", "vec_id", "d")
     hits = distances(base.select("vec_id", "embedding"), queries, name)
     if not least:
         hits = hits.where(F.col("d") <= radius)
-    if most is None and not least:
-        w = Window.partitionBy("qid").orderBy("d", "vec_id")
-        return hits.withColumn("rank", F.row_number().over(w)).select("qid", "rank", "vec_id", "d")
-    hits = ranked(hits, most) if most is not None else hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d", "vec_id")))
+    hits = ranked(hits, most) if most is not None else numbered(hits)
     return hits.where((F.col("d") <= radius) | (F.col("rank") <= least)).select("qid", "rank", "vec_id", "d")
 
 
+def numbered(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d", "vec_id")))
+
+
 def knn_multivector(base: DataFrame, queries: DataFrame, k: int, doc: str, name: str = "fp32") -> DataFrame:
-    """The k nearest documents of each query, a document being as near as its nearest vector."""
-    hits = distances(base.select("vec_id", "embedding", F.col(doc).alias("doc_id")), queries, name)
+    """The k nearest documents of each query, a document being as near as its nearest vector.
+
+    A cell keeps each query's k nearest documents by the vectors that it
+    holds.  A document among the k nearest of all is among those of the cell
+    with its nearest vector, so none is lost.
+    """
+    numbers = base.select("vec_id", "embedding", F.col(doc).cast("long").alias("doc_id"))
+    hits = in_cells(numbers, queries, _nearest_documents(name, k), "qid long, vec_id long, doc_id long, d double", extra="doc_id")
     best = hits.groupBy("qid", "doc_id").agg(F.min(F.struct("d", "vec_id")).alias("m"))
-    w = Window.partitionBy("qid").orderBy("m")
+    w = Window.partitionBy("qid").orderBy("m", "doc_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "doc_id", F.col("m.vec_id").alias("vec_id"), F.col("m.d").alias("d"))
 
 
@@ -148,30 +172,39 @@ PAIRS, CHUNK = 1 << 22, 1 << 16
 Cell = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
-def in_cells(base: DataFrame, queries: DataFrame, cell: Cell, schema: str, rows: int = ROWS, asked: int = ASKED) -> DataFrame:
-    """What ``cell`` (query ids, queries, base ids in ascending order, base rows) gives for each pair of blocks, as columns of ``schema``."""
-    b = base.where("embedding is not null").select("vec_id", "embedding")
-    q = queries.where("query is not null").select("qid", "query")
+def in_cells(base: DataFrame, queries: DataFrame, cell: Cell, schema: str, rows: int = ROWS, asked: int = ASKED, extra: str | None = None) -> DataFrame:
+    """What ``cell`` (query ids, queries, base ids in ascending order, base rows) gives for each pair of blocks, as columns of ``schema``.
+
+    ``extra`` names a whole-number column of the base that the cell gets as
+    well.  Vectors that are null or hold a null, a NaN or an infinity take no
+    part, and vectors of unlike length do not meet.
+    """
+    more = [extra] if extra else []
+    b = base.where("embedding is not null").select("vec_id", "embedding", F.size("embedding").alias("dim"), *more)
+    q = queries.where("query is not null").select("qid", "query", F.size("query").alias("dim"))
     n = max(-(-b.count() // rows), min(blocks_of(base), 8))
     m = max(1, -(-q.count() // asked))
-    b = b.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "vec_id", "embedding")
-    q = q.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "qid", "query")
-    names = [c.split()[0] for c in schema.split(",")]
+    b = b.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "dim", "vec_id", "embedding", *more)
+    q = q.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "dim", "qid", "query")
+    kinds = {c.split()[0]: pa.int64() if c.split()[1] == "long" else pa.float64() for c in schema.split(",")}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], pa.int64() if c in ("qid", "vec_id") else pa.float64()) for c in names})
-        ids, v = right.column("vec_id").to_numpy(), _matrix(right.column("embedding"))
-        order = np.argsort(ids, kind="stable")
-        found = cell(left.column("qid").to_numpy(), _matrix(left.column("query")), ids[order], v[order])
-        return pa.table(dict(zip(names, map(pa.array, found), strict=True)))
+        found = None
+        if left.num_rows and right.num_rows:
+            dim = left.column("dim")[0].as_py()
+            (asks, q), (has, v) = _sound(left.column("query"), dim), _sound(right.column("embedding"), dim)
+            if len(asks) and len(has):
+                ids = right.column("vec_id").to_numpy()[has]
+                order = np.argsort(ids, kind="stable")
+                found = cell(left.column("qid").to_numpy()[asks], q, ids[order], v[order], *[right.column(c).to_numpy()[has][order] for c in more])
+        return pa.table({c: pa.array([] if found is None else found[i], k) for i, (c, k) in enumerate(kinds.items())})
 
-    return q.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInArrow(run, schema)
+    return q.groupBy("part", "block", "dim").cogroup(b.groupBy("part", "block", "dim")).applyInArrow(run, schema)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    c = column.combine_chunks()
-    return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def _sound(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and rows of the vectors whose components are all finite numbers."""
+    return next(matrices(column, dim), (np.empty(0, np.int64), np.empty((0, dim))))
 
 
 def _joined(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
@@ -225,6 +258,25 @@ def _nearest_by(name: str, k: int) -> Cell:
     return cell
 
 
+def _nearest_documents(name: str, k: int) -> Cell:
+    """The k nearest distinct documents by a distance of the registry, each with its nearest vector."""
+
+    def cell(qid, q, ids, v, docs):
+        kernel, parts = KERNELS[name], []
+        v = kernel.prepare(v)
+        for i, x in zip(qid, kernel.prepare(q), strict=True):
+            d = kernel.distances(x, v)
+            order = np.argsort(d, kind="stable")  # base rows are in id order
+            _, first = np.unique(docs[order], return_index=True)
+            best = order[np.sort(first)]
+            # All documents that are as near as the k-th one stay: their vectors elsewhere decide.
+            best = best[: np.searchsorted(d[best], d[best[min(k, len(best)) - 1]], side="right")] if not np.isnan(d[best[min(k, len(best)) - 1]]) else best
+            parts.append((np.full(len(best), i), ids[best], docs[best], d[best]))
+        return _joined(parts)
+
+    return cell
+
+
 def _refined(k: int) -> Cell:
     def cell(qid, q, ids, v):
         bounded, exact, parts = strict_bounds(v), KERNELS["fp32"], []

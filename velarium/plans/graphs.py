@@ -163,7 +163,7 @@ def graph_degree_stats(spark, sf_dir):
 
 
 @query(
-    f"WITH RECURSIVE e AS MATERIALIZED ({EDGES}), r(id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.id WHERE r.hop < (SELECT count(*) FROM embeddings) AND r.hop < 40), "
+    f"WITH RECURSIVE e AS MATERIALIZED ({EDGES}), r(id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.id WHERE r.hop < (SELECT count(*) FROM embeddings)), "
     "f AS (SELECT id, min(hop)::INTEGER AS hop FROM r GROUP BY id) "
     "SELECT vec_id AS id, hop IS NOT NULL AS reached, coalesce(hop, -1)::INTEGER AS hop, (SELECT count(*) FROM e WHERE src = vec_id) AS degree FROM embeddings LEFT JOIN f ON f.id = vec_id"
 )
@@ -174,16 +174,24 @@ def graph_bfs_order(spark, sf_dir):
     return order.select("id", (F.col("turn") == 0).alias("reached"), F.when(F.col("turn") == 0, F.col("hop")).otherwise(-1).alias("hop"), "degree")
 
 
+#: Every visit: hop by hop from node 0, then again from the least node not visited; a step carries all visits so far.
+VISITS = (
+    f"e AS MATERIALIZED ({EDGES}), r(step, id, turn, hop) AS (SELECT 0, 0::BIGINT, 0, 0 UNION ALL SELECT x.step + 1, y.id, y.turn, y.hop FROM (SELECT max(step) AS step, max(turn) AS turn, max(hop) FILTER (turn = t) AS hop FROM r, (SELECT max(turn) AS t FROM r)) x, "
+    "LATERAL (SELECT r.id, r.turn, r.hop FROM r UNION ALL SELECT n.id, x.turn, x.hop + 1 FROM (SELECT DISTINCT e.dst AS id FROM r JOIN e ON e.src = r.id WHERE e.dst NOT IN (SELECT id FROM r)) n "
+    "UNION ALL SELECT m.id, x.turn + 1, 0 FROM (SELECT min(vec_id) AS id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM r)) m WHERE m.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r JOIN e ON e.src = r.id WHERE e.dst NOT IN (SELECT id FROM r))) y "
+    "WHERE (SELECT count(*) FROM r) < (SELECT count(*) FROM embeddings))"
+)
+
+
 @query(
-    f"WITH RECURSIVE e AS MATERIALIZED ({EDGES}), r(id, hop) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.id WHERE r.hop < 40), "
-    "f AS (SELECT id, min(hop) AS hop FROM r GROUP BY id), g AS (SELECT dst AS id, count(*) AS degree FROM e GROUP BY dst) "
-    "SELECT vec_id AS id, row_number() OVER (ORDER BY hop NULLS LAST, coalesce(degree, 0) DESC, vec_id) - 1 AS slot FROM embeddings LEFT JOIN f ON f.id = vec_id LEFT JOIN g ON g.id = vec_id WHERE hop IS NOT NULL"
+    f"WITH RECURSIVE {VISITS}, g AS (SELECT dst AS id, count(*) AS degree FROM e GROUP BY dst) "
+    "SELECT r.id, row_number() OVER (ORDER BY turn, hop, coalesce(degree, 0) DESC, r.id) - 1 AS slot FROM r LEFT JOIN g ON g.id = r.id WHERE step = (SELECT max(step) FROM r)"
 )
 def slot_reorder(spark, sf_dir):
-    """Storage slots of what node 0 reaches: by hop, then by inbound links, then by id."""
-    edges = cut(knn_edges(spark, sf_dir))
+    """Storage slots of all nodes: by the traversal's turn and hop, then by inbound links, then by id."""
+    edges, nodes = cut(knn_edges(spark, sf_dir)), vectors(spark, sf_dir).select(F.col("vec_id").alias("id"))
     inbound = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.slots(graph.bfs_order(graph.bfs(edges, 0).withColumn("turn", F.lit(0)), inbound))
+    return graph.slots(graph.bfs_order(graph.bfs(edges, 0, nodes), inbound))
 
 
 @query("SELECT 'velarium-graph-1' AS format, 8 AS m, count(*) AS rows, max(len(embedding))::INTEGER AS dim, min(vec_id) AS least_id, max(vec_id) AS most_id, 0::BIGINT AS deleted, true AS has_bytes FROM embeddings")

@@ -303,7 +303,7 @@ def kmeans_assign(spark, sf_dir):
 @query(f"SELECT vec_id, cluster, (row_number() OVER (PARTITION BY cluster ORDER BY vec_id) - 1) % 4 AS part FROM ({NEAREST})")
 def cluster_round_robin(spark, sf_dir):
     a = assigned(spark, sf_dir)
-    return a.select("vec_id", "cluster", ((F.row_number().over(Window.partitionBy("cluster").orderBy("vec_id")) - 1) % 4).cast("long").alias("part"))
+    return sampling.positions(a, ["vec_id"], ["cluster"], "n").select("vec_id", "cluster", (F.col("n") % 4).cast("long").alias("part"))
 
 
 @query(f"SELECT vec_id, cluster, k - 1 AS slot, k > 50 AS overflow FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY d, vec_id) AS k FROM ({NEAREST}))")
