@@ -100,11 +100,11 @@ def numbered(hits: DataFrame) -> DataFrame:
 def knn_multivector(base: DataFrame, queries: DataFrame, k: int, doc: str, name: str = "fp32") -> DataFrame:
     """The k nearest documents of each query, a document being as near as its nearest vector.
 
-    A cell keeps each query's k nearest documents by the vectors that it
+    Vectors without a document take no part.  A cell keeps each query's k nearest documents by the vectors that it
     holds.  A document among the k nearest of all is among those of the cell
     with its nearest vector, so none is lost.
     """
-    numbers = base.select("vec_id", "embedding", F.col(doc).cast("long").alias("doc_id"))
+    numbers = base.where(F.col(doc).isNotNull()).select("vec_id", "embedding", F.col(doc).cast("long").alias("doc_id"))
     hits = in_cells(numbers, queries, _nearest_documents(name, k), "qid long, vec_id long, doc_id long, d double", extra="doc_id")
     best = hits.groupBy("qid", "doc_id").agg(F.min(F.struct("d", "vec_id")).alias("m"))
     w = Window.partitionBy("qid").orderBy("m", "doc_id")
