@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, sampling, search
+from ..operators import graph, sampling, search, sketches
 from ..sources.scratch import cut, folder
 from ..sources.vectors import pushdown, register
-from ..streaming import jobs
+from ..streaming import jobs, state
 from . import sqlnum as s
 from .graphs import M
 from .vectors import asked, vectors
@@ -154,3 +154,64 @@ def stream_rate_limit(spark, sf_dir):
     batches = jobs.batch_sizes(jobs.replay(e, at, 5), at)
     total = F.sum("n")
     return batches.agg(total.alias("n"), (F.max("n") <= total / 5 + 5).alias("bounded"), F.count("*").alias("batches"))
+
+
+HOUR = 3_600_000_000
+
+
+def _folded(spark, sf_dir, processor) -> DataFrame:
+    """Events in three micro-batches; then a late heartbeat, for which the stream is started again, moves the watermark past all of them."""
+    at, e = folder(spark), events(spark, sf_dir)
+    args = (processor, "user_id", "ts", "event_id", "event_type", "2 hours", at)
+    state.folded(jobs.replay_in_order(e, at, "ts", 3), *args)
+    beat = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("beat").alias("event_type"), F.lit(0.0).alias("value"))
+    beat.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return state.folded(spark.readStream.schema(e.schema).parquet(f"{at}/in"), *args)
+
+
+@query(
+    "SELECT user_id, event_type AS value, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM "
+    "(SELECT *, CASE WHEN event_type = lag(event_type) OVER w AND ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, run, event_type"
+)
+def stream_runs(spark, sf_dir):
+    """Runs of one kind of event of each user, from keyed state over several batches and a restart; twelve hours of silence end a run."""
+    return _folded(spark, sf_dir, state.Runs(12 * HOUR)).select(F.col("key").alias("user_id"), "value", F.col("first").alias("first_us"), F.col("last").alias("last_us"), "n")
+
+
+@query(
+    "WITH RECURSIVE a(user_id, ts, event_id, event_type) AS (SELECT user_id, x.ts, x.event_id, x.event_type FROM (SELECT user_id, min(struct_pack(ts := ts, event_id := event_id, event_type := event_type)) AS x FROM events GROUP BY user_id) UNION ALL "
+    "SELECT user_id, x.ts, x.event_id, x.event_type FROM (SELECT a.user_id, min(struct_pack(ts := e.ts, event_id := e.event_id, event_type := e.event_type)) AS x FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 6 HOUR GROUP BY a.user_id, a.ts)) "
+    "SELECT a.user_id, a.event_type AS value, epoch_us(a.ts) AS first_us, count(e.event_id) AS dropped FROM a LEFT JOIN events e ON e.user_id = a.user_id AND (e.ts, e.event_id) > (a.ts, a.event_id) AND e.ts < a.ts + INTERVAL 6 HOUR GROUP BY ALL"
+)
+def stream_in_flight(spark, sf_dir):
+    """Users are in flight for six hours from an event that was let through; the events dropped meanwhile are counted."""
+    return _folded(spark, sf_dir, state.InFlight(6 * HOUR)).select(F.col("key").alias("user_id"), "value", F.col("first").alias("first_us"), F.col("n").alias("dropped"))
+
+
+@query(
+    "WITH h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(DISTINCT user_id) AS active FROM events GROUP BY 1) "
+    "SELECT count(*) AS epochs, round(avg(active), 6) AS mean, (SELECT active::DOUBLE FROM (SELECT active, row_number() OVER (ORDER BY active) AS k FROM h) WHERE k = (SELECT ceil(count(*) * 0.95) FROM h)) AS percentile FROM h"
+)
+def epoch_activity(spark, sf_dir):
+    """Distinct users of each hour: their mean and 95th percentile over the hours."""
+    hours = sketches.active(events(spark, sf_dir), "ts", "1 hour", "user_id")
+    return sketches.over_epochs(hours, "active").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS epoch_us, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_within, true AS ranks_within, true AS top_within FROM events GROUP BY 1")
+def epoch_sketches(spark, sf_dir):
+    """Hourly sketches of a stream's three batches, merged into days: each estimate is within its stated error of the exact one."""
+    at, e = folder(spark), events(spark, sf_dir)
+    state = jobs.sketch_states(jobs.replay(e, at, 3), "ts", "1 hour", "user_id", "value", at)
+    day = F.date_trunc("day", F.col("epoch"))
+    found = sketches.estimates(sketches.merged(state, day), [0.5, 0.95], 1).withColumnRenamed("epoch", "day")
+    by_day = e.withColumn("day", F.date_trunc("day", F.col("ts")))
+    counts = by_day.groupBy("day", "user_id").agg(F.count("*").alias("own"))
+    exact = by_day.groupBy("day").agg(F.count_distinct("user_id").alias("users")).join(counts.groupBy("day").agg(F.max("own").alias("most")), "day")
+    below = by_day.join(found.select("day", "quantiles"), "day").groupBy("day").agg(*[(F.count_if(F.col("value") <= F.col("quantiles")[i]) / F.count("*")).alias(f"r{i}") for i in (0, 1)], *[(F.count_if(F.col("value") < F.col("quantiles")[i]) / F.count("*")).alias(f"l{i}") for i in (0, 1)])
+    near = [(F.col(f"r{i}") >= s - sketches.RANK) & (F.col(f"l{i}") <= s + sketches.RANK) for i, s in ((0, 0.5), (1, 0.95))]
+    all_ = found.join(exact, "day").join(below, "day")
+    return all_.select(
+        F.unix_micros("day").alias("epoch_us"), "n", "users", (F.abs(F.col("active") - F.col("users")) <= F.greatest(F.lit(1), 4 * sketches.SPREAD * F.col("users"))).alias("users_within"),
+        (near[0] & near[1]).alias("ranks_within"), (F.col("top")[0]["count"] >= F.col("most")).alias("top_within"),
+    )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, sketches
 from ..operators.search import knn, ranked
 
 
@@ -20,6 +20,16 @@ def replay(df: DataFrame, folder: str, files: int) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
+def replay_in_order(df: DataFrame, folder: str, by: str, files: int) -> DataFrame:
+    """A batch table as a stream of ``files`` micro-batches, by quantiles of the time ``by``; each is written after the one before."""
+    x = F.unix_micros(by)
+    edges = df.select(x.cast("double").alias("x")).approxQuantile("x", [k / files for k in range(1, files)], 0.01)
+    place = sum(((x > e).cast("int") for e in edges), F.lit(0))
+    for k in range(files):
+        df.where(place == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
 def _run(stream: DataFrame, folder: str, mode: str, batch) -> None:
     query = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -95,6 +105,16 @@ def batch_sizes(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema("n long, batch long").parquet(f"{folder}/sizes")
 
 
+def sketch_states(stream: DataFrame, time: str, width: str, who: str, value: str, folder: str) -> DataFrame:
+    """The state table of :mod:`~velarium.operators.sketches`, to which every micro-batch adds its own rows; a replayed batch replaces them."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        sketches.sketched(batch, time, width, who, value).write.mode("overwrite").parquet(f"{folder}/sketches/batch={number}")
+
+    _run(stream, folder, "append", put)
+    return stream.sparkSession.read.parquet(f"{folder}/sketches").drop("batch")
+
+
 def latency(stream: DataFrame, key: str, value: str, folder: str) -> DataFrame:
     """Running count, mean and maximum of each key."""
     running = stream.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"))
