@@ -181,3 +181,64 @@ def lower_bounds(q: Array, rows: tuple[Array, Array, Array]) -> Array:
     terms = np.where(product < 0, -product, -2 * product).sum(axis=1)
     slack = (sizes @ np.abs(q)) * 2.0**-10 + np.abs(q).sum() * 2.0**-13
     return np.maximum(0.0, (q * q).sum() + squares + 2 * terms - 2 * slack - 1e-9)
+
+
+# Bounds of pairs that :mod:`bounds` has as Columns, on blocks: rows are prepared once, and a query meets all of them.
+
+
+@dataclass(frozen=True)
+class Bound:
+    rows: Callable[[Array], tuple[Array, ...]]
+    query: Step
+    value: Callable[..., Array]
+
+    def distances(self, q: Array, rows: tuple[Array, ...]) -> Array:
+        return self.value(q, *rows)
+
+
+def _coarse(q: Array, powers: Array) -> Array:
+    product = powers * q
+    return np.where(product < 0, -product, -2 * product)
+
+
+def _unit(q: Array, powers: Array) -> Array:
+    return 2 + 2 * (np.trunc(_coarse(q, powers) * 16384) / 16384).sum(axis=1)
+
+
+def _l2(q: Array, squares: Array, powers: Array) -> Array:
+    return np.maximum(0.0, (q * q).sum() + squares + 2 * _coarse(q, powers).sum(axis=1))
+
+
+def intervals(v: Array, bits: int) -> tuple[Array, Array]:
+    """Least and largest value of half-precision numbers that share each component's first ``bits`` bits."""
+    h = fp16(v)
+    a = np.abs(h)
+    e = np.maximum(_exponent(np.where(a > 0, a, 2.0**-24)), -14)
+    step = np.ldexp(1.0, e - (bits - 6))
+    near = np.floor(a / step) * step
+    far = near + step - np.ldexp(1.0, e - 10)
+    return np.where(h < 0, -far, near), np.where(h < 0, -near, far)
+
+
+def _gap(q: Array, low: Array, high: Array) -> Array:
+    gap = np.maximum(np.maximum(low - q, q - high), 0.0)
+    return (gap * gap).sum(axis=1)
+
+
+def _leading(v: Array, bits: int) -> Array:
+    unit = np.ldexp(1.0, _exponent(np.where(v == 0, 1.0, np.abs(v))) - bits)
+    return np.copysign(np.floor(np.abs(v) / unit) * unit, v)
+
+
+def bound(name: str) -> Bound:
+    """``unit``, ``l2``, ``bitsB`` (from each component's first B bits) or ``firstN`` (the first N dimensions, of 7 leading significand bits)."""
+    if name == "unit":
+        return Bound(lambda v: strict_bounds(v)[1:2], same, _unit)
+    if name == "l2":
+        return Bound(lambda v: strict_bounds(v)[:2], same, _l2)
+    if name.startswith("bits"):
+        return Bound(lambda v: intervals(v, int(name[4:])), fp16, _gap)
+    if name.startswith("first"):
+        n = int(name[5:])
+        return Bound(lambda v: (_leading(v[:, :n], 7),), lambda q: q[..., :n], lambda q, v: ((q - v) ** 2).sum(axis=1))
+    raise KeyError(name)

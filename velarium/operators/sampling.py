@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.distance import normalized as unit_length
 from ..sources.scratch import cut
 
 
@@ -77,6 +78,29 @@ def positions(df: DataFrame, order: list[str], by: list[str], name: str = "posit
     return dealt.withColumn("_in", inside).join(bases, same).withColumn(name, F.col("_in") + F.col("_before")).select(*df.columns, name)
 
 
+class BadVectors(ValueError):
+    """Vectors that cannot be brought to unit length: the lowest row and how many there are."""
+
+    def __init__(self, lowest: int, bad: int):
+        super().__init__(f"cannot normalise {bad} vectors, the first of them in row {lowest}")
+        self.lowest, self.bad = lowest, bad
+
+
+def normalized(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``df`` with unit vectors, written and read back; :class:`BadVectors` if any row is null, too short (1e-24) or not finite.
+
+    The lowest bad row is a metric observed by the pass that writes, so no
+    task fails for it and all rows have been looked at before it is named.
+    """
+    seen = Observation()
+    unit = unit_length(F.col(vector))
+    out = df.withColumn("_unit", unit).observe(seen, F.min(F.when(F.col("_unit").isNull(), F.col(row_id))).alias("lowest"), F.count_if(F.col("_unit").isNull()).alias("bad"))
+    out = cut(out.withColumn(vector, F.col("_unit")).drop("_unit"))
+    if seen.get["bad"]:
+        raise BadVectors(seen.get["lowest"], seen.get["bad"])
+    return out
+
+
 def place(df: DataFrame, row_id: str, parts: int, policy: str, size: int = 16) -> DataFrame:
     """A part for each vector: ``modulo`` deals ids in turn, ``chunk`` in runs, ``stripe`` in runs dealt in turn."""
     i = F.col(row_id)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import between, prepared
-from ..functions.kernels import KERNELS, lower_bounds, strict_bounds
+from ..functions.kernels import KERNELS, Bound, bound, lower_bounds, strict_bounds
 from ..sources.scratch import cut
 from .radius import within
 from .sampling import matrices
@@ -123,7 +123,7 @@ def filter_and_refine(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def pair_distances(base: DataFrame, queries: DataFrame, names: list[str]) -> DataFrame:
-    """qid, vec_id and the distances d0, d1, ... of every pair, by each of the names, in one pass."""
+    """qid, vec_id and d0, d1, ... of every pair, by each of the names, in one pass: distances of the registry, or bounds of ``kernels.bound``."""
     return in_cells(base, queries, _every(names), "qid long, vec_id long, " + ", ".join(f"d{i} double" for i in range(len(names))))
 
 
@@ -172,20 +172,20 @@ PAIRS, CHUNK = 1 << 22, 1 << 16
 Cell = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
-def in_cells(base: DataFrame, queries: DataFrame, cell: Cell, schema: str, rows: int = ROWS, asked: int = ASKED, extra: str | None = None) -> DataFrame:
+def in_cells(base: DataFrame, queries: DataFrame, cell: Cell, schema: str, rows: int = ROWS, asked: int = ASKED, extra: str | None = None, given: str | None = None) -> DataFrame:
     """What ``cell`` (query ids, queries, base ids in ascending order, base rows) gives for each pair of blocks, as columns of ``schema``.
 
     ``extra`` names a whole-number column of the base that the cell gets as
-    well.  Vectors that are null or hold a null, a NaN or an infinity take no
+    well, ``given`` a number of the queries.  Vectors that are null or hold a null, a NaN or an infinity take no
     part, and vectors of unlike length do not meet.
     """
-    more = [extra] if extra else []
+    more, with_query = [extra] if extra else [], [given] if given else []
     b = base.where("embedding is not null").select("vec_id", "embedding", F.size("embedding").alias("dim"), *more)
-    q = queries.where("query is not null").select("qid", "query", F.size("query").alias("dim"))
+    q = queries.where("query is not null").select("qid", "query", F.size("query").alias("dim"), *with_query)
     n = max(-(-b.count() // rows), min(blocks_of(base), 8))
     m = max(1, -(-q.count() // asked))
     b = b.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "dim", "vec_id", "embedding", *more)
-    q = q.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "dim", "qid", "query")
+    q = q.select(F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "dim", "qid", "query", *with_query)
     kinds = {c.split()[0]: pa.int64() if c.split()[1] == "long" else pa.float64() for c in schema.split(",")}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -196,7 +196,7 @@ def in_cells(base: DataFrame, queries: DataFrame, cell: Cell, schema: str, rows:
             if len(asks) and len(has):
                 ids = right.column("vec_id").to_numpy()[has]
                 order = np.argsort(ids, kind="stable")
-                found = cell(left.column("qid").to_numpy()[asks], q, ids[order], v[order], *[right.column(c).to_numpy()[has][order] for c in more])
+                found = cell(left.column("qid").to_numpy()[asks], q, ids[order], v[order], *[right.column(c).to_numpy()[has][order] for c in more], *[left.column(c).to_numpy()[asks] for c in with_query])
         return pa.table({c: pa.array([] if found is None else found[i], k) for i, (c, k) in enumerate(kinds.items())})
 
     return q.groupBy("part", "block", "dim").cogroup(b.groupBy("part", "block", "dim")).applyInArrow(run, schema)
@@ -296,9 +296,9 @@ def _every(names: list[str]) -> Cell:
     def cell(qid, q, ids, v):
         out = [np.repeat(qid, len(ids)), np.tile(ids, len(qid))]
         for name in names:
-            kernel = KERNELS[name]
-            rows = kernel.prepare(v)
-            out.append(np.concatenate([kernel.distances(x, rows) for x in kernel.prepare(q)]))
+            kernel = KERNELS.get(name) or bound(name)
+            rows, asked = (kernel.rows(v), kernel.query(q)) if isinstance(kernel, Bound) else (kernel.prepare(v), kernel.prepare(q))
+            out.append(np.concatenate([kernel.distances(x, rows) for x in asked]))
         return out
 
     return cell

@@ -7,8 +7,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bounds, numeric
-from ..functions.distance import DISTANCES, distance, norm2, normalized_clamped, normalized_strict
+from ..functions import numeric
+from ..functions.distance import DISTANCES, norm2, normalized_clamped
 from ..operators import sampling, search
 from ..operators.analytics import percentile_of
 from ..sources.scratch import cut
@@ -176,10 +176,22 @@ def vector_norms(spark, sf_dir):
 
 @query("SELECT vec_id, i::INTEGER AS i, round(x, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS x FROM embeddings)")
 def l2_normalize(spark, sf_dir):
-    n = vectors(spark, sf_dir).select("vec_id", F.posexplode(normalized_strict(F.col("embedding"), F.col("vec_id"))).alias("i", "x"))
+    n = sampling.normalized(vectors(spark, sf_dir)).select("vec_id", F.posexplode("embedding").alias("i", "x"))
     return rounded(n, "x")
 
 
+@query("SELECT min(vec_id) FILTER (vec_id % 7 = 5 OR vec_id % 50 = 31) AS lowest, count(*) FILTER (vec_id % 7 = 5 OR vec_id % 50 = 31) AS bad FROM embeddings")
+def l2_normalize_refused(spark, sf_dir):
+    """What strict normalisation says of a table with zero vectors and with infinities: its lowest bad row, and how many."""
+    by = F.when(F.col("vec_id") % 7 == 5, 0.0).when(F.col("vec_id") % 50 == 31, float("inf")).otherwise(1.0)
+    v = vectors(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: F.when(by == 1.0, x.cast("double")).otherwise(by)))
+    try:
+        sampling.normalized(v)
+    except sampling.BadVectors as e:
+        return spark.createDataFrame([(e.lowest, e.bad)], "lowest long, bad long")
+    raise AssertionError("planted rows were accepted")
+
+
 @query("SELECT vec_id, i::INTEGER AS i, round(x, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE * 3 / greatest(3 * sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12) AS x FROM embeddings)")
 def l2_normalize_clamped(spark, sf_dir):
     v = scaled(vectors(spark, sf_dir), 3.0)
@@ -341,10 +353,10 @@ def pairs_of(spark, sf_dir, every: int = EVERY) -> DataFrame:
     return search.pairs(base, asked(base, every))
 
 
-def bit_pairs(spark, sf_dir, bits: int) -> DataFrame:
+def bounded(spark, sf_dir, *names: str) -> DataFrame:
+    """qid, vec_id and d0, d1, ... of every base row with the stated queries, worked out in cells."""
     base = vectors(spark, sf_dir)
-    q = asked(base, EVERY).withColumn("half", bounds.half(F.col("query")))
-    return search.pairs(base.withColumn("allowed", bounds.intervals(F.col("embedding"), bits)), q)
+    return search.pair_distances(base, asked(base, EVERY), list(names))
 
 
 LONG = "SELECT q.vec_id AS qid, v.vec_id, q.i, q.x AS q, v.x AS v FROM ({e}) q JOIN ({e}) v USING (i) WHERE q.vec_id % 50 = 0".format(e="SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings")
@@ -353,12 +365,12 @@ COARSE = "SELECT *, CASE WHEN abs(h) < pow(2.0, -14) THEN 0 WHEN (q < 0) <> (h <
 
 @query(f"SELECT qid, vec_id, round(2 + 2 * sum(trunc(t * 16384) / 16384), 6) AS lb FROM ({COARSE}) GROUP BY qid, vec_id")
 def lower_bound_unit(spark, sf_dir):
-    return rounded(pairs_of(spark, sf_dir).select("qid", "vec_id", bounds.lower_bound_unit(F.col("query"), F.col("embedding")).alias("lb")), "lb")
+    return rounded(bounded(spark, sf_dir, "unit").withColumnRenamed("d0", "lb"), "lb")
 
 
 @query(f"SELECT qid, vec_id, round(greatest(0, sum(q * q) + sum(v * v) + 2 * sum(t)), 6) AS lb FROM ({COARSE}) GROUP BY qid, vec_id")
 def lower_bound_l2(spark, sf_dir):
-    return rounded(pairs_of(spark, sf_dir).select("qid", "vec_id", bounds.lower_bound_l2(F.col("query"), F.col("embedding")).alias("lb")), "lb")
+    return rounded(bounded(spark, sf_dir, "l2").withColumnRenamed("d0", "lb"), "lb")
 
 
 def _bits_sql(bits: int) -> str:
@@ -373,15 +385,14 @@ def _bits_sql(bits: int) -> str:
 
 @query(f"SELECT qid, vec_id, round(lb, 6) AS lb FROM ({_bits_sql(8)})")
 def lower_bound_bits(spark, sf_dir):
-    return rounded(bit_pairs(spark, sf_dir, 8).select("qid", "vec_id", bounds.lower_bound_bits(F.col("half"), F.col("allowed")).alias("lb")), "lb")
+    return rounded(bounded(spark, sf_dir, "bits8").withColumnRenamed("d0", "lb"), "lb")
 
 
 @query(f"SELECT qid, vec_id, round(CASE WHEN lb > 1.2 + 1e-6 THEN lb ELSE d END, 6) AS d, lb > 1.2 + 1e-6 AS pruned FROM ({_bits_sql(8)}) JOIN ({s.all_pairs('fp16_fpma', where='q.vec_id % 50 = 0')}) USING (qid, vec_id)")
 def bit_level_prune(spark, sf_dir):
     """The bound itself where it exceeds the threshold, else the distance."""
-    lb, reach = bounds.lower_bound_bits(F.col("half"), F.col("allowed")), 1.2 + 1e-6
-    p = bit_pairs(spark, sf_dir, 8).withColumn("lb", lb).withColumn("pruned", F.col("lb") > reach)
-    return rounded(p.select("qid", "vec_id", F.when(F.col("pruned"), F.col("lb")).otherwise(distance("fp16_fpma", F.col("query"), F.col("embedding"))).alias("d"), "pruned"), "d")
+    p = bounded(spark, sf_dir, "bits8", "fp16_fpma").withColumn("pruned", F.col("d0") > 1.2 + 1e-6)
+    return rounded(p.select("qid", "vec_id", F.when(F.col("pruned"), F.col("d0")).otherwise(F.col("d1")).alias("d"), "pruned"), "d")
 
 
 @query(
@@ -391,13 +402,13 @@ def bit_level_prune(spark, sf_dir):
 )
 def partial_distance_prune(spark, sf_dir):
     """Half the dimensions at 16 bits; rejected from the bound on."""
-    p = pairs_of(spark, sf_dir).select("qid", "vec_id", bounds.partial_distance(F.col("query"), F.col("embedding"), 32).alias("partial"))
+    p = bounded(spark, sf_dir, "first32").withColumnRenamed("d0", "partial")
     return p.select("qid", "vec_id", F.round("partial", 6).alias("partial"), (F.col("partial") >= 0.8).alias("rejected"))
 
 
 @query(f"SELECT qid, count(*) AS calls, sum((lb > 1.2)::INT)::BIGINT AS pruned, round(100.0 * sum((lb > 1.2)::INT) / count(*), 6) AS et_pct FROM ({_bits_sql(8)}) GROUP BY qid")
 def et_ratio(spark, sf_dir):
-    p = bit_pairs(spark, sf_dir, 8).select("qid", bounds.lower_bound_bits(F.col("half"), F.col("allowed")).alias("lb"))
+    p = bounded(spark, sf_dir, "bits8").withColumnRenamed("d0", "lb")
     return p.groupBy("qid").agg(F.count("*").alias("calls"), F.count_if(F.col("lb") > 1.2).alias("pruned"), F.round(100.0 * F.count_if(F.col("lb") > 1.2) / F.count("*"), 6).alias("et_pct"))
 
 
