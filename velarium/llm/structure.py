@@ -219,7 +219,9 @@ def _edited(symbols: DataFrame) -> DataFrame:
         if started:
             yield from done()
 
-    rows = symbols.select("conv", "place", "symbol").repartition("conv").sortWithinPartitions("conv", "place")
+    # Symbols are few bytes for the work they make: by number, Spark does not put them into fewer partitions.
+    parts = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = symbols.select("conv", "place", "symbol").repartition(parts, "conv").sortWithinPartitions("conv", "place")
     return rows.mapInArrow(repairs, StructType([symbols.schema["conv"], *EDITS.fields]))
 
 
