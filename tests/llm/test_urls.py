@@ -50,3 +50,13 @@ def test_the_plan_has_no_python_and_exchanges_hits_only(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "ExistingRDD", "Pandas"))
     assert "BroadcastHashJoin" in plan and "Union" in plan
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["_h", "_p", "_v", "_probe", "_row", "_probes", "_words", "own", "row", "probe", "c0"]
+    pages = spark.createDataFrame([(1, "http://x.com/en/1", *names), (2, "http://x.de/", *names)], ["page_id", "url", *names])
+    for rules in (urlfilter.RULES, []):
+        listed = urlfilter.rules_table(spark, rules) if rules else spark.createDataFrame([], "host string, path string, verdict string")
+        out = urlfilter.judge(pages, listed)
+        assert out.columns == ["page_id", "url", *names, "host", "path", "rule", "verdict"]
+        assert all([r[n] for n in names] == names for r in out.collect()) and out.count() == 2

@@ -19,7 +19,7 @@ rows and else joined by a shuffle of it and the passing probes.
 Defined cases: a null url or one without ``://`` has an empty host and path
 and no rule; only A-Z are lower-cased; a host keeps port and user; repeated
 rows are judged one by one; among rules of equal length the longer host wins;
-columns named like the results, or ``_row``, ``_probes``, ``_words``, are replaced; an
+columns named like the results are replaced, others pass; an
 empty table gives an empty result, and an empty list allows all.
 """
 
@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import carried, given_back
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_BLOCKS = 1 << 22
 MOST_BROADCAST = 100_000
@@ -85,11 +87,11 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
     """Add host, path, rule and verdict to every row of ``pages``."""
     listed = listed.where("host is not null and path is not null").dropDuplicates(["host", "path"])
     shape = listed.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths"), F.count("*").alias("n")).first()
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_row", "_probes", "_words")]
-    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    no_rule = [F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(carried(kept).alias("own"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    no_rule = [*given_back(kept, "own"), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")]
     if not shape["n"]:
-        return rows.select(*kept, "host", "path", *no_rule)
+        return rows.select(*no_rule)
     words, blocks = bloom(listed, shape["n"])
     labels = F.split("host", r"\.")
     endings = F.transform(
@@ -105,15 +107,13 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
 
     # Projections collapse, so the filter is evaluated as the subquery that it is and never becomes a column of a row.
     probed = rows.withColumn("_words", words).withColumn("_probes", F.filter(probes, passes)).drop("_words")
-    clear = probed.where(F.size("_probes") == 0).select(*kept, "host", "path", *no_rule)
-    hits = probed.where(F.size("_probes") > 0).withColumn("_row", F.monotonically_increasing_id())
-    hits = hits.select(*kept, "host", "path", "_row", F.explode("_probes").alias("_probe"))
+    clear = probed.where(F.size("_probes") == 0).select(*no_rule)
+    hits = probed.where(F.size("_probes") > 0).withColumn("row", F.monotonically_increasing_id())
+    hits = hits.select("own", "host", "path", "row", F.explode("_probes").alias("probe"))
     exact = listed.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("verdict").alias("_v"))
     exact = F.broadcast(exact) if shape["n"] <= MOST_BROADCAST else exact
-    met = hits.join(exact, (F.col("_probe.h") == F.col("_h")) & (F.col("_probe.p") == F.col("_p")), "left")
+    met = hits.join(exact, (F.col("probe.h") == F.col("_h")) & (F.col("probe.p") == F.col("_p")), "left")
     best = F.max(F.when(F.col("_h").isNotNull(), F.struct((F.length("_h") + F.length("_p")).alias("n"), F.length("_h").alias("m"), F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict"))))
     # A row's probes stay in its task, so partial aggregation leaves one row for each to exchange.
-    whole = F.first(F.struct(*[F.col(f"`{c}`") for c in kept], "host", "path"))
-    judged = met.groupBy("_row").agg(whole.alias("_r"), best.alias("_b"))
-    judged = judged.select(*[F.col("_r").getField(c).alias(c) for c in kept], "_r.host", "_r.path", F.col("_b.rule").alias("rule"), F.coalesce("_b.verdict", F.lit("allow")).alias("verdict"))
-    return clear.unionByName(judged)
+    judged = met.groupBy("row").agg(F.first(F.struct("own", "host", "path")).alias("r"), best.alias("b")).select("r.*", "b")
+    return clear.unionByName(judged.select(*given_back(kept, "own"), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict")))
