@@ -144,3 +144,12 @@ def test_running_sums_in_many_parts(spark, monkeypatch):
     got = {r["source"]: r["target"] for r in mixing.targets(totals).collect()}
     want = plain_targets({(f"s{i:04d}" if i else None): (i * 37) % 101 for i in range(400)})
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 * max(1, want[s]) for s in want)
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["key", "rate", "low", "edge", "_s", "_chosen", "_row", "_name", "_u", "_source", "own", "_copy", "need", "before"]
+    docs = frame(spark, [(i, "a b c", "s") for i in range(20)]).selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    out = mixing.mix(docs)
+    assert out.columns == [*[c for c in docs.columns if c not in mixing.RESULTS], *mixing.RESULTS]
+    assert all([r[n] for n in names] == names for r in out.collect()) and out.count() == 20
+    assert mixing.expanded(out, ["_copy", "doc_id"]).where("_copy = '_copy'").count() == 30

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import carried, cut, given_back, word_count
 
 #: The corpus contract's weights, in source order, and its share of all words.
 WEIGHTS = (3, 1, 2)
@@ -73,9 +73,9 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 
 
 def measured(documents: DataFrame, seed: int, columns: list[str]) -> DataFrame:
-    """The columns, and of each document _source, size, row (a number of its own), name (a hash of id and text) and u."""
+    """Of each document own (the columns), _source, size, row (a number of its own), name (a hash of id and text) and u."""
     name = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed)), F.coalesce(F.col("text"), F.lit(""))))
-    rows = documents.select(*columns, F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), name.alias("_name"), F.monotonically_increasing_id().alias("_row"))
+    rows = documents.select(carried(columns).alias("own"), F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), name.alias("_name"), F.monotonically_increasing_id().alias("_row"))
     # u is the middle of one of 2**52 intervals, so u and 1 - u are exact doubles and neither is 0.
     u = (F.conv(F.substring("_name", 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     return rows.withColumn("_u", u).withColumn("_name", F.unhex("_name"))
@@ -186,9 +186,10 @@ def mix(documents: DataFrame, seed: int = 11, columns: list[str] | None = None)
     d = d.withColumn("key", _key(F.col("rate")))
     more = (F.coalesce(F.col("key").isNotNull() & _ahead(), F.lit(False)) | F.col("_chosen").isNotNull()) & (F.col("copies") < MOST)
     d = d.withColumn("copies", F.col("copies") + more.cast("int"))
-    return d.withColumn("taken", F.col("copies") * F.col("size")).select(*kept, *RESULTS)
+    return d.withColumn("taken", F.col("copies") * F.col("size")).select(*given_back(kept, "own"), *RESULTS)
 
 
 def expanded(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each copy."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*columns)
+    copies = mixed.where("copies > 0").select(carried(columns).alias("own"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return copies.select(*given_back(columns, "own"))
