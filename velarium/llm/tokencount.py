@@ -1,20 +1,29 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A piece of the vocabulary holds its word mark (a space) only at its front, so
-where a space follows something else no merge can join the two sides: that
-boundary is stable whatever surrounds it, which ``stable_marks`` proves for
-the loaded vocabulary before it is relied on.
-
-Ordinary documents are cut at those boundaries, and each distinct segment is
-encoded by the library once per worker.  Documents longer than ``HUGE``
-characters are encoded in chunks that overlap; a chunk is spliced to the one
-before at the first stable boundary inside the overlap at which both have a
-token edge and from which both agree to the overlap's end.  When there is
-none the overlap is widened, at last to the whole rest.
-
-Defined cases: null and empty texts have 0 tokens; a text with U+2581 itself
-(the word mark) is encoded as a whole by the library; columns named like the
-results are replaced.
+A document longer than ``HUGE`` characters is encoded in chunks that overlap,
+with the place of each token, and two chunks are spliced at a token that both
+have in the overlap, at the same place.  Such a token is a proven boundary,
+whatever the vocabulary, if pieces come from merges in a fixed order of
+priority (BPE).  A run of tokens is the encoding of its text if and only if
+each two neighbours are that of theirs: as long as no merge has crossed a
+boundary, what lies between two boundaries evolves as it does alone, so the
+first merge to cross one would cross it in the text of the two neighbours as
+well.  Up to the common token all neighbours are neighbours in the old chunk,
+from it on in the new one, so all neighbours of the spliced run are right, and
+with them the run.  The first token of a chunk does not count, since the
+library puts a mark in front of it.  If the chunks have no token in common, the
+overlap is widened; at last the new chunk begins at the text's start and takes
+the old one's place.  Other kinds of vocabulary, and normalisers that change
+texts, have no such proof: their documents go to the library whole.
+
+Ordinary documents are cut where a space follows something else, and each
+distinct segment is encoded by the library once per worker; ``stable_marks``
+proves for the loaded vocabulary that this changes nothing, and where it does
+not hold such documents go to the library whole.
+
+Defined cases: null and empty texts have 0 tokens; ordinary texts with U+2581
+itself (the word mark) are encoded whole; columns named like the results are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, SPACE = "▁", 32
+MARK = "▁"
 #: In characters, bytes and bytes.
 HUGE, CHUNK, OVERLAP = 16_000, 8_000, 400
 #: Entries of a worker's memo; longer segments than LONGEST are not kept.
@@ -39,7 +48,7 @@ class Counter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.memo: dict[str, int] = {}
-        self.stable = self.stable_marks()
+        self.stable, self.spliced, self.widened = self.stable_marks(), self.merges_by_rank(), 0
 
     def stable_marks(self) -> bool:
         """Whether no piece has the mark behind another character, and texts reach the model as they are."""
@@ -49,63 +58,56 @@ class Counter:
         plain = "".join(p.surface for p in self.model.encode(probe, return_type="proto").pieces) == probe
         return not inner and plain and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
 
-    def _chunk(self, data: bytes, start: int, stop: int) -> list[tuple[int, int]]:
-        """Byte positions (start, end) of the tokens of data[start:stop]; start is 0 or stands at a space."""
-        at = start + 1 if start else 0  # the library puts a mark in front: the space there is that mark
-        spans = [(p.begin + at, p.end + at) for p in self.model.encode(data[at:stop].decode(), return_type="proto").pieces]
-        if start and spans:
-            spans[0] = (start, spans[0][1])
-        return spans
+    def merges_by_rank(self) -> bool:
+        """Whether the vocabulary is a BPE one that takes texts as they are, all of it open to merges: what the proof of the splices needs."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto()
+        model.ParseFromString(self.model.serialized_model_proto())
+        spec = model.normalizer_spec
+        fixed = any(p.type in (p.USER_DEFINED, p.UNUSED) for p in model.pieces)
+        return model.trainer_spec.model_type == model.trainer_spec.BPE and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and not fixed
+
+    def _chunk(self, data: bytes, start: int, stop: int) -> list[tuple[int, int, int]]:
+        """Begin, end (in bytes of the text) and id of the tokens of data[start:stop]."""
+        return [(p.begin + start, p.end + start, p.id) for p in self.model.encode(data[start:stop].decode(), return_type="proto").pieces]
 
     def huge(self, text: str) -> int:
         """Tokens of a huge text, by splicing chunks."""
         data = text.encode()
         end, count = _whole(data, CHUNK), 0
-        spans = self._chunk(data, 0, end)
+        tokens = self._chunk(data, 0, end)
         while end < len(data):
-            overlap, joined = OVERLAP, None
-            while joined is None:
-                at = max(end - overlap, 0)
-                start = self._boundary(data, at, end)
-                if start is not None:
-                    stop = _whole(data, end + CHUNK)
-                    new = self._chunk(data, start, stop)
-                    joined = self._splice(data, spans, new, end)
-                if joined is None:
-                    if at == 0:  # no boundary anywhere: the text goes to the library as one
-                        return len(self.model.encode(text))
-                    overlap *= 4
-            keep, take = joined
-            count += keep
-            spans, end = new[take:], stop
-        return count + len(spans)
-
-    @staticmethod
-    def _boundary(data: bytes, at: int, end: int) -> int | None:
-        """The first single space with something else on both sides, in data[at:end]."""
-        i = data.find(b" ", max(at, 1), end)
-        while i != -1:
-            if data[i - 1] != SPACE and i + 1 < len(data) and data[i + 1] != SPACE:
-                return i
-            i = data.find(b" ", i + 1, end)
-        return None
-
-    @staticmethod
-    def _splice(data: bytes, old: list[tuple[int, int]], new: list[tuple[int, int]], end: int) -> tuple[int, int] | None:
-        """Tokens kept of the old chunk and dropped of the new one, at a stable edge of both; None if they don't agree.
-
-        Tokens next to the old chunk's end may change with what follows, so
-        agreement is asked for up to the last stable edge before it.
+            overlap, stop = OVERLAP, _whole(data, end + CHUNK)
+            while True:
+                start = _whole(data, max(end - overlap, 0))
+                new = self._chunk(data, start, stop)
+                if start == 0:  # nothing to splice: this is the encoding of all up to here
+                    count, tokens = 0, new
+                    break
+                joined = self._splice(tokens, new)
+                if joined is not None:
+                    count += joined[0]
+                    tokens = new[joined[1] :]
+                    break
+                overlap *= 4
+                self.widened += 1
+            end = stop
+        return count + len(tokens)
+
+    def _splice(self, old: list[tuple[int, int, int]], new: list[tuple[int, int, int]]) -> tuple[int, int] | None:
+        """Tokens kept of the old chunk and dropped of the new one: up to and with the last token that both have; None without one.
+
+        Tokens of unknown characters, and the bytes of one, are no pieces that
+        merges made: they are passed over.
         """
-        edges = {s: n for n, (s, _) in enumerate(old)}
-        last = max((s for s, _ in new if s in edges and s < end and data[s] == SPACE and data[s - 1] != SPACE), default=None)
-        for n, (s, _) in enumerate(new):
-            if last is None or s > last:
+        places = {t: n for n, t in enumerate(new) if n}
+        for n in range(len(old) - 1, -1, -1):
+            t = old[n]
+            if t[0] < new[0][0]:
                 return None
-            if s in edges and s > 0 and data[s] == SPACE and data[s - 1] != SPACE:
-                m, k = edges[s], next(i for i, (b, _) in enumerate(new) if b == last)
-                if old[m : edges[last]] == new[n:k]:
-                    return edges[last], k
+            if t in places and t[1] > t[0] and not self.model.is_unknown(t[2]) and not self.model.is_byte(t[2]):
+                return n + 1, places[t] + 1
         return None
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -114,12 +116,12 @@ class Counter:
         for i, t in enumerate(texts):
             if not t:
                 split.append([])
+            elif len(t) > HUGE and self.spliced:
+                split.append(None)
+                out[i] = self.huge(t)
             elif not self.stable or MARK in t:
                 split.append(None)
                 out[i] = len(self.model.encode(t))
-            elif len(t) > HUGE:
-                split.append(None)
-                out[i] = self.huge(t)
             else:
                 split.append(segments(t))
         new = set().union(*(s for s in split if s)).difference(self.memo)
