@@ -103,3 +103,36 @@ def test_query_columns(spark, sf_dir):
         raw = texts[r["doc_id"]].encode()
         assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "bytes"
     assert out.select(F.max("shard")).first()[0] == 15
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["_hi", "_lo", "_at", "_row", "_to", "own", "row_id"]
+    rows = spark.createDataFrame([(i % 3, "t") for i in range(50)], "doc_id long, text string").selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    out = sharding.shard(rows)  # equal rows: they are numbered
+    assert out.columns == ["doc_id", "text", *names, "size", "shard", "slot"]
+    assert all([r[n] for n in names] == names for r in out.collect()) and out.count() == 50
+
+
+def test_groups_stay_whole_where_half_a_percent_allows(spark):
+    # 3,000 texts of 4 copies: a group is 0.5 % of a shard.
+    rows = [(i, f"text {i % 3000:04d}") for i in range(12_000)]
+    got = sharding.shard(frame(spark, rows)).collect()
+    check(got, rows, 40)
+    where = {}
+    for r in got:
+        where.setdefault(r["text"], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in where.values())
+    load = loads(got)
+    assert max(load) - min(load) <= 0.02 * sum(load) / 16
+
+
+def test_ranges_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE", 10)
+    monkeypatch.setattr(sharding, "RANGES", 64)
+    rows = [(i, f"row {i}") for i in range(3000)]
+    narrow = sharding.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id")
+    edges, per_shard, _ = sharding.splitters(narrow, 16)
+    assert len(edges) == 63 and per_shard == 4
+    got = sharding.shard(frame(spark, rows))
+    assert got.rdd.getNumPartitions() == 64
+    check(got.collect(), rows, 13)

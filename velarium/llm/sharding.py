@@ -1,15 +1,16 @@
 """Sharding by histogram sort: equal bytes in each shard, one exchange.
 
 Rows are ordered by a 128-bit key, a hash of the text and then one of the id:
-equal texts are neighbours and stay in one shard unless they alone outweigh
-the tolerance.  The splitters come from counting, not sampling: each round
+equal texts are neighbours.  A splitter moves by up to ``SNAP`` (0.5 %) of a
+shard to leave equal texts together; only a group larger than that may be cut,
+where equal sizes need it.  The splitters come from counting, not sampling: each round
 sums the exact bytes below candidate key boundaries over all partitions and
 narrows the interval of every splitter that is not settled by a factor of 64,
 until each shard boundary lies within ``tolerance`` of its share (or a single
 row is left).  A round reads a narrow table of keys and sizes.
 
-A shard is cut into ranges of about ``RANGE`` bytes, so that neither a shard
-nor its numbering needs one task: the rows are exchanged once, straight to
+A shard is cut into ranges of about ``RANGE`` bytes (or more, from ``RANGES``
+ranges on), so that neither a shard nor its numbering needs one task: the rows are exchanged once, straight to
 their range, and a row's slot is the rows of its shard's earlier ranges plus
 its place in its own.  The driver holds a few numbers for each range; nearly
 all ranges are settled by the first round's histogram.
@@ -20,8 +21,7 @@ number of their own, which becomes the key's third part.
 
 Defined cases: null texts are as good as empty and weigh one byte; equal rows
 and rows without an id are split like any others; an empty table gives no
-rows; columns named like the results, or ``_hi``, ``_lo``, ``_at``, ``_row``,
-``_to``, are replaced.
+rows; columns named like the results are replaced, others pass.
 """
 
 from __future__ import annotations
@@ -31,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import carried, cut, given_back
 
 SHARDS = 16
-#: Bytes of a range; bits of the first histogram at least, its intervals for each range, and bits of a later round.
-RANGE, FIRST_BITS, FINENESS, MORE_BITS = 128 << 20, 12, 4, 6
+#: Bytes of a range, and ranges at most: beyond, ranges grow, so that neither the driver's histogram nor the exchange's blocks do.
+RANGE, RANGES = 128 << 20, 32_768
+#: Bits of the first histogram at least, its intervals for each range, and bits of a later round.
+FIRST_BITS, FINENESS, MORE_BITS = 12, 4, 6
+#: Bits of the key that equal texts share, and the part of a shard by which a splitter may move to leave them together.
+TEXT_BITS, SNAP = 64, 0.005
 LOW, HIGH = -(2**63), 2**63 - 1
 KEY = ("_hi", "_lo", "_at")
-OWN = (*KEY, "_row", "_to", "size", "shard", "slot")
+RESULTS = ("size", "shard", "slot")
 
 Key = tuple[int, int, int]
 
@@ -92,7 +96,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, numbered:
         return source.groupBy(*names).agg(F.sum("size").alias("n"), F.count("*").alias("rows")).toArrow()
 
     total = rows.agg(F.sum("size")).first()[0] or 0
-    per_shard = max(1, -(-total // (shards * RANGE)))
+    per_shard = max(1, min(-(-total // (shards * RANGE)), RANGES // shards))
     parts, most = shards * per_shard, 192 if numbered else 128
     bits = max(FIRST_BITS, (FINENESS * parts - 1).bit_length())
     first = counted(rows, bits).sort_by("p0")  # one row an interval: the driver's share of a range
@@ -103,6 +107,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, numbered:
     want = total * np.arange(1, parts) / parts
     is_shard = np.arange(1, parts) % per_shard == 0
     slack = np.where(is_shard, tolerance * total / shards, 0.5 * total / parts)
+    snap = np.maximum(slack, SNAP * total / shards)
     at = np.minimum(np.searchsorted(upto, want, "right"), len(n) - 1)
     below = upto[at] - n[at]
     before, behind = want - below <= slack, upto[at] - want <= slack
@@ -119,7 +124,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, numbered:
     stuck = False
     while open_:
         held, old = sorted({p for _, p in open_.values()}), bits
-        bits = min(bits + MORE_BITS, most)
+        bits = min(bits + MORE_BITS, most if bits >= TEXT_BITS else TEXT_BITS)
         # One row for each open splitter at most; nothing of the rows themselves.
         names = rows.sparkSession.createDataFrame(held, "h0 long, h1 long, h2 long")
         same = [c == F.col(f"h{n}") for n, c in enumerate(_prefix(old))]
@@ -128,7 +133,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, numbered:
             p = (r["p0"], r["p1"], r["p2"])
             groups.setdefault(_outer(p, bits, old), []).append((p, r["n"], r["rows"]))
         for j, (low, p) in list(open_.items()):
-            goal, free = float(want[j - 1]), float(slack[j - 1])
+            goal, free = float(want[j - 1]), float((snap if bits == TEXT_BITS else slack)[j - 1])
             for p, size, count in sorted(groups[p]):  # noqa: B020
                 if low + size > goal:
                     break
@@ -185,13 +190,15 @@ def _range_of(edges: list[Key], bases: list[int] | None = None):
 
 def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """All rows and columns of ``df``, exchanged to their ranges and sorted there, with size, shard and slot."""
-    kept = [c for c in df.columns if c not in OWN]
-    df = df.select(*kept)
-    narrow = cut(keyed(df, text, row_id).select(*KEY, "size"))
+    kept = [c for c in df.columns if c not in RESULTS]
+    read = lambda d, *more: d.select(carried(kept).alias("own"), F.col(text).alias("text"), F.col(row_id).alias("row_id"), *more)
+    rows = read(df)
+    narrow = cut(keyed(rows, "text", "row_id").select(*KEY, "size"))
     edges, per_shard, stuck = splitters(narrow, shards)
     if stuck:
-        df = cut(df.withColumn("_row", F.monotonically_increasing_id()))
-        narrow = cut(keyed(df, text, row_id).select(*KEY, "size"))
+        number = "_" * (1 + max(map(len, df.columns))) + "row"
+        rows = read(cut(df.withColumn(number, F.monotonically_increasing_id())), F.col(number).alias("_row"))
+        narrow = cut(keyed(rows, "text", "row_id").select(*KEY, "size"))
         edges, per_shard, _ = splitters(narrow, shards, numbered=True)
     counts = {r["p"]: r["n"] for r in narrow.groupBy(_range_of(edges)["part"].alias("p")).agg(F.count("*").alias("n")).collect()}
     bases, base = [], 0
@@ -199,7 +206,7 @@ def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", row_id: str =
         base = 0 if p % per_shard == 0 else base
         bases.append(base)
         base += counts.get(p, 0)
-    rows = keyed(df, text, row_id).withColumn("_to", _range_of(edges, bases))
-    rows = rows.repartitionById(len(edges) + 1, F.col("_to.part")).sortWithinPartitions(*KEY, row_id)
+    rows = keyed(rows, "text", "row_id").withColumn("_to", _range_of(edges, bases)).drop("text")
+    rows = rows.repartitionById(len(edges) + 1, F.col("_to.part")).sortWithinPartitions(*KEY, "row_id")
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return rows.withColumn("slot", place + F.col("_to.base")).select(*kept, "size", F.floor(F.col("_to.part") / per_shard).cast("int").alias("shard"), "slot")
+    return rows.withColumn("slot", place + F.col("_to.base")).select(*given_back(kept, "own"), "size", F.floor(F.col("_to.part") / per_shard).cast("int").alias("shard"), "slot")
