@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import qualified, small_batches
 from .wordbpe import encoder, runs
 
-#: Bytes of text that a part holds, and parts whose sums one task adds up.
-PART, GROUP = 24 << 20, 1024
+#: Bytes of text that a part holds, parts at most (beyond, parts grow), and parts whose sums one task adds up.
+PART, PARTS, GROUP = 24 << 20, 20_000, 1024
 KINDS = ("ids", "offsets", "docs")
 
 
@@ -91,7 +91,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "
     folder = qualified(spark, folder)
     rows = df.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    ordered = rows.repartitionByRange(max(8, -(-total // PART)), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = rows.repartitionByRange(max(8, min(PARTS, -(-total // PART))), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     made = ordered.mapInArrow(_writer(folder, tokenizer, end_id), "part int, n_docs long, n_null long, n_tokens long, width int")
     with small_batches(spark):
         made.write.parquet(f"{folder}/parts")
