@@ -99,3 +99,21 @@ def test_stored_media_and_tensors(docs, none):  # noqa: F811
         assert np.array_equal(back[: len(mel)], mel.astype(np.float16)) and not back[len(mel) :].any()
         assert t.column("start_s").to_pylist() == sorted(t.column("start_s").to_pylist())
     assert media.audio_features(media.store_media(none)).count() == 0
+
+
+def test_any_number_of_frames_gives_the_same_bits():
+    x = np.random.default_rng(3).integers(0, 256, 57_600).astype(np.uint8)
+    whole = media.resample(x, 0, 14_400)
+    spectra = np.random.default_rng(5).random((300, media.FFT // 2 + 1))
+    for count in (1, 2, 3, 5, 8, 17, 64, 299):
+        assert np.array_equal(media.resample(x, 40, count), whole[120 : 120 + 3 * count])
+        assert np.array_equal(media.in_bands(spectra[:count]), media.in_bands(spectra)[:count])
+    assert np.allclose(media.in_bands(spectra), spectra @ media.BANK)
+
+
+def test_columns_with_the_names_used_inside(docs):  # noqa: F811
+    names = ["_w", "_d", "own", "made", "found", "c0"]
+    clashing = docs.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    out = media.audio_features(media.store_media(clashing))
+    assert out.columns == [*docs.columns, *names, "n_bytes", *media.FEATURES]
+    assert all([r[n] for n in names] == names for r in out.collect())

@@ -9,10 +9,12 @@ tensors (32 frames x 24 bands, half precision; the last one is padded with
 zeros) with the time span and voicing of each and the voiced spans, as one
 Arrow IPC stream a row, and what a query reports of them is read from there.
 
-Arithmetic is in double precision and only what is stored is rounded, so equal
-payloads give equal tensors.  Long payloads are worked through in runs of
-frames: memory does not grow with a document beyond its bytes and its
-features.
+Equal payloads give equal tensors, whatever runs they are worked through in:
+no sum depends on how many rows a call has.  Resampler taps are multiples of
+2**-44 and samples are bytes, and powers and band weights are split into whole
+numbers of few bits, so a double holds every sum exactly and the order in which
+a processor adds does not matter.  Long payloads are worked through in runs of
+frames: memory does not grow with a document beyond its bytes and its features.
 
 Defined cases: null and empty texts have the least payload (one unit of 255s);
 equal texts give equal values; columns named like the results are replaced,
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import carried, cut, given_back
 
 UNIT, FILL = 576, b"\xff"
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 16
@@ -90,7 +92,9 @@ def _filterbank() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down))
 
 
-RESAMPLER, BANK, TAPER = _resampler(), _filterbank(), np.hanning(WINDOW)
+#: Steps of the taps: 16 of them, times bytes, add up to less than 2**53 steps.
+TAP = float(1 << 44)
+RESAMPLER, BANK, TAPER = np.rint(_resampler() * TAP), _filterbank(), np.hanning(WINDOW)
 
 
 def resample(x: np.ndarray, start: int, count: int) -> np.ndarray:
@@ -99,9 +103,29 @@ def resample(x: np.ndarray, start: int, count: int) -> np.ndarray:
     part = np.zeros(hi - lo)
     a, b = max(lo, 0), min(hi, len(x))
     if b > a:
-        part[a - lo : b - lo] = (x[a:b].astype(np.float64) - 128) / 128
+        part[a - lo : b - lo] = x[a:b].astype(np.float64) - 128
     rows = part.reshape(-1, DOWN)
-    return (np.hstack([rows[i : i + count] for i in range(5)]) @ RESAMPLER).reshape(-1)
+    return (np.hstack([rows[i : i + count] for i in range(5)]) @ RESAMPLER).reshape(-1) / (128 * TAP)
+
+
+def _parts(x: np.ndarray, steps: tuple[float, float]) -> list[np.ndarray]:
+    """x as whole numbers of two steps, the second one for what the first leaves."""
+    first = np.rint(x * steps[0])
+    return [first, np.rint((x - first / steps[0]) * steps[1])]
+
+
+#: Steps of powers (25 bits above the first, 25 below) and of weights; no product's sum needs more than 53 bits.
+POWERS, WEIGHTS = (2.0**9, 2.0**34), (2.0**18, 2.0**36)
+_BANKS = _parts(BANK, WEIGHTS)
+
+
+def in_bands(power: np.ndarray) -> np.ndarray:
+    """power @ BANK, from four products of whole numbers, which are exact in any order of adding."""
+    out = np.zeros((len(power), MELS))
+    for p, x in zip(_parts(power, POWERS), POWERS, strict=True):
+        for w, y in zip(_BANKS, WEIGHTS, strict=True):
+            out += p @ w / (x * y)
+    return out
 
 
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +138,7 @@ def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y = resample(x, f * HOP // UP, (g - f) * HOP // UP + (WINDOW - HOP) // UP)
         windows = np.lib.stride_tricks.sliding_window_view(y, WINDOW)[::HOP][: g - f]
         spectrum = np.fft.rfft(windows * TAPER, FFT, axis=1)
-        power = spectrum.real**2 + spectrum.imag**2
-        out[f:g] = np.log(power @ BANK + 1e-6)
+        out[f:g] = np.log(in_bands(spectrum.real**2 + spectrum.imag**2) + 1e-6)
         energy[f:g] = 10 * np.log10(np.square(windows).mean(axis=1) + 1e-9)
     return out, energy
 
@@ -193,16 +216,16 @@ def _described(media: Column) -> Column:
 def store_media(df: DataFrame, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """The table of media, written and read back: ``columns`` (all) with n_bytes and media, a WAV file a row."""
     kept = [c for c in columns or df.columns if c not in STORED]
-    return cut(df.select(*kept, _media(F.col(text)).alias("_w")).select(*kept, "_w.n_bytes", "_w.media"), "zstd")
+    return cut(df.select(carried(kept).alias("own"), _media(F.col(text)).alias("made")).select(*given_back(kept, "own"), "made.n_bytes", "made.media"), "zstd")
 
 
 def audio_features(stored: DataFrame) -> DataFrame:
     """The table of features of a table of media, written and read back: its columns but media, with those of FEATURES."""
     kept = [c for c in stored.columns if c not in (*FEATURES, "media")]
     digests = F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")
-    made = stored.select(*kept, *digests, _described(F.col("media")).alias("_d"))
+    made = stored.select(carried(kept).alias("own"), *digests, _described(F.col("media")).alias("found"))
     names = [DESCRIBED.field(i).name for i in range(DESCRIBED.num_fields)]
-    back = cut(made.select(*kept, "media_bytes", "media_sha256", *[F.col("_d").getField(c).alias(c) for c in names]), "zstd")
+    back = cut(made.select("own", "media_bytes", "media_sha256", *[F.col("found").getField(c).alias(c) for c in names]), "zstd")
     blocks = F.ceil(F.col("frames") / FRAMES)
     feature = F.concat(F.lit("frames="), "frames", F.lit(f";mels={MELS};tensors="), blocks, F.lit(";segments="), "segments", F.lit(";sha256="), F.sha2("tensors", 256))
-    return back.withColumn("feature", feature).select(*kept, *FEATURES)
+    return back.withColumn("feature", feature).select(*given_back(kept, "own"), *FEATURES)
