@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from velarium.operators import clustering, partition, radius, sampling, search
+from velarium.operators import clustering, graph, partition, radius, sampling, search
 
 VECTORS = "vec_id long, embedding array<double>"
 
@@ -161,3 +161,21 @@ def test_partition_without_edges(spark):
     rows = partition.partition(nodes, none, 3).collect()
     assert sorted(np.bincount([r["part"] for r in rows])) == [2, 4, 4] and {r["cut"] for r in rows} == {0}
     assert partition.partition(nodes.limit(0), none, 3).count() == 0
+
+
+def test_parts_split_as_an_index_grows(spark):
+    v = groups(4, 80, seed=8)
+    base = table(spark, v)
+    index = graph.build(base.where("vec_id < 60"), 6, 24, rows=40)
+    before = index.parts
+    index = graph.delete(index, base.where("vec_id < 10").select("vec_id"))
+    index = graph.insert(index, base.where("vec_id >= 60"), size=30)
+    sizes = [r["count"] for r in index.state.groupBy("part").count().collect()]
+    assert index.parts > before and len(sizes) <= index.parts and max(sizes) <= 60 and sum(sizes) == len(v)
+    assert {r["id"] for r in index.state.where("deleted").collect()} == set(range(10))
+    faults = graph.census(index).first().asDict()
+    assert faults.pop("nodes") == len(v) and not any(faults.values())
+    hits = graph.search(index, search.as_queries(base.where("vec_id % 9 = 0")), 5)
+    truth = search.knn(base.where("vec_id >= 10"), search.as_queries(base.where("vec_id % 9 = 0")), 5)
+    assert search.recall(hits, truth, 5).first()[0] >= 0.95
+    assert graph.rebalanced(index, 30).first == index.first

@@ -311,7 +311,8 @@ def test_text_inputs(spark, tmp_path):
     assert [tuple(r) for r in logs] == [(10, 0.5, 1234.5, 0.91)]
     text.write_metadata(spark, {"rows": 6, "dimension": 3}, f"file://{tmp_path}/meta")
     assert text.read_metadata(spark, f"file://{tmp_path}/meta") == {"rows": "6", "dimension": "3"}
-    assert text.markdown(logs and spark.createDataFrame([(1, None)], "a int, b int")) == "| a | b |\n| --- | --- |\n| 1 |  |"
+    lines = text.markdown(spark.createDataFrame([(i, None if i else "x | y\nz") for i in range(500)], "a int, b string"), ["a"]).orderBy("line").collect()
+    assert [r["value"] for r in lines[:4]] == ["| a | b |", "| --- | --- |", "| 0 | x \\| y z |", "| 1 |  |"] and len(lines) == 502
     kept, dropped = text.capped(spark.range(10), ["id"], 4)
     assert kept.count() == 4 and dropped.first()[0] == 6
 

@@ -36,9 +36,12 @@ def placed_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """
     order = [*keys, value]
     counts = df.where(F.col(value).isNotNull()).groupBy(*order).agg(F.count("*").alias("n"))
-    counts = cut(counts)
-    parts = -(-counts.count() // RUN)
-    dealt = cut(counts.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())) if parts > 1 else counts.withColumn("_part", F.lit(0))
+    distinct = counts.count()
+    if distinct <= RUN:  # one task orders them all: no table is written, and a group is a window
+        group = Window.partitionBy(*keys)
+        upto = F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        return counts.select(*order, "n", upto.alias("upto"), F.sum("n").over(group).alias("total"))
+    dealt = cut(cut(counts).repartitionByRange(-(-distinct // RUN), *order).withColumn("_part", F.spark_partition_id()))
     inside = F.sum("n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     sums = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))  # a row for RUN values, or for a group
     group = Window.partitionBy(*keys)

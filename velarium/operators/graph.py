@@ -3,8 +3,8 @@
 An index is one table, a row a node, dealt into parts: the cells of a few
 centroids, large cells cut further by a hash of the id.  Every part is a
 layered graph of its own (:mod:`hnsw`) that one task builds, updates or
-searches; the number of parts follows from the rows, so a task's share does
-not grow with the table.  A query meets the parts of its nearest cells, and
+searches; the number of parts follows from the rows, also as rows are inserted,
+so a task's share does not grow with the table.  A query meets the parts of its nearest cells, and
 their answers are merged.
 """
 
@@ -152,6 +152,40 @@ def inspect(spark: SparkSession, folder: str) -> DataFrame:
 # Updates
 
 
+def rebalanced(index: Index, rows: int = PART) -> Index:
+    """The index with more parts for cells whose parts have grown to over twice ``rows`` on average; those cells are built anew.
+
+    Parts are numbered cell by cell, so the others only move up.
+    """
+    first = F.array(*[F.lit(n) for n in index.first])
+    cell = F.size(F.filter(first, lambda n: n <= F.col("part"))) - 1
+    sizes = {r["cell"]: r["count"] for r in index.state.groupBy(cell.alias("cell")).count().collect()}  # at most CELLS rows
+    old = [b - a for a, b in zip(index.first, index.first[1:], strict=False)]
+    new = [-(-sizes.get(c, 0) // rows) if sizes.get(c, 0) > 2 * rows * n else n for c, n in enumerate(old)]
+    if new == old:
+        return index
+    begin = [0]
+    for n in new:
+        begin.append(begin[-1] + n)
+    grown = [c for c, (a, b) in enumerate(zip(old, new, strict=True)) if a != b]
+    state = cut(index.state.withColumn("_cell", cell))
+    shift = F.get(F.array(*[F.lit(b - a) for a, b in zip(index.first, begin, strict=True)]), F.col("_cell"))
+    kept = state.where(~F.col("_cell").isin(grown)).withColumn("part", (F.col("part") + shift).cast("int")).select(*index.state.columns)
+    m, ef = index.m, index.ef
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        part = hnsw.Part(len(table.column("embedding")[0]), m, ef)
+        for id_, v, level in zip(*(table.column(c).to_pylist() for c in ("id", "embedding", "level")), strict=True):
+            part.insert(id_, np.array(v, np.float64), level)
+        gone = {i for i, d in zip(table.column("id").to_pylist(), table.column("deleted").to_pylist(), strict=True) if d}
+        part.deleted = {s for s, i in enumerate(part.ids) if i in gone}
+        return _table(table.column("part")[0].as_py(), part)
+
+    again = state.where(F.col("_cell").isin(grown)).select(_part_of(tuple(begin), F.col("_cell"), F.col("id")).alias("part"), "id", "embedding", "level", "deleted")
+    return replace(index, state=cut(kept.unionByName(again.groupBy("part").applyInArrow(run, STATE))), first=tuple(begin))
+
+
 def _reworked(index: Index, changes: DataFrame, work: Callable[[hnsw.Part, pa.Table], None]) -> Index:
     """The index with ``work`` done on the parts that ``changes`` (part, ...) name; other parts' rows pass by."""
     changes = cut(changes)
@@ -168,10 +202,12 @@ def _reworked(index: Index, changes: DataFrame, work: Callable[[hnsw.Part, pa.Ta
     return replace(index, state=cut(index.state.join(touched, "part", "left_anti").unionByName(redone)))
 
 
-def insert(index: Index, rows: DataFrame, reuse: bool = False) -> Index:
+def insert(index: Index, rows: DataFrame, reuse: bool = False, size: int = PART) -> Index:
     """Add vectors (vec_id, embedding) and move the ids that are there, relinking what they leave and join.
 
     ``reuse``: new ids take over the slots of deleted ones in their part first.
+    Cells whose parts outgrow ``size`` are given more (:func:`rebalanced`), so
+    a task's share stays bounded however much is inserted.
     """
     rows = rows.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     cell = _nearest_cells(index.centers, 1)("embedding")[0]
@@ -184,7 +220,7 @@ def insert(index: Index, rows: DataFrame, reuse: bool = False) -> Index:
         for id_, v, level in zip(*(new.column(c).to_pylist() for c in ("vec_id", "embedding", "level")), strict=True):
             part.insert(id_, np.array(v, np.float64), level, reuse)
 
-    return _reworked(index, changes, work)
+    return rebalanced(_reworked(index, changes, work), size)
 
 
 def _marked(index: Index, ids: DataFrame, deleted: bool, problem: str) -> Index:

@@ -99,11 +99,16 @@ def command_counter_sink(spark, sf_dir):
     return back.select("channel", "command", "n")
 
 
-@query("SELECT 0 AS line, '| n_name | n_regionkey |' AS value UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT (row_number() OVER (ORDER BY n_name) + 1)::INTEGER, '| ' || n_name || ' | ' || n_regionkey || ' |' FROM nation")
+PARTS_SQL = "SELECT '| ' || p_partkey || ' | ' || p_name || ' | ' || p_size || ' |' AS value, row_number() OVER (ORDER BY p_name, p_partkey) + 1 AS line FROM part"
+
+
+@query(f"SELECT 0::BIGINT AS line, '| p_partkey | p_name | p_size |' AS value UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT line, value FROM ({PARTS_SQL})")
 def markdown_sink(spark, sf_dir):
-    """A small result as a Markdown table."""
-    lines = text.markdown(table(spark, sf_dir, "nation").select("n_name", "n_regionkey").orderBy("n_name")).split("\n")
-    return spark.createDataFrame(list(enumerate(lines)), "line int, value string")
+    """All parts as a Markdown table, written as text and read back in order."""
+    at = folder(spark)
+    text.write_markdown(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), ["p_name", "p_partkey"], at)
+    lines = spark.read.text(at).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    return sampling.positions(lines, ["file", "start", "n"], [], "line").select("line", "value")
 
 
 _EVERY = "SELECT vec_id AS id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sampling import positions
+
 
 def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
     """A headed table of declared types: missing columns, bad cells and empty tables are errors."""
@@ -75,8 +77,16 @@ def capped(df: DataFrame, order: list[str], most: int) -> tuple[DataFrame, DataF
     return df.orderBy(*order).limit(most), df.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("dropped"))
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
-    lines = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+def markdown(df: DataFrame, order: list[str]) -> DataFrame:
+    """line (from 0) and value: ``df`` as a Markdown table, its rows in ``order``, which are numbered in ranges."""
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    plain = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([|\\])", r"\\$1")
+    body = positions(df.select(*order, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(df.columns)]), order, [], "_n")
+    lines = body.select((F.col("_n") + 2).alias("line"), row([F.regexp_replace(plain(f"_c{i}"), r"\s*\R\s*", " ") for i in range(len(df.columns))]).alias("value"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "| " + " | ".join("---" for _ in df.columns) + " |")], "line long, value string")
+    return head.unionByName(lines)
+
+
+def write_markdown(df: DataFrame, order: list[str], path: str) -> None:
+    """The table as text files that follow each other by name."""
+    markdown(df, order).repartitionByRange("line").sortWithinPartitions("line").select("value").write.text(path)
