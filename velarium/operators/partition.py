@@ -49,7 +49,7 @@ def grown(nodes: DataFrame, edges: DataFrame, parts: int, starts: int, capacity:
         if taken.isEmpty():
             break
         state = cut(state.unionByName(taken))
-    left = nodes.join(state.sparkSession.range(starts).select(F.col("id").cast("int").alias("start")).hint("broadcast")).join(state, ["start", "node"], "left_anti")  # a row for each start
+    left = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start")).join(state, ["start", "node"], "left_anti")
     sizes = state.groupBy("start", "part").agg(F.count("*").alias("size"))
     free = sizes.where(F.col("size") < capacity).select("start", "part", F.explode(F.sequence(F.lit(1), (capacity - F.col("size")).cast("int"))).alias("n"))
     free = positions(cut(free), ["part", "n"], ["start"], "place")

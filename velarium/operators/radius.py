@@ -101,8 +101,10 @@ def within(base: DataFrame, queries: DataFrame, squared: float, cells: Cells | N
     cells = cells or Cells(base)
     radius = float(np.sqrt(max(squared, 0.0)))
     parts = max(1, -(-queries.count() // asked))
-    q = cells.met(queries, radius).withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
-    b = cells.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["part", "cell", "block", "dim"]
+    q = cut(cells.met(queries, radius).withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")))
+    # Only rows of cells that some query of the part meets are exchanged.
+    b = cells.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(q.select(*keys).distinct(), keys, "left_semi")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[], [], []]
@@ -126,5 +128,4 @@ def within(base: DataFrame, queries: DataFrame, squared: float, cells: Cells | N
         kinds = (np.int64, np.int64, np.float64)
         return pa.table({n: pa.array(np.concatenate(c) if c else np.empty(0, k)) for n, c, k in zip(("qid", "vec_id", "d"), found, kinds, strict=True)})
 
-    keys = ["part", "cell", "block", "dim"]
     return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, "qid long, vec_id long, d double")

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .analytics import percentile_of
+
 LG, K, ITEMS = 12, 800, 512
 #: Standard deviation of a distinct count, as a share of it; error of a quantile's rank.
 SPREAD, RANK = 1.04 / (1 << LG) ** 0.5, 0.01
@@ -27,14 +29,9 @@ def active(df: DataFrame, time: str, width: str, who: str) -> DataFrame:
 
 
 def over_epochs(counts: DataFrame, value: str, share: float = 0.95) -> DataFrame:
-    """One row: epochs, mean, and the nearest-rank percentile of ``value``, found among its distinct values.
-
-    Counts of an epoch are whole numbers: only as many rows as there are different ones are put in order.
-    """
-    n = counts.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    upto = F.aggregate(F.col("all"), F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("found")), lambda s, r: F.struct((s["seen"] + r["n"]).alias("seen"), F.when(s["found"].isNull() & (s["seen"] + r["n"] >= F.col("rank")), r["x"].cast("double")).otherwise(s["found"]).alias("found")))
-    whole = n.agg(F.sum("n").alias("epochs"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.sort_array(F.collect_list(F.struct("x", "n"))).alias("all"))
-    return whole.withColumn("rank", F.ceil(F.col("epochs") * share)).select("epochs", "mean", upto["found"].alias("percentile"))
+    """One row: epochs, mean, and the nearest-rank percentile of ``value``."""
+    at = percentile_of(counts.withColumn("_all", F.lit(0)), ["_all"], value, {"percentile": share}).select(F.col("percentile").cast("double").alias("percentile"))
+    return counts.agg(F.count(value).alias("epochs"), F.avg(value).alias("mean")).join(F.broadcast(at)).select("epochs", "mean", "percentile")  # one row each
 
 
 def sketched(df: DataFrame, time: str, width: str, who: str, value: str) -> DataFrame:

@@ -5,7 +5,8 @@ they go, in order of time and id, through a fold whose own state is a small
 value.  Event-time timers wake a key when its next row is due, or when what it
 has open expires.  What a fold gives therefore depends on the events alone and
 not on how they are cut into batches, as long as none is later than the
-watermark's delay (Spark drops those).
+watermark's delay (Spark drops those).  A key holds the rows of one delay, no
+more.
 """
 
 from __future__ import annotations
