@@ -38,7 +38,7 @@ from .common import carried, cut, given_back
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Percentages: documents that are transformed, and of those the ones with the suffix first.
 RATE, SPM = 50, 80
-COPIES = 4096
+COPIES = 1024
 #: Bytes of text that a partition should have, and the most partitions.
 SHARE, MOST = 256 << 20, 50_000
 #: Characters looked at once.
