@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from velarium.functions import kernels
 from velarium.functions import bounds as columns
-from velarium.operators import sampling, schedule, search, sketches, surface
+from velarium.operators import sampling, schedule, search, sketches, surface, thresholds
 from velarium.streaming import jobs, state
 
 MINUTE = 60_000_000
@@ -205,3 +205,24 @@ def test_strict_normalisation_names_the_lowest_row(spark):
             sampling.normalized(spark.createDataFrame([*rows, (17, bad), (150, bad)], "vec_id long, embedding array<double>").repartition(4))
         assert (e.value.lowest, e.value.bad) == (17, 2)
     assert sampling.normalized(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("k", "rows"), [(3, 1000), (3, 17), (10, 33), (30, 64)])
+def test_thresholds_as_they_are_refreshed(spark, k, rows):
+    rng = np.random.default_rng(k)
+    v = rng.normal(size=(230, 4))
+    v[200:] *= 0.01  # late rows that come near
+    table = [(1000 - 3 * i, x.tolist()) for i, x in enumerate(v)] + [(5, None), (8, [float("nan")] * 4)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [0.0] * 4), (2, v[3].tolist()), (3, None)], "qid long, query array<double>")
+    found = {(r["qid"], r["seen"]): r["threshold"] for r in thresholds.running(df, queries, k, rows=rows).collect()}
+    order = [x for _, x in sorted(table)]
+    refreshes = [n for n in range(1, len(order) + 1) if n >= k and (k <= 5 or (k <= 20 and n % 5 == 0) or (k > 20 and (n == k or n % 20 == 0)))]
+    want = {}
+    for qid, x in ((1, np.zeros(4)), (2, v[3])):
+        last = None
+        for n in refreshes:
+            d = sorted(((np.array(e) - x) ** 2).sum() for e in order[:n] if e is not None and np.isfinite(e).all())
+            if len(d) >= k and (last is None or d[k - 1] < last):
+                want[qid, n] = last = d[k - 1]
+    assert found.keys() == want.keys() and all(found[i] == pytest.approx(want[i]) for i in want)

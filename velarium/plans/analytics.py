@@ -277,9 +277,9 @@ def pair_invariants(spark, sf_dir):
     return out.where(~(F.col("same_supplier") & F.col("ordered")))
 
 
-@query(f"SELECT dataset, point, recall, qps FROM ({POINTS}) WHERE NOT (recall > 0.495 AND isfinite(qps) AND qps > 0)")
+@query(f"SELECT dataset, point, recall, qps FROM ({POINTS}) WHERE NOT (recall > 0.895 AND isfinite(qps) AND qps > 0)")
 def recall_gate(spark, sf_dir):
-    ok = (F.col("recall") > 0.495) & ~F.isnan("qps") & (F.col("qps") < float("inf")) & (F.col("qps") > 0)
+    ok = (F.col("recall") > 0.895) & ~F.isnan("qps") & (F.col("qps") < float("inf")) & (F.col("qps") > 0)
     return points(spark, sf_dir).where(~ok)
 
 

@@ -1,4 +1,4 @@
-"""Queries in Spark SQL alone, and the schedule search."""
+"""Queries in Spark SQL alone, the schedule search, and thresholds as they are refreshed."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import schedule, search, surface
+from ..operators import schedule, search, surface, thresholds
 from . import sqlnum as s
 from .vectors import EXACT, EVERY, K, asked, vectors
 
@@ -107,3 +107,14 @@ def step_schedule(spark, sf_dir):
     dims = base.agg(F.max(F.size("embedding"))).first()[0]
     b = schedule.best(schedule.costs(_depths(spark, sf_dir), dims))
     return b.select(F.array_join("steps", ",").alias("steps"), "fetches", F.round("padding", 6).alias("padding"), F.round("score", 3).alias("score"))
+
+
+@query(
+    f"WITH p AS MATERIALIZED (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY vec_id) AS n, d FROM ({s.all_pairs('fp32')})), r AS (SELECT range AS seen FROM range({K}, (SELECT count(*) + 1 FROM embeddings), 5)), "
+    f"t AS (SELECT qid, seen, list_sort(list(d))[{K}] AS threshold FROM p JOIN r ON n <= seen GROUP BY qid, seen) "
+    "SELECT qid, seen, round(threshold, 6) AS threshold FROM (SELECT *, lag(threshold) OVER (PARTITION BY qid ORDER BY seen) AS before FROM t) WHERE before IS NULL OR threshold < before"
+)
+def threshold_refresh(spark, sf_dir):
+    """Every change of each query's tenth-nearest distance, at the refreshes after 10, 15, 20, ... rows."""
+    base = vectors(spark, sf_dir)
+    return thresholds.running(base, asked(base), K).select("qid", "seen", (F.round(F.col("threshold") + 1e-12, 6) + 0.0).alias("threshold"))
