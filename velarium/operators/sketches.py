@@ -8,11 +8,16 @@ into one answer.  Merging is a grouped aggregation that combines before its
 exchange; a row is a few KB, however many events it stands for.
 
 Stated errors: distinct counts 1.04 / sqrt(2**LG) as standard deviation, ranks
-of quantiles RANK (over twice what it is 99 % of the time).
+of quantiles RANK (over twice what it is 99 % of the time).  Frequent items are
+listed with counts that are never too low; items are only listed if they stand
+out from the sketch's error, so a list is empty where nothing does, and then no
+item has more than the share UNLISTED of the rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ from .analytics import percentile_of
 LG, K, ITEMS = 12, 800, 512
 #: Standard deviation of a distinct count, as a share of it; error of a quantile's rank.
 SPREAD, RANK = 1.04 / (1 << LG) ** 0.5, 0.01
+#: A count's error is at most 3.5 rows for each place of the sketch's table; an item that is not listed has at most twice that.
+UNLISTED = 2 * 3.5 / (1 << math.ceil(math.log2(ITEMS / 0.75)))
 
 
 def active(df: DataFrame, time: str, width: str, who: str) -> DataFrame:
@@ -48,6 +55,6 @@ def merged(state: DataFrame, epoch: Column | None = None) -> DataFrame:
 
 
 def estimates(state: DataFrame, shares: list[float], top: int) -> DataFrame:
-    """epoch, n, active, quantiles (of each share) and top (items with their counts, most frequent first)."""
+    """epoch, n, active, quantiles (of each share) and top (items with their counts, most frequent first; may be empty)."""
     quantiles = F.array(*[F.kll_sketch_get_quantile_double("values", F.lit(s)) for s in shares])
     return state.select("epoch", "n", F.hll_sketch_estimate("who").alias("active"), quantiles.alias("quantiles"), F.expr(f"approx_top_k_estimate(items, {top})").alias("top"))

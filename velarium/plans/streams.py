@@ -211,7 +211,8 @@ def epoch_sketches(spark, sf_dir):
     below = by_day.join(found.select("day", "quantiles"), "day").groupBy("day").agg(*[(F.count_if(F.col("value") <= F.col("quantiles")[i]) / F.count("*")).alias(f"r{i}") for i in (0, 1)], *[(F.count_if(F.col("value") < F.col("quantiles")[i]) / F.count("*")).alias(f"l{i}") for i in (0, 1)])
     near = [(F.col(f"r{i}") >= s - sketches.RANK) & (F.col(f"l{i}") <= s + sketches.RANK) for i, s in ((0, 0.5), (1, 0.95))]
     all_ = found.join(exact, "day").join(below, "day")
+    listed = F.get("top", F.lit(0))["count"]  # nobody is listed where nobody stands out from the sketch's error
     return all_.select(
         F.unix_micros("day").alias("epoch_us"), "n", "users", (F.abs(F.col("active") - F.col("users")) <= F.greatest(F.lit(1), 4 * sketches.SPREAD * F.col("users"))).alias("users_within"),
-        (near[0] & near[1]).alias("ranks_within"), (F.col("top")[0]["count"] >= F.col("most")).alias("top_within"),
+        (near[0] & near[1]).alias("ranks_within"), (F.col("most") <= F.coalesce(listed, sketches.UNLISTED * F.col("n"))).alias("top_within"),
     )
