@@ -30,18 +30,21 @@ def depths(base: DataFrame, queries: DataFrame, threshold: str) -> DataFrame:
     exact, steps = KERNELS["fp32"], [bound(f"bits{b}") for b in range(HEAD, BITS)]
 
     def cell(qid, q, ids, v, limits):
-        rows, out = [k.rows(v) for k in steps], []
-        for i, x, limit in zip(qid, q, limits, strict=True):
-            far = exact.distances(x, v) > limit
+        rows, halves = [k.rows(v) for k in steps], steps[0].query(q)
+        for i, x, half, limit in zip(qid, q, halves, limits, strict=True):
             depth = np.full(len(ids), BITS)
-            for b in range(BITS - 1, HEAD - 1, -1):
-                depth[steps[b - HEAD].distances(steps[b - HEAD].query(x), rows[b - HEAD]) > limit] = b
-            depth = np.where(far, depth, BITS)
+            left = np.flatnonzero(exact.distances(x, v) > limit)
+            # Bounds do not fall as bits are added: once one exceeds the limit, the pair is done.
+            for b, step, own in zip(range(HEAD, BITS), steps, rows, strict=True):
+                if not len(left):
+                    break
+                beyond = step.distances(half, own if len(left) == len(ids) else tuple(r[left] for r in own)) > limit
+                depth[left[beyond]] = b
+                left = left[~beyond]
             found, n = np.unique(depth, return_counts=True)
-            out.append((np.full(len(found), i), found, n))
-        return [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield [np.full(len(found), i), found, n]
 
-    found = in_cells(base, queries, cell, "qid long, depth long, n long", given=threshold)
+    found = in_cells(base, queries, cell, "qid long, depth long, n long", given=[threshold])
     return found.groupBy("qid", "depth").agg(F.sum("n").alias("n"))
 
 

@@ -64,8 +64,8 @@ class Nearest:
                 base = np.flatnonzero(~mine)
                 base = base[np.argsort(ids[at][base], kind="stable")]
                 if mine.any() and len(base):
-                    found = cell(ids[at][mine], v[mine], ids[at][base], v[base])
-                    yield pa.table({"qid": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "d": pa.array(found[2], pa.float64())})
+                    for found in cell(ids[at][mine], v[mine], ids[at][base], v[base]):
+                        yield pa.table({"qid": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "d": pa.array(found[2], pa.float64())})
 
 
 def register(spark: SparkSession) -> None:

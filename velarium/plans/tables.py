@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,10 +227,11 @@ STEPS = [0, 16, 32, 64]
 def stepwise_refinement(spark, sf_dir):
     """Bounds after 0, 16, 32 and 64 exact dimensions, and how many pairs each of them prunes."""
     base = vectors(spark, sf_dir)
-    r = search.refined(base, asked(base, EVERY), STEPS)
-    steps = F.explode(F.array(*[F.struct(F.lit(n).alias("step"), (F.col(f"b{i}") + 1e-9).alias("b")) for i, n in enumerate(STEPS)]))
-    r = r.select("qid", steps.alias("s")).select("qid", "s.step", "s.b").groupBy("qid", "step")
-    return r.agg(F.count("*").alias("pairs"), F.count_if(F.col("b") > 1.1).alias("pruned"), F.round(F.min("b"), 6).alias("least"), F.round(F.max("b"), 6).alias("most"))
+    each = lambda b: [b.min(axis=1), b.max(axis=1), (b + 1e-9 > 1.1).sum(axis=1)]
+    c = search.counted(base, asked(base, EVERY), STEPS, lambda *b: [np.full(len(b[0]), b[0].shape[1]), *(x for s in b for x in each(s))], "pairs long, " + ", ".join(f"least{n} double, most{n} double, pruned{n} long" for n in STEPS))
+    steps = F.explode(F.array(*[F.struct(F.lit(n).alias("step"), "pairs", F.col(f"least{n}").alias("least"), F.col(f"most{n}").alias("most"), F.col(f"pruned{n}").alias("pruned")) for n in STEPS]))
+    c = c.select("qid", steps.alias("s")).select("qid", "s.*").groupBy("qid", "step")
+    return c.agg(F.sum("pairs").alias("pairs"), F.sum("pruned").alias("pruned"), F.round(F.min("least") + 1e-9, 6).alias("least"), F.round(F.max("most") + 1e-9, 6).alias("most"))
 
 
 @query(
