@@ -241,7 +241,7 @@ def stepwise_refinement(spark, sf_dir):
 def warm_thresholds(spark, sf_dir):
     """The tenth nearest among the first 50, 100 and 200 rows: a search's threshold as it goes on."""
     base = vectors(spark, sf_dir)
-    d = search.pair_distances(base, asked(base), ["fp32"])
+    d = search.pair_distances(search.leading(base, 200), asked(base), ["fp32"])
     return search.thresholds(d, "vec_id", "d0", 10, 50, [50, 100, 200]).select("qid", "seen", (F.round("limit", 6) + 0.0).alias("limit_d"))
 
 
