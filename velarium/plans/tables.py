@@ -6,15 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bounds
-from ..functions.distance import distance
 from ..operators import analytics as a
 from ..operators import sampling, search
 from ..sources import catalogue, text, vectors as files
 from ..sources.scratch import folder
 from . import sqlnum as s
 from .analytics import FRONTIER, points
-from .vectors import COARSE, EVERY, K, asked, pairs_of, vectors
+from .vectors import COARSE, EVERY, K, asked, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -202,18 +200,25 @@ FIRST, SECOND = 1.1, 1.7
 @query(f"SELECT qid, count(*) AS pairs, count(*) FILTER (lb > {FIRST}) AS pruned_first, count(*) FILTER (lb <= {FIRST} AND part > {SECOND}) AS pruned_midway, count(*) FILTER (lb <= {FIRST} AND part <= {SECOND} AND d > {SECOND}) AS pruned_second, count(*) FILTER (lb <= {FIRST} AND d <= {SECOND}) AS kept FROM ({BOUND}) GROUP BY qid")
 def two_phase_prune(spark, sf_dir):
     """Pairs that signs and exponents prune, those that their exact terms prune after 16 dimensions or at the end, and those that stay."""
-    first = lambda c: F.slice(c, 1, 16)
-    p = pairs_of(spark, sf_dir).select("qid", bounds.lower_bound_l2(F.col("query"), F.col("embedding")).alias("lb"), distance("fp32", F.col("query"), F.col("embedding")).alias("d"), distance("fp32", first("query"), first("embedding")).alias("part"))
-    return a.staged(p, "lb", FIRST, "part", "d", SECOND)
+    base = vectors(spark, sf_dir)
+
+    def stages(lb, d, part):
+        first, midway, second = lb > FIRST, part > SECOND, d > SECOND
+        found = [first, ~first & midway, ~first & ~midway & second, ~first & ~second]
+        return [np.full(len(d), d.shape[1]), *(x.sum(axis=1) for x in found)]
+
+    names = ["pairs", "pruned_first", "pruned_midway", "pruned_second", "kept"]
+    p = search.counted(base, asked(base, EVERY), ["l2", "fp32", "head16"], stages, ", ".join(f"{n} long" for n in names))
+    return p.groupBy("qid").agg(*[F.sum(n).alias(n) for n in names])
 
 
 @query(f"SELECT count(*) AS calls, count(*) FILTER (lb > {FIRST}) AS first_level, count(*) FILTER (part > {FIRST}) AS second_level, count(*) FILTER (lb > {FIRST} OR part > {FIRST}) AS either FROM ({BOUND})")
 def early_termination_counts(spark, sf_dir):
     """How often either level's bound would have ended a distance early; none does."""
-    first = lambda c: F.slice(c, 1, 16)
-    p = pairs_of(spark, sf_dir).select(bounds.lower_bound_l2(F.col("query"), F.col("embedding")).alias("lb"), distance("fp32", first("query"), first("embedding")).alias("part"))
-    l1, l2 = F.col("lb") > FIRST, F.col("part") > FIRST
-    return p.agg(F.count("*").alias("calls"), F.count_if(l1).alias("first_level"), F.count_if(l2).alias("second_level"), F.count_if(l1 | l2).alias("either"))
+    base, names = vectors(spark, sf_dir), ["calls", "first_level", "second_level", "either"]
+    count = lambda lb, part: [np.full(len(lb), lb.shape[1]), *(x.sum(axis=1) for x in (lb > FIRST, part > FIRST, (lb > FIRST) | (part > FIRST)))]
+    p = search.counted(base, asked(base, EVERY), ["l2", "head16"], count, ", ".join(f"{n} long" for n in names))
+    return p.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
 STEPS = [0, 16, 32, 64]
