@@ -335,6 +335,15 @@ class Part:
                 queue.settle()
         return stop.result(), counts
 
+    def scan(self, q: np.ndarray, stop: Stop, admit: np.ndarray | None = None) -> tuple[Found, dict[str, int]]:
+        """:meth:`search` for a condition that leaves no slot out: also those that no link reaches are looked at."""
+        n = len(self.ids)
+        d = ((self.vectors[:n] - q) ** 2).sum(axis=1)
+        for s in np.argsort(d, kind="stable").tolist():
+            if s not in self.deleted and (admit is None or admit[s]):
+                stop.add(float(d[s]), s)
+        return stop.result(), {"distances": n, "pruned": 0, "hops": n, "upper": 0}
+
     # Rows
 
     def rows(self) -> list[tuple[int, int, bool, list[float], list[list[int]]]]:
